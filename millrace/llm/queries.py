@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.ngram_join import ngram_components
+from millrace.llm.packing import pack
 from millrace.llm.rules import quality_rules
 from millrace.llm.substring import remove_repeats
-from millrace.session import table
+from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.session import shared_dir, table
+
+
+def vocabulary() -> str:
+    """The byte-level vocabulary of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2)
+    return read_token_files(spark, path, with_ids=False)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35, text_out=False)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=0, window=1024)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
