@@ -47,6 +47,7 @@ _MORE = {
     "local_phone": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}(?![A-Za-z0-9_/+-])"),
 }
+_SPELLED = re.compile(r"[\[({<] ?(?:at|AT)\b")
 _NAMES = re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|ip|address|host|card|visa|credit|phone|tel|call|fax|mobile|iban|account|ssn|social|security|token|key|secret|password|passwd|pwd|api|bearer|id)\b")
 
 
@@ -102,7 +103,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that the generators propose; they may overlap each other and base spans."""
     out = []
     for kind, form in _MORE.items():
-        if kind == "obfuscated_email" and not ("at" in text or "AT" in text or "@" in text):
+        if kind == "obfuscated_email" and not ("@" in text or _SPELLED.search(text)):
             continue
         for m in form.finditer(text):
             s = m.group()

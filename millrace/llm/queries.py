@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import ngram_components
 from millrace.llm.packing import pack
+from millrace.llm.pii import personal_data
 from millrace.llm.rules import quality_rules
 from millrace.llm.substring import remove_repeats
 from millrace.llm.token_files import read_token_files, write_token_files
@@ -37,6 +38,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, with_ids=False)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"), redacted=False)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35, text_out=False)
 
