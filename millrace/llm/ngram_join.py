@@ -1,13 +1,14 @@
 """Grouped prefix join of documents on the Jaccard similarity of their word n-grams.
 
-A document is the set of its distinct n-gram hashes. Documents with equal sets are one entry.
-Under any fixed order of the n-grams, two sets that are similar enough share one of their first
-p = |x| - ceil(t |x|) + 1 entries; here the order is by hash, with the most frequent n-grams last,
-so that common passages fall out of the prefixes. Entries that share a prefix n-gram meet, once
-each, in a block; there those with equal prefix and size are one group, pairs of groups are
-filtered by size and by the places of their common n-gram, and what remains is expanded and
-verified on the whole sets. Only the links that join two classes are kept, so a group of copies
-costs links in proportion to its size.
+A document is the set of its distinct n-gram hashes; equal sets are one entry. Under any fixed order
+of the n-grams, two sets that are similar enough have at least l entries in common among their first
+|x| - ceil(t |x|) + l. Such prefixes, by order of the hash, are what is shuffled: entries of equal
+prefix and size are one group, every prefix n-gram is counted over all groups, and each group then
+keeps all but the l - 1 most frequent ones of its prefix. Two similar sets still share one of what is
+kept, and for most documents all of that is theirs alone, however often phrases and passages recur.
+Groups that share a kept n-gram form clusters; there the groups expand into their members, which are
+filtered by size and by the places of their common n-grams and verified on the whole sets. Only the
+links that join two classes are kept, so many near copies cost links in proportion to their number.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.wordbatch import Words, mix, rolling, signed, slices
 from millrace.operators.graph import connected_components
 from millrace.session import materialize
 
-#: how many of the most frequent prefix n-grams move to the end of the order, and from which count on.
-#: Any order gives the same links, so this bounds what tasks are sent and nothing else.
+#: how many of the most frequent n-grams move to the end of the order, and from which count on: they
+#: needn't be shuffled then. Any order gives the same links, so this bounds what tasks are sent and
+#: nothing else.
 FREQUENT_MOST = 1 << 16
-FREQUENT_FROM = 32
+FREQUENT_FROM = 64
+#: bits of the set that tells which texts a later join needs (8 MB)
+FILTER_BITS = 1 << 26
 #: entries that are compared in one task; larger clusters are compared block by block
 BLOCK = 4096
 
@@ -35,6 +39,11 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (size * percent + 99) // 100 + 1
 
 
+def spare(size: np.ndarray, percent: int) -> np.ndarray:
+    """l - 1: by how much a prefix is longer than it must be; it grows with the size of the set."""
+    return (prefix_length(size, percent) - 1) // 2
+
+
 def ngram_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram hashes of each text, ascending, and where each text's begin.
 
@@ -69,17 +78,15 @@ def set_hash(keys: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
 
 
 def prefixes(keys: np.ndarray, at: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first p n-grams of each set in the order of the join, and where each set's begin."""
+    """The long prefix of each set, the most frequent n-grams of all last, and where each one begins."""
     size = np.diff(at)
     text = np.repeat(np.arange(len(size)), size)
     if len(frequent):
         spot = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-        order = np.lexsort((keys, frequent[spot] == keys, text))
-        keys = keys[order]
+        keys = keys[np.lexsort((keys, frequent[spot] == keys, text))]
     place = np.arange(len(keys)) - np.repeat(at[:-1], size)
-    p = np.where(size > 0, prefix_length(size, percent), 0)
-    first = place < np.repeat(p, size)
-    return keys[first], np.append(0, np.cumsum(p))
+    p = np.where(size > 0, prefix_length(size, percent) + spare(size, percent), 0)
+    return keys[place < np.repeat(p, size)], np.append(0, np.cumsum(p))
 
 
 def _prefix_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -87,25 +94,54 @@ def _prefix_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for part in slices(batches):
             keys, _ = prefixes(*ngram_sets(part.column("text"), n), percent, np.zeros(0, np.uint64))
             token, count = np.unique(keys, return_counts=True)
+            # what one slice has once is not among the most frequent of all slices
+            token, count = token[count > 1], count[count > 1]
             yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(count.astype(np.int64))], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token bigint, n bigint")
 
 
-def _entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size, set (two hashes) and prefix of every row."""
+def _entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, with_prefix: bool) -> DataFrame:
+    """doc_id, size, the set (two hashes), its group and, if asked for, its prefix, of every row.
+
+    frequent n-grams come last; where a set has enough others, its prefix leaves them out.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             keys, at = ngram_sets(part.column("text"), n)
             tokens, starts = prefixes(keys, at, percent, sent.value)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(at)), pa.array(signed(set_hash(keys, at, 1))), pa.array(signed(set_hash(keys, at, 2))), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(signed(tokens)))],
-                ["doc_id", "size", "set1", "set2", "prefix"],
-            )
+            size = np.diff(at)
+            group = mix(set_hash(tokens, starts, 3) + size.astype(np.uint64))
+            columns = [part.column("doc_id"), pa.array(size), pa.array(signed(set_hash(keys, at, 1))), pa.array(signed(set_hash(keys, at, 2))), pa.array(signed(group))]
+            if with_prefix:
+                columns.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(signed(tokens))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "set1", "set2", "group"] + ["prefix"] * with_prefix)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, size bigint, set1 bigint, set2 bigint, group bigint" + ", prefix array<bigint>" * with_prefix)
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id and text of the rows of docs whose doc_id may be one of ids: nearly no others, and none missing.
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, size bigint, set1 bigint, set2 bigint, prefix array<bigint>")
+    The ids become a bit set of fixed size, which is what tasks are sent; a join on doc_id, of much
+    fewer texts, is to follow.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            keep = (sent.value[at >> 6] >> (at & 63)) & 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("spot", spot).mapInArrow(run, "doc_id bigint, text string")
 
 
 class _Classes:
@@ -128,8 +164,16 @@ class _Classes:
         return True
 
 
-def block_links(sets: list[np.ndarray], prefix: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the classes of one block. side: 0 and 1 are compared with each other, 2 with all."""
+def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the classes of one block. side: 0 and 1 are compared with each other, 2 with all.
+
+    Prefixes are taken anew, by how often an n-gram occurs in the block.
+    """
+    token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    prefix = []
+    for own in np.split(inverse, np.cumsum([len(x) for x in sets])[:-1]):
+        own = own[np.lexsort((own, count[own]))]
+        prefix.append(own[: int(prefix_length(np.int64(len(own)), percent))])
     size = np.array([len(x) for x in sets])
     groups: dict[tuple, list[int]] = {}
     for e in range(len(sets)):
@@ -175,14 +219,12 @@ def block_links(sets: list[np.ndarray], prefix: list[np.ndarray], side: np.ndarr
     return links
 
 
-def _verified(blocks: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def _verified(blocks: DataFrame, percent: int) -> DataFrame:
     """src, dst of the links in each block; rows of a block follow one another."""
-    sent = blocks.sparkSession.sparkContext.broadcast(frequent)
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         rows.sort(key=lambda r: r[0])
-        sets, prefix, side = [r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows])
-        return [(rows[a][0], rows[b][0]) for a, b in block_links(sets, prefix, side, percent)]
+        return [(rows[a][0], rows[b][0]) for a, b in block_links([r[2] for r in rows], np.array([r[1] for r in rows]), percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -199,8 +241,7 @@ def _verified(blocks: DataFrame, n: int, percent: int, frequent: np.ndarray) ->
                     if len(rows) > 1:
                         done += links(rows)
                     key, rows = (cluster, a, b), []
-                keys = flat[at[i] : at[i + 1]].copy()
-                rows.append((node, side, keys, prefixes(keys, np.array([0, len(keys)]), percent, sent.value)[0]))
+                rows.append((node, side, flat[at[i] : at[i + 1]].copy()))
             yield out(done)
         yield out(links(rows) if len(rows) > 1 else [])
 
@@ -230,29 +271,39 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """
     counts = _prefix_tokens(docs, n, percent).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     frequent = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").collect()], np.int64).view(np.uint64))
-    entries = materialize(_entries(docs, n, percent, frequent), "entries")
+    entries = materialize(_entries(docs, n, percent, frequent, False), "entries")
     known = entries.where("doc_id IS NOT NULL AND size > 0")
-    # equal sets are one entry, the least doc_id
-    sets = materialize(known.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets")
-    # one key per group of equal prefix and size, then those who share a prefix n-gram
-    grouped = sets.groupBy(F.xxhash64("prefix", "size").alias("g1"), F.xxhash64(F.lit(1), "prefix", "size").alias("g2"))
-    groups = grouped.agg(F.min("node").alias("node"), F.first("prefix").alias("prefix"))
-    tokens = groups.select(F.explode("prefix").alias("token"), "node")
-    least = tokens.groupBy("token").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "least")
-    near = tokens.join(least, "token").select(F.col("node").alias("src"), F.col("least").alias("dst"))
-    same = sets.select(F.xxhash64("prefix", "size").alias("g1"), F.xxhash64(F.lit(1), "prefix", "size").alias("g2"), "node").join(grouped.agg(F.min("node").alias("least")), ["g1", "g2"]).select(F.col("node").alias("src"), F.col("least").alias("dst"))
-    edges = materialize(near.union(same).where("src <> dst").distinct(), "edges")
-    clusters = materialize(connected_components(edges), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    needed = sets.select("node", "set1", "set2").join(placed, "node").select(F.col("node").alias("doc_id"), "set1", "set2", "cluster", "blocks")
-    rows = _set_rows(docs.select(F.col("doc_id").cast("bigint"), "text").join(needed, "doc_id"), n)
+    # equal sets are one entry, named by its least doc_id
+    sets = materialize(known.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("group").alias("group")), "sets")
+
+    # n-grams of the groups' prefixes that more than one group has
+    groups = _entries(docs, n, percent, frequent, True).where("doc_id IS NOT NULL AND size > 0").groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    tokens = groups.select("group", "size", F.posexplode("prefix").alias("place", "token"))
+    # the place tells which are the frequent ones at the end; their count is not what orders them
+    shared = tokens.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    shared = materialize(shared.select("group", "size", "token", "n"), "shared-ngrams")
+    length = lambda size: size - F.floor((size * percent + 99) / 100) + 1
+    extra = lambda size: F.floor((length(size) - 1) / 2)
+    # a partner may be smaller, so its prefix promises less: drop what the smallest one allows
+    least_partner = F.floor((F.col("size") * percent + 99) / 100)
+    kept = length(F.col("size")) + extra(F.col("size")) - extra(least_partner)
+    alone = length(F.col("size")) + extra(F.col("size")) - F.count(F.lit(1)).over(Window.partitionBy("group"))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("n", "token"))
+    index = shared.withColumn("rank", rank).withColumn("alone", alone).where(F.col("rank") + F.col("alone") <= kept).select("group", "token")
+    index = materialize(index, "index")
+    least = index.groupBy("token").agg(F.min("group").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "least")
+    edges = index.join(least, "token").select(F.col("group").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+    clusters = materialize(connected_components(edges), "clusters").select(F.col("node").alias("group"), "component")
+    placed = sets.join(clusters, "group", "left").select("node", "set1", "set2", F.coalesce("component", "group").alias("cluster"))
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    needed = materialize(placed.join(sizes, "cluster").select(F.col("node").alias("doc_id"), "set1", "set2", "cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "needed")
+    rows = _set_rows(only_ids(docs, needed).join(needed, "doc_id"), n)
     # a cluster of one block meets in it; of several, in every pair of blocks
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), F.when(own == j, 2).otherwise((own > j).cast("int")).alias("side")))
     blocks = rows.withColumn("pair", F.explode(pairs)).select("cluster", "pair.a", "pair.b", "node", "pair.side", "keys")
     blocks = blocks.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
-    links = materialize(_verified(blocks, n, percent, frequent), "verified")
+    links = materialize(_verified(blocks, percent), "verified")
     # several sets under one doc_id are one document
     shared = known.select("doc_id", "set1", "set2").join(sets.select("set1", "set2", "node"), ["set1", "set2"])
     shared = shared.where("doc_id <> node").groupBy("doc_id", "node").agg(F.lit(1).alias("_"))
