@@ -6,7 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm.fingerprints import fingerprints
+from millrace.llm.kneser_ney import quality
 from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import ngram_components
 from millrace.llm.packing import pack
@@ -14,6 +17,7 @@ from millrace.llm.pii import personal_data
 from millrace.llm.rules import quality_rules
 from millrace.llm.substring import remove_repeats
 from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.llm.toxicity import fit_scorer, toxicity
 from millrace.session import shared_dir, table
 
 
@@ -24,14 +28,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity(docs, fit_scorer(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2)

@@ -104,7 +104,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     input as it is, and repeats within one document count.
     """
     found = materialize(seeds(docs.select("doc_id", "text"), window, seed), "seeds")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written, so that the join is of two plain shuffles, whose hot anchors Spark can split
+    shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     found = materialize(found.join(shared, "anchor", "left_semi"), "shared-seeds")
     runs = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "first", "length")).alias("one"))
     # anchors with several different runs: only there can single windows match
