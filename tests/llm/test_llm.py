@@ -1,0 +1,400 @@
+"""The operators on small tables with odd rows, against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import boosting, fingerprints, kneser_ney, mixing, ngram_join, packing, pii, rules, substring, token_codec, token_files, toxicity
+from millrace.llm.queries import vocabulary
+from millrace.llm.tokens import TextEncoder
+from millrace.session import shared_dir
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, size string, part string"
+
+
+def made():
+    rng = random.Random(7)
+    vocabulary_ = ["".join(rng.choice("abcdefghiéü") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary_) for _ in range(n))
+    passage, base = prose(60), prose(120)
+    texts = [prose(rng.randint(1, 90)) for _ in range(30)]
+    texts += [base] * 4 + [" ".join("new" if i == k else w for i, w in enumerate(base.split())) for k in (5, 60, 119)]
+    texts += [prose(20) + " " + passage + " " + prose(15), prose(3) + "\n" + passage, passage]
+    texts += [None, "", "   \n\t ", "one", "Two Words", "a " * 200, "line one\nline one\n\nline one\n \n \n", "ÀÉ #$% <b> |x|", "tab\x0bsep\x0cx\r\ny"]
+    texts += ["mail x.y+z@ab-c.de.com, ip 10.0.0.255 and 999.1.1.1, card 4111 1111 1111 1111, call +1 (555) 010-9999 now", "it's  don't\n\n  'll", "日本語 テキスト 12", prose(3000)]
+    rows = [(i * 3 % 997 + (i > 20), t, ["en", "de", None][i % 3], ["b", "a", None, "c"][i % 4], 0 if t is None else len(t), 1.0, "x", "p") for i, t in enumerate(texts)]
+    return rows + [rows[3], (None, "a row without an id " * 12, None, None, None, None, None, None)]
+
+
+ROWS = made()
+UNIQUE = list({r[0]: r for r in ROWS if r[0] is not None}.values())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, KIND).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    return spark.createDataFrame(UNIQUE, KIND).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def test_encoder_equals_the_library():
+    encoder = TextEncoder(vocabulary())
+    texts = [r[1] for r in ROWS] + ["a\n\n\nb", "  x  ", "<|endoftext|> x", "  　y", "1a2 b3!c'd 'tis", "\r\n\r\n z"]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == encoder.plain([t or "" for t in texts])
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 70_001])
+def test_codec_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 50257, n), np.full(n, 9), rng.zipf(1.4, n) % 5000):
+        block = token_codec.encode(ids.astype(np.uint32))
+        assert (token_codec.decode(block) == ids).all()
+    if n > 100:
+        bad = bytearray(block)
+        bad[len(bad) // 2] ^= 1
+        for broken in (bytes(bad), block[: len(block) // 2], b"", b"XXXX" + block[4:]):
+            with pytest.raises(token_codec.BlockError):
+                token_codec.decode(broken)
+        assert len(token_codec.encode(np.full(n, 9, np.uint32))) < n
+    with pytest.raises(ValueError):
+        token_codec.encode(np.array([5], np.uint32), 5)
+
+
+def test_fingerprints(spark, docs, known, empty):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(known, 16).collect()}
+    order = sorted(((r[0], r[1] or "") for r in UNIQUE), reverse=True)
+    for i, (d, t) in enumerate(order):
+        nxt, half = order[(i + 1) % len(order)], len(t) // 2
+        edited = t[: len(t) - half] + nxt[1][:half]
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        same = lambda a, b: float(a == b) if not a or not b else sum(a[k : k + 5] == b[k : k + 5] for k in range(0, len(a), 5)) / 16
+        assert r["near_edited"] == same(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == same(r["fingerprint"], got[nxt[0]]["fingerprint"])
+    by_text = defaultdict(set)
+    for d, t in order:
+        by_text[t].add(got[d]["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    assert fingerprints.fingerprints(docs, 4).count() == len(ROWS) and fingerprints.fingerprints(empty, 4).count() == 0
+    one = fingerprints.fingerprints(spark.createDataFrame([ROWS[0]], KIND), 4).first()
+    assert one["near_next"] == 1.0
+
+
+def test_samples_estimate_the_likeness(spark):
+    a, b = {"x": 5, "y": 1, "z": 3}, {"x": 2, "y": 4, "w": 1}
+    texts = [(i, " ".join(f"{k}{i}" for k, n in s.items() for _ in range(n)), j) for i in range(120) for j, s in enumerate((a, b))]
+    marks = fingerprints.weighted_samples(spark.createDataFrame(texts, "i int, text string, j int"), ["i", "j"], 24)
+    sides = marks.groupBy("i").agg(F.max(F.when(F.col("j") == 0, F.col("marks"))).alias("a"), F.max(F.when(F.col("j") == 1, F.col("marks"))).alias("b"))
+    true = sum(min(a.get(k, 0), b.get(k, 0)) for k in "xyzw") / sum(max(a.get(k, 0), b.get(k, 0)) for k in "xyzw")
+    assert abs(sides.agg(F.avg(fingerprints.likeness(F.col("a"), F.col("b")))).first()[0] - true) < 0.04
+
+
+def plain_targets(sizes, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = min(1.5 * sum(sizes.values()), most * sum(sizes.values())), set(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        for s in over or list(open_):
+            out[s] = most * sizes[s] if over else left * weight[s] / total
+            open_.discard(s)
+        left -= sum(out[s] for s in over)
+    return out
+
+
+def test_mixing(spark, docs, empty):
+    rows = mixing.mix_sources(docs).collect()
+    assert len(rows) == len(ROWS)
+    sizes, largest, taken = Counter(), Counter(), Counter()
+    for r in ROWS:
+        n = len(WORD.findall(r[1] or ""))
+        sizes[r[3]] += n
+        largest[r[3]] = max(largest[r[3]], n)
+    want = plain_targets(sizes)
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]] and r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+    for s in want:
+        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
+    key = lambda rs: sorted((str(r["doc_id"]), r["mark"], r["taken"]) for r in rs)
+    assert key(rows) == key(mixing.mix_sources(docs.repartition(7)).collect())
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_mixing_is_fair(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", "ab"[i % 2], 0, 0.0, "", "") for i in range(200)]
+    docs = spark.createDataFrame(rows, KIND)
+    runs = [mixing.mix_sources(docs, share=0.5, seed=s).collect() for s in range(6)]
+    f = runs[0][0]["target"] / runs[0][0]["source_size"]
+    mean = np.mean([r["copies"] for run in runs for r in run if r["source"] == runs[0][0]["source"]])
+    assert abs(mean - f) < 0.08
+
+
+def test_toxicity(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    scorer = toxicity.fit_scorer(docs, labels)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [(r["score"], truth[r["doc_id"]]) for r in toxicity.toxicity(docs, scorer).where("held_out").select("doc_id", "score").collect() if r["doc_id"] in truth]
+    yes, no = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) > 0.9
+
+
+def test_toxicity_of_odd_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(r[0], int(r[0] % 4 == 0)) for r in UNIQUE], "doc_id bigint, toxic int")
+    scorer = toxicity.fit_scorer(docs, labels)
+    rows = toxicity.toxicity(docs, scorer).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    none = toxicity.fit_scorer(empty, labels.limit(0))
+    assert toxicity.toxicity(empty, none).count() == 0 and {r["predicted"] for r in toxicity.toxicity(docs, none).collect()} == {0}
+
+
+def test_toxicity_finds_the_sentence(spark):
+    rng = random.Random(1)
+    prose = lambda: " ".join(rng.choice("alpha beta gamma delta omega zeta kappa".split()) for _ in range(8)) + ". "
+    rows = []
+    for i in range(400):
+        parts = [prose() for _ in range(6)]
+        if i % 4 == 0:
+            parts[i % 6] = "you vile worm é. "
+        rows.append((i, "".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scorer = toxicity.fit_scorer(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
+    text = dict(rows)
+    for r in toxicity.toxicity(docs, scorer).collect():
+        assert [text[r["doc_id"]][o["start"] : o["end"]].strip() for o in r["offending"]] == (["you vile worm é."] if r["doc_id"] % 4 == 0 else [])
+
+
+def plain_sets(rows, n):
+    out = {}
+    for r in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or ""))
+        out[r[0]] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    return out
+
+
+@pytest.mark.parametrize("n, percent, block", [(4, 85, 4096), (5, 80, 4096), (2, 60, 4)])
+def test_ngram_components(known, n, percent, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    sets = plain_sets(UNIQUE, n)
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(known, n, percent).collect()}
+    assert got == {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def test_ngram_components_of_odd_tables(docs, empty):
+    rows = ngram_join.ngram_components(docs).collect()
+    assert len(rows) == len(ROWS) and [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
+    assert ngram_join.ngram_components(empty).count() == 0
+
+
+def test_only_ids(docs, spark):
+    ids = spark.createDataFrame([(UNIQUE[2][0],), (UNIQUE[9][0],)], "doc_id bigint")
+    got = {r["doc_id"] for r in ngram_join.only_ids(docs, ids).collect()}
+    assert {UNIQUE[2][0], UNIQUE[9][0]} <= got and len(got) <= 4
+
+
+def test_kneser_ney_sums_to_one(spark):
+    texts = spark.createDataFrame([("the cat sat on the mat. " * 3,), ("a dog ran to the cat",), (None,)], "text string")
+    table = kneser_ney.table_of(kneser_ney.probabilities(kneser_ney.gram_counts(texts)))
+    p = np.exp(-table.reshape(-1, 64).astype(float) / kneser_ney.SCALE)
+    code, _ = kneser_ney.gram_codes(pa.array(["the cat"]))
+    assert np.abs(p[(code >> 6)[3:]].sum(1) - 1).max() < 0.01 and np.abs(p[:100].sum(1) - 1).max() < 0.01
+
+
+def test_quality(spark, docs, empty):
+    big = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(truth[r["doc_id"]], r["kept"]) for r in kneser_ney.quality(d, labels.where("quality = 1").select("doc_id")).collect() if r["doc_id"] in truth]
+    good, bad = [k for q, k in rows if q], [k for q, k in rows if not q]
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.5
+    trusted = spark.createDataFrame([(r[0],) for r in UNIQUE[:20]], "doc_id bigint")
+    rows = kneser_ney.quality(docs, trusted).collect()
+    assert len(rows) == len(ROWS) and all((r["perplexity"] is None) == (r["n_chars"] == 0) for r in rows)
+    assert kneser_ney.quality(empty, trusted.limit(0)).count() == 0
+
+
+def test_token_files(spark, docs, known, empty, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
+    encoder, start = TextEncoder(vocabulary()), 0
+    for i, (table, rows) in enumerate(((known, UNIQUE), (docs, ROWS), (empty, []))):
+        path = f"{shared_dir(spark)}/test-{i}-{random.random()}"
+        token_files.write_token_files(table, path, vocabulary(), 2, 3)
+        got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"], list(r["ids"])) for r in token_files.read_token_files(spark, path).collect()))
+        assert len(got) == len(rows)
+        start, last = 0, -1
+        for s, d, n, crc, ids in got:
+            assert s == start and n == len(ids) and zlib.crc32(np.array(ids, "<u4").tobytes()) == crc and ids[-1] == 2 and (d is None or d >= last)
+            start, last = start + n, last if d is None else d
+        if table is known:
+            texts = {r[0]: r[1] or "" for r in UNIQUE}
+            assert all(ids == encoder.plain([texts[d]])[0] + [2] for _, d, _, _, ids in got)
+
+
+def test_packing(spark, docs, known, empty, monkeypatch):
+    encoder = TextEncoder(vocabulary())
+    ids = {r[0]: encoder.plain([r[1] or ""])[0] + [0] for r in UNIQUE}
+    for window in (64, 1024):
+        rows = packing.pack(known, vocabulary(), 0, window).collect()
+        by_doc, by_sequence = defaultdict(list), defaultdict(list)
+        for r in rows:
+            own = ids[r["doc_id"]]
+            assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+            by_doc[r["doc_id"]].append((r["start"], r["length"]))
+            by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        for spans, total in [(v, len(ids[d])) for d, v in by_doc.items()] + [(v, None) for v in by_sequence.values()]:
+            end = 0
+            for a, n in sorted(spans):
+                assert a == end and n > 0
+                end += n
+            assert end == total if total else end <= window and (end == window or end & (end - 1) == 0)
+        assert set(by_doc) == set(ids)
+    assert sum(r["length"] for r in packing.pack(docs, vocabulary()).collect()) == sum(len(encoder.plain([r[1] or ""])[0]) + 1 for r in ROWS)
+    assert packing.pack(empty, vocabulary()).count() == 0
+
+
+def test_repeat_counts():
+    h = np.zeros(65, np.int64)
+    h[[10, 54, 20, 24, 33, 31, 1]] = [100, 90, 40, 40, 500, 480, 7]
+    combos, counts = packing.repeat_counts(h, 64)
+    used = np.zeros(65, np.int64)
+    for own, n in zip(combos, counts, strict=True):
+        assert own.sum() == 64
+        for v in own[own > 0]:
+            used[v] += n
+    assert (used <= h).all() and used.sum() > 0.9 * h.sum()
+
+
+def test_pii(docs, empty):
+    selector = pii.Selector().fit(pii._made_rows())
+    rows = {(r["doc_id"], r["spans"]): r for r in pii.personal_data(docs, selector).collect()}
+    email, ip, card, phone = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    for (d, _), r in rows.items():
+        text = next(x[1] for x in ROWS if x[0] == d) or ""
+        found = [(m.start(), 0, m.end()) for m in email.finditer(text)] + [(m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(p) < 256 for p in m.group().split("."))]
+        found += [(m.start(), 2, m.end()) for m in card.finditer(text) if 12 <= len(re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(re.sub("[^0-9]", "", m.group()))]
+        found += [(m.start(), 3, m.end()) for m in phone.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        listed = ",".join(f"{pii.BASE_KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) <= set(r["spans"].split(","))
+    assert pii.personal_data(empty, selector).count() == 0
+
+
+@pytest.mark.parametrize("text", ["@", "a@b", "a@b.c@d.e", "a@@b.c", "x@y.z." + "q" * 50, "é.a@b.co", "a@b.c_d@e.f", "%@x.y @x.y a@x.y"])
+def test_emails_outwards(text):
+    form = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert list(pii.emails(text)) == [m.span() for m in form.finditer(text)]
+
+
+def test_pii_model_adds_spans():
+    selector = pii.Selector().fit(pii._made_rows())
+    find = lambda t: [k for _, _, k in selector.select(t, pii.base_spans(t))]
+    assert "secret" in find('the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here')
+    assert find("nothing of the kind in this sentence, not even 12 numbers") == []
+    assert pii.redact("a b@c.de f", pii.base_spans("a b@c.de f")) == "a [EMAIL] f"
+
+
+def test_trees_learn_and_calibrate():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    trees = boosting.Trees().fit(x[:1500], y[:1500])
+    s = trees.score(x[1500:])
+    assert ((s > 0) == y[1500:]).mean() > 0.95
+    assert boosting.threshold(np.array([0.9, 0.8, 0.2]), np.array([1, 1, 0]), 0.9) == 0.8
+
+
+def plain_removed(rows, window):
+    words = {r[0]: WORD.findall(r[1] or "") for r in rows}
+    seen = Counter(tuple(w[i : i + window]) for w in words.values() for i in range(len(w) - window + 1))
+    out = {}
+    for d, w in words.items():
+        gone = {j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out[d] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("window, seed", [(35, 16), (6, 3), (1, 1)])
+def test_substring_dedup(known, window, seed):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(known, window, seed).collect()}
+    assert got == plain_removed(UNIQUE, window)
+
+
+def test_substring_dedup_of_odd_tables(docs, empty):
+    assert substring.remove_repeats(docs).count() == len(ROWS) and substring.remove_repeats(empty).count() == 0
+
+
+def test_rules(spark, docs, empty):
+    rows = rules.quality_rules(docs).collect()
+    assert len(rows) == len(ROWS) and rules.quality_rules(empty).count() == 0
+    by_id = {r["doc_id"]: r for r in rows}
+    for d, text, *_ in ROWS:
+        text = text or ""
+        w, lines, seen, again = WORD.findall(text), text.split("\n"), set(), 0
+        for line in lines:
+            again += line in seen and bool(WORD.search(line))
+            seen.add(line)
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        cover = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        r = by_id[d]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(cover))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
+
+
+def test_hosts_are_judged(spark):
+    good, bad = "plain words that never come twice in here at all today ok", "no"
+    rows = [(i, bad if i % 10 else good, "en", "spam", 0, 0.0, "", "") for i in range(100)] + [(1000 + i, good, "en", "fine", 0, 0.0, "", "") for i in range(100)]
+    rows.append((5000, bad, "en", "new", 0, 0.0, "", ""))
+    kept = {r["source"]: r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, KIND)).where("NOT base_failed").collect()}
+    rate = {r["source"]: r["host_rate"] for r in rules.quality_rules(spark.createDataFrame(rows, KIND)).collect()}
+    assert kept == {"spam": False, "fine": True} and rate["new"] < 1
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "personal data", "mixing sources", "packing"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{shared_dir(spark)}/stage-{random.random()}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        assert docs.columns == columns
+        if name in ("quality rules", "n-gram Jaccard join"):
+            assert 0.6 * before.count() < docs.count() <= before.count()
+    assert not docs.where("text LIKE '%@mail_.example.com%'").count()
+    pieces = corpus_pipeline.pack_windows(spark, docs, sf_dir)
+    copies = docs.groupBy("doc_id").count().count()
+    assert pieces.select("doc_id").distinct().count() == copies
