@@ -63,7 +63,8 @@ def human_size(n: Column) -> Column:
     """One decimal and B, KB, MB, GB or TB."""
     out, size = None, n.cast("double")
     for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        text = F.format_string(f"%.1f {unit}", size / float(1024**i))
+        # half to even, which format_string doesn't do
+        text = F.format_string(f"%.1f {unit}", F.bround(size / float(1024**i), 1))
         last = i == 4
         out = F.when(size < float(1024 ** (i + 1)), text) if out is None else out.otherwise(text) if last else out.when(size < float(1024 ** (i + 1)), text)
     return out
