@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import geometry, paths, text, vectors
-from millrace.operators import catalog, chunking, enrich, jobs, lexical, scopes, vector
+from millrace.operators import catalog, chunking, enrich, jobs, lexical, overviews, scopes, vector
 from millrace.plans import search as plans
 from millrace.sources import corpus
 from millrace.streaming import publish
@@ -520,3 +520,88 @@ def upsert_latest(spark, sf_dir):
 @query(f"WITH {OBJ}, done AS (SELECT DISTINCT doc_id FROM labels) SELECT doc_id FROM objects WHERE doc_id NOT IN (SELECT doc_id FROM done)")
 def resume_left(spark, sf_dir):
     return publish.new_only(_objects(spark, sf_dir).select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+# overviews -------------------------------------------------------------------------------------
+
+COLLS = "(SELECT file_id, string_agg(name, ',' ORDER BY lower(name)) AS collections FROM (SELECT DISTINCT file_id, name FROM members) GROUP BY 1)"
+
+
+@query(rf"""WITH {COLL}, {SEG}, n AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY 1) SELECT o.doc_id, o.file_id, 'text/plain' AS mime, CASE WHEN length(text) > 0 THEN trim(left(text, 240), E' \t\n\r\x0b\x0c') END AS preview, coalesce(n, 0) AS n_segments, coalesce(collections, '') AS collections
+FROM objects o LEFT JOIN n USING (doc_id) LEFT JOIN {COLLS} c ON c.file_id = o.file_id""")
+def object_summaries(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return overviews.object_summaries(corpus.objects(docs), corpus.collections(docs, _t(spark, sf_dir, "labels"))[1], enrich.segments(docs, key="doc_id"))
+
+
+@query(f"WITH {OBJ} SELECT source || '/' || lang AS path, string_agg('- doc-' || doc_id || '.txt: ' || replace(left(text, 60), E'\n', ' '), E'\n' ORDER BY source_relpath) AS overview FROM objects WHERE doc_id % 3 = 0 GROUP BY 1")
+def folder_overview(spark, sf_dir):
+    o = _objects(spark, sf_dir)
+    return overviews.folder_overview(o, o.where("doc_id % 3 = 0").select("doc_id", F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")).alias("summary")))
+
+
+@query("SELECT string_agg('- ' || source || ': ' || n || ' documents', E'\n' ORDER BY source) AS overview FROM (SELECT source, count(*) AS n FROM documents WHERE source <> 'src4' GROUP BY 1)")
+def root_overview(spark, sf_dir):
+    s = _docs(spark, sf_dir).where("source <> 'src4'").groupBy(F.col("source").alias("path")).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("summary"))
+    return overviews.root_overview(catalog.folder_tree(_objects(spark, sf_dir)), s)
+
+
+@query(f"WITH {COLL} SELECT collection_id, name, '# ' || name || E'\n\n' || string_agg('- ' || file_id, E'\n' ORDER BY created, file_id) AS page FROM members GROUP BY 1, 2")
+def wiki_members(spark, sf_dir):
+    return overviews.member_list(corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))[1])
+
+
+@query(f"""WITH {FOLDERS} SELECT CASE WHEN path = '' THEN 'root' ELSE 'folder' END AS scope_type, path AS scope_id, CASE WHEN path = '' THEN 'All documents' ELSE string_split(path, '/')[-1] END AS label FROM allp
+UNION ALL SELECT 'collection', 'col-' || left(sha256(n), 12), n FROM (VALUES ('good'), ('toxic')) v(n) WHERE (n = 'good' AND EXISTS (SELECT 1 FROM labels WHERE quality = 1)) OR (n = 'toxic' AND EXISTS (SELECT 1 FROM labels WHERE toxic = 1))""")
+def scope_descriptions(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return overviews.described_scopes(catalog.folder_tree(corpus.objects(docs)), corpus.collections(docs, _t(spark, sf_dir, "labels"))[0])
+
+
+@query(f"WITH {OBJ}, f AS (SELECT file_id, min(source_relpath) AS source_relpath, min(doc_id) AS d FROM objects GROUP BY 1) SELECT file_id, CASE WHEN d % 5 = 0 THEN 'missing_source' ELSE 'active' END AS status, CASE WHEN d % 10 = 0 THEN 'moved/' || d ELSE source_relpath END AS source_relpath FROM f")
+def source_states(spark, sf_dir):
+    f = _objects(spark, sf_dir).groupBy("file_id").agg(F.min("source_relpath").alias("source_relpath"), F.min("doc_id").alias("d"))
+    states = f.where("d % 5 = 0").select("file_id", F.lit("missing_source").alias("status"), F.when(F.col("d") % 10 == 0, F.concat(F.lit("moved/"), F.col("d").cast("string"))).otherwise("").alias("source_relpath"))
+    return overviews.source_states(f, states)
+
+
+@query("SELECT doc_id, 'too long' AS problem FROM documents WHERE length(text) > 4000")
+def embed_limits(spark, sf_dir):
+    return overviews.unusable_inputs(_docs(spark, sf_dir), 4000)
+
+
+@query(rf"""WITH {SEG}, s AS (SELECT doc_id, ord, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM seg),
+q AS (SELECT doc_id, (doc_id % 5) * 1500 AS x, (doc_id % 5) * 1500 + 600 AS y FROM documents)
+SELECT doc_id, x AS char_start, y AS char_end, 'seg-' || lpad(arg_min(ord, struct_pack(k := CASE WHEN a <= x AND a + length(text) >= y THEN 0 ELSE 1 END, o := ord))::VARCHAR, 6, '0') AS segment_id FROM q JOIN s USING (doc_id) WHERE a < y AND a + length(text) > x GROUP BY 1, 2, 3""")
+def best_segment(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    at = F.col("doc_id") % 5 * 1500
+    return enrich.best_segment(docs.select("doc_id", at.alias("char_start"), (at + 600).alias("char_end")), enrich.segments(docs, key="doc_id"), "doc_id")
+
+
+@query(f"WITH {WIN} SELECT chunk_id, CASE WHEN length(text) > 1024 THEN rtrim(left(text, 1024), E' \\t\\n\\r\\x0b\\x0c') ELSE text END AS text, length(text) > 1024 AS truncated FROM named")
+def embed_inputs(spark, sf_dir):
+    t = F.col("text")
+    return _windows(spark, sf_dir).select("chunk_id", text.truncate(t, 1024).alias("text"), (F.length(t) > 1024).alias("truncated"))
+
+
+@query("SELECT 'path' AS what, count(*) AS n FROM (SELECT 1 FROM documents GROUP BY source, lang HAVING count(*) > 1)")
+def folder_duplicates(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("path"), F.col("doc_id").cast("string").alias("folder_id"))
+    return catalog.duplicate_folders(rows).agg(F.lit("path").alias("what"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, least(a, b, c) AS x1, least(b, c, a + c) AS y1, greatest(a, b, c) AS x2, greatest(b, c, a + c) AS y2, CASE WHEN b < 45 THEN 7 WHEN a / greatest(b, 1)::DOUBLE > 8 THEN 7 WHEN b / greatest(a, 1)::DOUBLE > 3 THEN 4 ELSE 6 END AS psm FROM (SELECT event_id, event_id % 91 AS a, user_id % 77 AS b, event_id % 53 AS c FROM events)")
+def region_shapes(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 91).alias("a"), (F.col("user_id") % 77).alias("b"), (F.col("event_id") % 53).alias("c"))
+    points = F.array(F.array("a", "b"), F.array("b", "c"), F.array("c", F.col("a") + F.col("c")))
+    return e.select("event_id", geometry.polygon_box(points).alias("p"), geometry.segmentation_mode(F.col("a"), F.col("b")).alias("psm")).select("event_id", "p.*", "psm")
+
+
+@query(f"""WITH {BM}, top AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, source_relpath, chunk_id) AS r FROM lex QUALIFY r <= 10)
+SELECT t.chunk_id, CASE WHEN r % 2 = 0 THEN substr(d.text, n.char_start + 1, n.char_end - n.char_start) ELSE 'given' END AS evidence FROM top t JOIN named n USING (chunk_id) JOIN documents d ON d.doc_id = t.doc_id""")
+def evidence_backfill(spark, sf_dir):
+    hits = plans.ranked(plans.search(_windows(spark, sf_dir), ASKED), "source_relpath", "chunk_id")
+    given = F.when(F.col("rank") % 2 == 1, "given")
+    full = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("whole"))
+    return hits.select("doc_id", "chunk_id", "char_start", "char_end", given.alias("given")).join(full, "doc_id").select("chunk_id", F.coalesce("given", text.span(F.col("whole"), F.col("char_start"), F.col("char_end"))).alias("evidence"))
