@@ -5,6 +5,7 @@ Each entry is registered by @query(sql); sql is None where SQL can't express it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import geometry, paths, text, vectors
 from millrace.operators import catalog, chunking, enrich, jobs, lexical, overviews, scopes, vector
 from millrace.plans import search as plans
+from millrace.session import shared_dir
 from millrace.sources import corpus
 from millrace.streaming import publish
 
@@ -292,6 +294,13 @@ def lexical_search(spark, sf_dir):
     return plans.search(_windows(spark, sf_dir), ASKED).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"), "snippet")
 
 
+@query(f"WITH {BM} SELECT chunk_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, chunk_id LIMIT 10")
+def indexed_search(spark, sf_dir):
+    path = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
+    lexical.build_index(_windows(spark, sf_dir), path)
+    return lexical.search_index(spark, path, ASKED).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {BM} SELECT source_relpath, chunk_id, round(score, 6) AS score FROM lex WHERE source_relpath LIKE 'src1/%' ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 10")
 def search_in_folder(spark, sf_dir):
     return plans.search(_windows(spark, sf_dir), ASKED, scope=scopes.Scope("folder", "src1")).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import search_tokens
@@ -24,35 +24,58 @@ def corpus_stats(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return lengths(chunks, key).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
+def _wanted(spark: SparkSession, query: str) -> dict[str, int]:
+    """The query's terms and how often each is asked."""
+    found = spark.range(1).select(search_tokens(F.lit(query)).alias("t")).first()["t"]
+    return {t: found.count(t) for t in found}
+
+
+def _gain(n: int, avgdl: float, df: Column | int, tf: Column, dl: Column, k1: float, b: float) -> Column:
+    df = F.lit(df) if isinstance(df, int) else df
+    return F.ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def bm25(chunks: DataFrame, query: str, top_k: int | None = 10, key: str = "chunk_id", k1: float = K1, b: float = B, include_zero: bool = False) -> DataFrame:
     """The columns of chunks and score, best first; ties by key.
 
-    The query's terms filter the tokens before anything is shuffled: per chunk there remains one row
-    with its term counts, so the join with document frequencies is of as many rows as the query has
-    terms. Statistics are of all chunks. A repeated query term counts as often as it is repeated.
+    Without an index it is two scans and no shuffle of texts: one for the statistics of all chunks
+    (their number, mean length, and how many hold each of the query's terms), one that scores. A
+    query term counts as often as it is asked. For many queries, build_index once.
     """
-    spark = chunks.sparkSession
-    wanted = {}
-    for t in spark.range(1).select(search_tokens(F.lit(query)).alias("t")).first()["t"]:
-        wanted[t] = wanted.get(t, 0) + 1
-    stats = corpus_stats(chunks, key).first()
-    n, avgdl = stats["n_chunks"], stats["avgdl"] or 1.0
-    tokens = search_tokens(F.col("text"))
-    counted = chunks.withColumn("_t", tokens)
+    wanted = _wanted(chunks.sparkSession, query)
+    if not wanted:
+        return chunks.withColumn("score", F.lit(0.0)).limit(0)
     terms = list(wanted)
 
-    def occurrences(term: str):
+    def occurrences(term: str) -> Column:
         return F.size(F.filter("_t", lambda x: x == term)).cast("double")
 
-    tf = [occurrences(t) for t in terms]
-    if not terms:
-        return chunks.withColumn("score", F.lit(0.0)).limit(0)
-    counted = counted.select(*chunks.columns, F.size("_t").cast("double").alias("_dl"), *[c.alias(f"_tf{i}") for i, c in enumerate(tf)])
-    df = counted.agg(*[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms))]).first()
+    counted = chunks.withColumn("_t", search_tokens(F.col("text"))).select(*chunks.columns, F.size("_t").cast("double").alias("_dl"), *[occurrences(t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        idf = F.ln(F.lit(1.0 + (n - df[i] + 0.5) / (df[i] + 0.5)))
-        score = score + wanted[t] * idf * F.col(f"_tf{i}") / (F.col(f"_tf{i}") + k1 * (1 - b + b * F.col("_dl") / avgdl))
+        score = score + wanted[t] * _gain(stats["n"], stats["avgdl"] or 1.0, stats[f"d{i}"], F.col(f"_tf{i}"), F.col("_dl"), k1, b)
     found = counted.select(*chunks.columns, score.alias("score"))
     found = found if include_zero else found.where("score > 0")
     return found.orderBy(F.desc(F.round("score", 9)), key).limit(top_k) if top_k else found
+
+
+def build_index(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """Write the index: postings sorted by term, so that a query reads few row groups, and statistics."""
+    tokens = search_tokens(F.col("text"))
+    rows = chunks.select(key, F.size(tokens).cast("double").alias("dl"), F.explode(tokens).alias("term"))
+    rows.groupBy("term", key, "dl").agg(F.count(F.lit(1)).cast("double").alias("tf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    corpus_stats(chunks, key).write.parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """key and score of the best chunks of an index; the terms are a filter of the scan of postings."""
+    wanted = _wanted(spark, query)
+    stats = spark.read.parquet(f"{path}/stats").first()
+    found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*wanted))
+    df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not df:
+        return found.select(key, F.lit(0.0).alias("score")).limit(0)
+    per_term = F.create_map(*[x for t, n in df.items() for x in (F.lit(t), F.struct(F.lit(n).alias("df"), F.lit(wanted[t]).alias("times")))])[F.col("term")]
+    gain = per_term["times"] * _gain(stats["n_chunks"], stats["avgdl"] or 1.0, per_term["df"], F.col("tf"), F.col("dl"), k1, b)
+    return found.groupBy(key).agg(F.sum(gain).alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(top_k)

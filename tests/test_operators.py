@@ -139,3 +139,31 @@ def test_publication_is_incremental(spark, tmp_path):
             spark.range(100, 100 + more).write.mode("append").parquet(src)
         publish.publish(publish.arriving(spark, src, "id bigint"), out, mark).awaitTermination()
         assert spark.read.parquet(out).count() == 5 + more
+
+
+def test_index_equals_the_scan(spark, tmp_path):
+    from millrace.operators import lexical
+
+    rows = [(f"c{i}", " ".join(["alpha", "beta", "gamma"][j % 3] for j in range(i % 7)) + " delta" * (i % 3)) for i in range(60)]
+    chunks = spark.createDataFrame(rows, ["chunk_id", "text"])
+    lexical.build_index(chunks, str(tmp_path / "x"))
+    for q in ("alpha delta", "beta beta", "nothing", ""):
+        a = [(r["chunk_id"], round(r["score"], 9)) for r in lexical.bm25(chunks, q, 10).collect()]
+        b = [(r["chunk_id"], round(r["score"], 9)) for r in lexical.search_index(spark, str(tmp_path / "x"), q, 10).collect()]
+        assert a == b
+
+
+def test_embedding_retries_shortens_and_resumes(spark):
+    from millrace.operators import embedding
+
+    def client(texts):
+        if any(len(t) > 600 for t in texts):
+            raise embedding.TooLong
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return embedding.toy_client(texts)
+
+    chunks = spark.createDataFrame([("a", "fine"), ("b", "x" * 900), ("c", "bad"), ("d", " "), ("e", "done before")], ["chunk_id", "text"]).coalesce(1)
+    rows = {r["chunk_id"]: r for r in embedding.embed(chunks, client, chunks.where("chunk_id = 'e'"), wait=0.0).collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["c"]["status"] == "no" and rows["c"]["embedding"] is None
+    assert rows["a"]["embedding"] == embedding.toy_client(["fine"])[0] and rows["b"]["embedding"] == embedding.toy_client(["x" * 512])[0]
