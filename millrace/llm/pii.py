@@ -276,11 +276,12 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[done:]
 
 
-def personal_data(docs: DataFrame, selector: Selector | None = None, redacted: bool = True) -> DataFrame:
+def personal_data(docs: DataFrame, selector: Selector | None = None, redacted: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_<base kind>, base_sha256, spans (and redacted) of every row of docs, with no shuffle.
 
     A null text counts as empty and has no spans; its redacted text is null. spans lists kind:start:end
     by start, in code points, end exclusive. Without a selector one is fitted to the documents.
+    keep names columns of docs to return as they are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(selector or fit_selector(docs))
 
@@ -295,7 +296,9 @@ def personal_data(docs: DataFrame, selector: Selector | None = None, redacted: b
                 spans.append(_listed(chosen))
                 clean.append(None if text is None else redact(text, chosen))
             columns = [part.column("doc_id"), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(4)), pa.array(base_hash, pa.string()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(clean, pa.string())] * redacted, ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"] + ["redacted"] * redacted)
+            names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"] + ["redacted"] * redacted
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(clean, pa.string())] * redacted + [part.column(c) for c in keep], names + list(keep))
 
     kind = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string" + ", redacted string" * redacted
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, kind)
+    kind += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *keep).mapInArrow(run, kind)

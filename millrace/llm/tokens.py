@@ -32,14 +32,14 @@ def _classes() -> np.ndarray:
 class PieceTable:
     """Piece hash -> its ids, by open addressing; emptied when half full."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits = bits
         self.clear()
 
     def clear(self) -> None:
         self.key = np.zeros(1 << self.bits, np.uint64)
         self.at = np.full(1 << self.bits, -1, np.int32)
-        self.first, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.first, self.length, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def find(self, key: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ class PieceTable:
         """New entries; keys are distinct and not in the table."""
         if self.n + len(keys) > len(self.first):
             more = max(len(self.first), len(keys))
-            self.first, self.length = np.append(self.first, np.zeros(more, np.int64)), np.append(self.length, np.zeros(more, np.int64))
+            self.first, self.length = np.append(self.first, np.zeros(more, np.int32)), np.append(self.length, np.zeros(more, np.int32))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
         self.ids[self.used : self.used + len(ids)] = ids
@@ -153,7 +153,7 @@ class TextEncoder:
             entry = self.table.find(key) if len(missing) == len(key) else np.where(entry < 0, -1, entry)
             if len(missing) < len(key):
                 entry[missing] = self.table.find(key[missing])
-        length = self.table.length[entry]
+        length = self.table.length[entry].astype(np.int64)
         index = np.arange(int(length.sum())) + np.repeat(self.table.first[entry] - (np.cumsum(length) - length), length)
         ids = self.table.ids[index]
         counts = np.bincount(text, weights=length, minlength=len(at) - 1).astype(np.int64)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 STEP = 0x9E3779B97F4A7C15
 STEP_INVERSE = pow(STEP, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
