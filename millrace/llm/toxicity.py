@@ -89,14 +89,17 @@ def fit(word: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, label: np.nd
     return w, float(bias)
 
 
-def telling_words(index: np.ndarray, n_words: int, word: np.ndarray, sentence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def telling_words(index: np.ndarray, n_words: int, word: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Which words stand in toxic documents' sentences clearly more often than chance has it.
 
-    Equal sentences count once, so a passage that is copied is no evidence for all of its words.
+    A sentence that follows the same one in several documents counts once, so a passage that is
+    copied is no evidence for all of its words.
     """
     content = np.zeros(len(toxic), np.uint64)
     np.add.at(content, sentence, word * np.uint64(0x9E3779B97F4A7C15))
-    _, once = np.unique(np.stack([content, toxic.astype(np.uint64)]), axis=1, return_index=True)
+    before = np.zeros(len(toxic), np.uint64)
+    before[1:] = np.where(doc_of[1:] == doc_of[:-1], content[:-1], 0)
+    _, once = np.unique(np.stack([content, before, toxic.astype(np.uint64)]), axis=1, return_index=True)
     first = np.zeros(len(toxic), bool)
     first[once] = True
     pair = np.unique(index[first[sentence]].astype(np.int64) * len(toxic) + sentence[first[sentence]])
@@ -165,7 +168,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
             return
         word, sentence, doc_of = np.concatenate(word), np.concatenate(sentence), np.concatenate(doc_of)
         hashes, index = np.unique(word, return_inverse=True)
-        often = telling_words(index, len(hashes), word, sentence, y[doc_of] == 1)
+        often = telling_words(index, len(hashes), word, sentence, doc_of, y[doc_of] == 1)
         keep = often[index]
         index = (np.cumsum(often) - 1)[index[keep]]
         w, bias = fit(index, sentence[keep], doc_of, y.astype(int))
