@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 SAMPLES = 32
 #: doc_ids of one block (a power of two): a document's neighbours are found inside its block
 BLOCK_BITS = 8
@@ -96,24 +98,26 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(id_.alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.shiftright("id", BLOCK_BITS))
     blocks = _block_neighbours(docs.select(id_.alias("id")).withColumn("block", F.shiftright("id", BLOCK_BITS)))
-    placed = rows.join(blocks, "block")
+    blocks = materialize(blocks, "blocks")
     # the first text of each block in descending order is the next one of the last in the block above
-    guests = placed.where("id = high").groupBy(F.col("up").alias("block")).agg(F.max("text").alias("guest"))
+    # (>= because an equality would become a key of the join, and the texts be shuffled once more)
+    guests = rows.join(blocks.select("block", "high", "up"), "block").where("id >= high").groupBy(F.col("up").alias("block")).agg(F.max("text").alias("guest"))
     g = guests.select(F.col("block").alias("guest_block"), "guest")
-    met = placed.join(g, (F.col("block") == F.col("guest_block")) & (F.col("id") == F.col("low")), "left")
+    # both uses of met need the same columns, so that they share one shuffle of the texts
+    met = rows.join(blocks.select("block", "low"), "block").join(g, (F.col("block") == F.col("guest_block")) & (F.col("id") == F.col("low")), "left")
     order = Window.partitionBy("block").orderBy(F.desc("id"), F.desc("text"))
-    ranked = met.select("block", "id", "text", "up", F.row_number().over(order).alias("row"), F.coalesce(F.lead("text").over(order), F.col("guest")).alias("next"))
+    ranked = met.select("block", "id", "text", F.row_number().over(order).alias("row"), F.coalesce(F.lead("text").over(order), F.col("guest")).alias("next"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next, cast(floor(length(text) / 2) as int))"))
     edited = F.when(half > 0, edited).otherwise(F.col("text"))
-    pair = ranked.select("block", "row", "up", "id", "text", edited.alias("edited"))
+    pair = ranked.select("block", "row", "id", "text", edited.alias("edited"))
     both = pair.select("block", "row", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t")).select("block", "row", "t.kind", "t.text")
     marks = weighted_samples(both, ["block", "row", "kind"], samples)
     marks = marks.groupBy("block", "row").agg(F.max(F.when(F.col("kind") == 0, F.col("marks"))).alias("marks"), F.max(F.when(F.col("kind") == 1, F.col("marks"))).alias("edited_marks"))
-    about = pair.select("block", "row", "up", "id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    full = about.join(marks, ["block", "row"])
+    about = pair.select("block", "row", "id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    full = materialize(about.join(marks, ["block", "row"]), "fingerprints")
     # fingerprints of the next documents: in the block, else the first of the block below
-    heads = full.where("row = 1").select(F.col("up").alias("head_block"), F.col("marks").alias("head_marks"))
+    heads = full.where("row = 1").join(blocks.select("block", "up"), "block").select(F.col("up").alias("head_block"), F.col("marks").alias("head_marks"))
     down = Window.partitionBy("block").orderBy("row")
     last = F.lead("row").over(down).isNull()
     full = full.withColumn("last", last).withColumn("next_marks", F.lead("marks").over(down)).join(heads, (F.col("block") == F.col("head_block")) & F.col("last"), "left")
