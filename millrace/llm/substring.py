@@ -103,7 +103,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     windows lists which windows of the run repeat; null stands for all. A window is judged on the
     input as it is, and repeats within one document count.
     """
-    found = materialize(seeds(docs.select("doc_id", "text"), window, seed), "seeds")
+    found = materialize(seeds(_known(docs), window, seed), "seeds")
     # written, so that the join is of two plain shuffles, whose hot anchors Spark can split
     shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     found = materialize(found.join(shared, "anchor", "left_semi"), "shared-seeds")
@@ -122,9 +122,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): texts without their repeated words.
 
     Each word covered by a window of `window` words that also starts anywhere else is removed; kept
-    words are joined by one space. A null text has no words. doc_id identifies a document: it must
-    be unique and not null for a text to be matched with its own runs; rows that share one (or have
-    none) are returned with nothing removed from them beyond what holds for all of those rows.
+    words are joined by one space. A null text has no words. A row without a doc_id takes no part: it
+    is returned whole and nothing is compared with it. Rows that share a doc_id are told apart by
+    their texts only where these are equal; doc_id is meant to be unique.
     """
     marks = repeats(docs, window, seed)
 
