@@ -1,11 +1,15 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, folded to 64 symbols, and of order 4: its whole probability table has
-2**24 places whatever it is trained on, so it can be sent to every task. Counts are of all trusted
-text: each task counts the n-grams of its texts, and what follows (sums, continuation counts,
-discounts, context totals, the interpolation from order to order) are joins of tables that are
-sharded by n-gram or by context. A document's perplexity is held against a quantile, per language,
-of the perplexities of trusted documents that the model was not trained on.
+The model is of words as they stand (any script, case kept), WORDS in a row, counted over all trusted
+text. Its counts, continuation counts, discounts, probabilities and left-over shares are tables that
+are sharded by n-gram and grow with the text; no task and not the driver holds them. Documents are
+scored by a join of their own n-grams with one such table, and a sum per text.
+
+What is left for words that were never seen is shared out by how they are spelled: a second model, of
+characters folded to 64 symbols and of order 4, is counted from the same text. Its whole table has
+2**24 places whatever it is trained on, so it alone is sent to every task. A document's perplexity is
+held against a quantile, per language, of the perplexities of trusted documents that the models were
+not trained on.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.ngram_join import only_ids
 from millrace.llm.toxicity import held_out
-from millrace.llm.wordbatch import slices, text_bytes
+from millrace.llm.wordbatch import SPACE, U, mix, per_doc, signed, slices, span_hashes, text_bytes
 from millrace.session import materialize
 
+#: words of the longest n-grams
+WORDS = 3
+#: characters of those of the spelling model
 ORDER = 4
 SYMBOL_BITS = 6
 QUANTILE = 0.995
@@ -82,6 +89,17 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _discounts(counts: DataFrame) -> list[float]:
+    seen = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a and b else 0.5 * i ** 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def _by_count(d: list[float]):
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
 def probabilities(counts: DataFrame) -> list[DataFrame]:
     """For each order from 1: gram, p (interpolated) and, of its context, gamma (what is left for lower orders).
 
@@ -95,11 +113,7 @@ def probabilities(counts: DataFrame) -> list[DataFrame]:
     tables.reverse()
     out, lower = [], None
     for order, table in enumerate(tables, 1):
-        seen = {r["n"]: r["k"] for r in table.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-        n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a and b else 0.5 * i ** 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        discount = _by_count(_discounts(table))
         context = F.shiftright("gram", SYMBOL_BITS).alias("context")
         contexts = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
         own = table.select("gram", context, (F.col("n") - discount).alias("share")).join(contexts, "context")
@@ -136,19 +150,184 @@ def table_of(tables: list[DataFrame]) -> np.ndarray:
     return np.minimum(p, 65535, out=p).astype(np.uint16)
 
 
-def perplexities(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity (per character; null for an empty text) of every row, with no shuffle."""
+def _classes() -> np.ndarray:
+    """0 for white space, 1 for bytes that words are made of, 2 for those that stand alone."""
+    out = np.full(256, 2, np.uint8)
+    out[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    out[SPACE] = 0
+    return out
+
+
+_CLASS = _classes()
+#: the edges of a text among its words
+START, END = U(0x51A7), U(0x0E4D)
+
+
+class Tokens:
+    """Words and single signs of texts, text by text, as hashes; and what the spelling of each says."""
+
+    def __init__(self, column):
+        data, at = text_bytes(column)
+        kind = _CLASS[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        before, after = np.append(0, kind[:-1])[: len(kind)], np.append(kind[1:], 0)[: len(kind)]
+        self.start = np.flatnonzero((kind == 2) | (kind == 1) & ((before != 1) | edge[:-1]))
+        self.end = np.flatnonzero((kind == 2) | (kind == 1) & ((after != 1) | edge[1:])) + 1
+        self.raw = data.tobytes()
+        self.n_chars = per_doc((data & 0xC0) != 0x80, at)
+        self.hash = span_hashes(data, self.start, self.end)
+        self.counts = np.diff(np.searchsorted(self.start, at))
+
+    def spelled(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words, log p of the spelling of each, and which of them each word is."""
+        word, one, which = np.unique(self.hash, return_index=True, return_inverse=True)
+        return word, spelling([self.raw[a:b] for a, b in zip(self.start[one].tolist(), self.end[one].tolist(), strict=True)], table), which
+
+    def padded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all texts, each text between two STARTs and an END; each word's text and place in it."""
+        length = self.counts + 3
+        first = np.cumsum(length) - length
+        text = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(text)) - first[text]
+        words = np.full(len(text), START)
+        words[(place >= 2) & (place < length[text] - 1)] = self.hash
+        words[place == length[text] - 1] = END
+        return words, text, place
+
+
+def spelling(words: list[bytes], table: np.ndarray) -> np.ndarray:
+    """log p of the characters of each word and of the space that ends it, after a space."""
+    spaced = [b" " + w + b" " for w in words]
+    at = np.append(0, np.cumsum([len(w) for w in spaced])).astype(np.int64)
+    column = pa.LargeStringArray.from_buffers(len(spaced), pa.py_buffer(at), pa.py_buffer(b"".join(spaced)))
+    code, char_at = gram_codes(column)
+    cost = table[code].astype(np.int64)
+    cost[char_at[:-1]] = 0
+    return -per_doc(cost, char_at) / SCALE
+
+
+def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from that of all but its last word, and that word."""
+    return mix(before * U(0x9FB21C651E98DF25) + word + U(1))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """gram, context, short, middle, last, n: the counts of all n-grams of WORDS words.
+
+    n-grams are keys of 64 bits: the whole one, all but its last word, all but its first, its middle
+    word and its last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words, _, place = Tokens(part.column("text")).padded()
+            two = pair(words[:-1], words[1:])
+            three = pair(two[:-1], words[2:])
+            at = np.flatnonzero(place[2:] >= 2)
+            gram, one, n = np.unique(three[at], return_index=True, return_counts=True)
+            at = at[one]
+            columns = [gram, two[at], two[at + 1], words[at + 1], words[at + 2]]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in columns] + [pa.array(n.astype(np.int64))], ["gram", "context", "short", "middle", "last", "n"])
+
+    kind = "gram bigint, context bigint, short bigint, middle bigint, last bigint, n bigint"
+    parts = [F.first(c).alias(c) for c in ("context", "short", "middle", "last")]
+    return texts.select("text").mapInArrow(run, kind).groupBy("gram").agg(*parts, F.sum("n").alias("n"))
+
+
+def vocabulary(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """gram, below: each word of the texts and log p of its spelling; END is the word of no characters."""
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            word, logs, _ = Tokens(part.column("text")).spelled(sent.value)
+            logs = np.append(logs, spelling([b""], sent.value))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.append(word, END))), pa.array(logs)], ["gram", "below"])
+
+    return texts.select("text").mapInArrow(run, "gram bigint, below double").groupBy("gram").agg(F.first("below").alias("below"))
+
+
+def word_values(counts: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
+    """gram, value of every n-gram of every order, and the log of the share that spelling has.
+
+    log p of a word is the sum of the values of the n-grams that end in it, of the n-grams before it
+    that are its contexts, of that share and of its spelling. An n-gram that was never seen adds
+    nothing: the left-over share of its context, and what the shorter one has, are in the sum already.
+    """
+    three = counts.select("gram", "context", "short", "middle", "last", "n")
+    two = materialize(three.groupBy(F.col("short").alias("gram")).agg(F.first("middle").alias("context"), F.first("last").alias("short"), F.count(F.lit(1)).alias("n")), "word-counts")
+    one = materialize(two.groupBy(F.col("short").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    total = one.agg(F.sum("n").alias("n")).first()["n"] or 0
+    discount = _by_count(_discounts(one))
+    held = one.agg(F.sum(discount).alias("held")).first()["held"] or 0.0
+    share = float(np.log(held / total)) if total else 0.0
+    own = one.join(words, "gram").select("gram", F.log((F.col("n") - discount) / F.lit(max(total, 1)) + F.exp(F.col("below") + share)).alias("p"), (F.col("below") + share).alias("rest"))
+    lower = materialize(own.select("gram", "p", (F.col("p") - F.col("rest")).alias("value")), "word-model")
+    parts = [lower.select("gram", "value")]
+    for table in (two, three):
+        discount = _by_count(_discounts(table))
+        contexts = materialize(table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("held")), "word-contexts")
+        left = F.col("held") / F.col("total")
+        found = table.select("gram", "context", "short", (F.col("n") - discount).alias("share")).join(contexts.hint("merge"), "context")
+        found = found.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")).hint("merge"), "short")
+        p = F.log(F.col("share") / F.col("total") + left * F.exp("below"))
+        lower = materialize(found.select("gram", p.alias("p"), (p - F.log(left) - F.col("below")).alias("value")), "word-model")
+        parts += [lower.select("gram", "value"), contexts.select(F.col("context").alias("gram"), F.log(left).alias("value"))]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy("gram").agg(F.sum("value").alias("value")), share
+
+
+def document_grams(docs: DataFrame) -> DataFrame:
+    """row, gram, n: the n-grams of all orders in each text, counted before they are shuffled; docs are row, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words, text, place = Tokens(part.column("text")).padded()
+            two = pair(words[:-1], words[1:])
+            three = pair(two[:-1], words[2:])
+            found = [(words, place >= 1, 0), (two, place[1:] >= 1, 1), (three, place[2:] >= 2, 2)]
+            gram = np.concatenate([x[ok] for x, ok, _ in found])
+            of = np.concatenate([text[k:][ok] for _, ok, k in found])
+            _, one, n = np.unique(pair(gram, of.astype(np.uint64)), return_index=True, return_counts=True)
+            row = part.column("row").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(row[of[one]]), pa.array(signed(gram[one])), pa.array(n.astype(np.int32))], ["row", "gram", "n"])
+
+    return docs.select("row", "text").mapInArrow(run, "row bigint, gram bigint, n int")
+
+
+def perplexities(docs: DataFrame, table: np.ndarray, values: DataFrame, share: float) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity (per character and end; null for an empty text) of every row.
+
+    Rows are followed by a hash of their text, which is all that the perplexity depends on: the sum
+    over equal texts is divided by their number.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(table)
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = spelling([b""], sent.value)[0]
         for part in slices(batches):
-            code, at = gram_codes(part.column("text"))
-            total = np.append(0, np.cumsum(sent.value[code], dtype=np.int64))
-            n = np.diff(at)
-            mean = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1) / SCALE
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(n.astype(np.int64)), pa.array(np.exp(mean), mask=n == 0)], ["doc_id", "lang", "n_chars", "perplexity"])
+            found = Tokens(part.column("text"))
+            _, logs, which = found.spelled(sent.value)
+            at = np.append(0, np.cumsum(found.counts))
+            base = per_doc_sum(logs[which], at) + end + (found.counts + 1) * share
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "row")), pa.array(found.n_chars), pa.array(base)], ["doc_id", "lang", "row", "n_chars", "base"])
+
+    rows = materialize(docs.mapInArrow(run, "doc_id bigint, lang string, row bigint, n_chars bigint, base double"), "spelled")
+    sums = document_grams(docs).join(values.hint("merge"), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("sum"))
+    equal = rows.groupBy("row").agg(F.count(F.lit(1)).alias("equal"))
+    each = equal.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("equal")).alias("words"))
+    mean = -(F.col("base") + F.col("words")) / (F.col("n_chars") + 1)
+    return rows.join(each, "row").select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(mean)).alias("perplexity"))
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang string, n_chars bigint, perplexity double")
+def per_doc_sum(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of x in each at[d] .. at[d + 1]."""
+    total = np.append(0.0, np.cumsum(x))
+    return total[at[1:]] - total[at[:-1]]
 
 
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -162,9 +341,10 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sla
     ids = materialize(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "trusted")
     train = ids.where(~held_out(F.col("doc_id")))
     # a merge join at any size: what is shuffled then grows with the trusted text, without a jump
-    texts = only_ids(docs, train).join(train.hint("merge"), "doc_id", "left_semi")
+    texts = materialize(only_ids(docs, train).join(train.hint("merge"), "doc_id", "left_semi").select("text"), "trusted-texts")
     table = table_of(probabilities(materialize(gram_counts(texts), "kn-grams")))
-    scored = materialize(perplexities(docs, table), "perplexities")
+    values, share = word_values(materialize(word_counts(texts), "word-counts"), vocabulary(texts, table))
+    scored = materialize(perplexities(docs, table, materialize(values, "word-values"), share), "perplexities")
     trial = scored.where("perplexity IS NOT NULL").join(ids.where(held_out(F.col("doc_id"))), "doc_id", "left_semi")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     everywhere = trial.agg(cut.alias("t")).first()["t"]

@@ -233,6 +233,55 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.abs(p[(code >> 6)[3:]].sum(1) - 1).max() < 0.01 and np.abs(p[:100].sum(1) - 1).max() < 0.01
 
 
+def plain_word_model(texts, table):
+    """log p of a word after two others, by the definition: a recursion over counts in dictionaries."""
+    edge, counts = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\x20\x09-\x0D]"), [Counter(), Counter(), Counter()]
+    split = lambda t: ["<s>", "<s>", *edge.findall(t), ""]
+    for t in texts:
+        w = split(t)
+        counts[2].update(tuple(w[i - 2 : i + 1]) for i in range(2, len(w)))
+    for k in (1, 0):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    cut, total, held = [], [], []
+    for c in counts:
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.05) if n[i] and n[i + 1] else 0.5 * i**0.5 for i in (1, 2, 3)]
+        cut.append(lambda n, d=d: d[min(n, 3) - 1])
+        total.append(Counter()), held.append(Counter())
+        for g, n in c.items():
+            total[-1][g[:-1]] += n
+            held[-1][g[:-1]] += cut[-1](n)
+
+    def p(g):
+        k, context = len(g) - 1, g[:-1]
+        below = p(g[1:]) if k else np.exp(kneser_ney.spelling([g[0].encode()], table)[0])
+        if not total[k][context]:
+            return below
+        n = counts[k][g]
+        return ((n - cut[k](n) if n else 0) + held[k][context] * below) / total[k][context]
+
+    def perplexity(t):
+        w = split(t)
+        return np.exp(-sum(np.log(p(tuple(w[i - 2 : i + 1]))) for i in range(2, len(w))) / (len(t) + 1))
+
+    return perplexity
+
+
+def test_word_model_equals_the_plain_one(spark):
+    trained = ["the cat sat on the mat. the dog sat too", "a dog ran to the cat, the cat ran", "кот сидел дома", "the cat sat", "the cat sat"]
+    asked = ["the cat sat on the mat", "mat the on cat the sat", "кот сидел дома", "дот кидел сома", "a bird, ran", "the cat sat on the mat", "?", " \n"]
+    texts = spark.createDataFrame([(t,) for t in trained], "text string").repartition(2)
+    table = kneser_ney.table_of(kneser_ney.probabilities(kneser_ney.gram_counts(texts)))
+    values, share = kneser_ney.word_values(kneser_ney.word_counts(texts), kneser_ney.vocabulary(texts, table))
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(asked)], "doc_id bigint, lang string, text string").repartition(3)
+    got = [r["perplexity"] for r in kneser_ney.perplexities(rows, table, values, share).orderBy("doc_id").collect()]
+    plain = plain_word_model(trained, table)
+    assert got == pytest.approx([plain(t) for t in asked], rel=1e-6)
+    # words in another order, and other words of the same letters, are told apart
+    assert got[1] > 1.3 * got[0] and got[3] > 1.3 * got[2]
+
+
 def test_quality(spark, docs, empty):
     big = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
