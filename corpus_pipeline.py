@@ -1,6 +1,8 @@
 """A pipeline from raw documents to packed training sequences.
 
 Each stage reads what the stage before wrote and all but the last return the columns of documents.
+Inside a stage a row is followed by a key of all it holds, not by its doc_id, which may be missing or
+shared; rows with one key are equal in every column.
 """
 
 from __future__ import annotations
@@ -16,24 +18,36 @@ from millrace.llm.packing import pack
 from millrace.llm.pii import personal_data
 from millrace.llm.queries import vocabulary
 from millrace.llm.rules import quality_rules
-from millrace.session import shared_dir, table
+from millrace.session import row_key, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key(*COLUMNS).alias("_row"), *COLUMNS)
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """The rows with their key as doc_id."""
+    return _keyed(docs).select(F.col("_row").alias("doc_id"), "text", "lang", "source", "n_chars")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules or their host's verdict reject."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    kept = quality_rules(_by_key(docs)).where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return _keyed(docs).join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each class of near copies (five words, 0.8)."""
-    kept = ngram_components(docs, n=5, percent=80).where("component_id = doc_id").select("doc_id").distinct()
-    one = F.struct("text", "lang", "source", "n_chars")
-    # a doc_id that stands in several rows is one document
-    found = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(one).alias("d"))
-    return found.select("doc_id", "d.text", "d.lang", "d.source", "d.n_chars")
+    """Keep one document of each class of near copies (five words, 0.8): that of the least doc_id, if any has one."""
+    found = ngram_components(_by_key(docs), n=5, percent=80).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
+    least = found.join(_keyed(docs).select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least"), F.max("n_shingles").alias("n"))
+    kept = least.select("least._row", "n")
+    one = F.struct(*COLUMNS)
+    # equal rows are copies of each other, but for those without words, which are like nothing
+    rows = _keyed(docs).join(kept, "_row").groupBy("_row", "doc_id").agg(F.first(one).alias("d"), F.count(F.lit(1)).cast("int").alias("equal"), F.first("n").alias("n"))
+    return rows.select(F.explode(F.array_repeat("d", F.when(F.col("n") > 0, 1).otherwise(F.col("equal")))).alias("d")).select("d.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +58,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources have their target weights."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*COLUMNS)
+    copies = mix_sources(_by_key(docs)).groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    # equal rows are one here, with the copies of all of them
+    rows = _keyed(docs).groupBy("_row", "doc_id").agg(F.first(F.struct(*COLUMNS)).alias("d")).join(copies, "_row")
+    return rows.select(F.explode(F.array_repeat("d", F.col("copies"))).alias("d")).select("d.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.wordbatch import Words, leftmost_minimum, mix, rolling, signed, slices, within
-from millrace.session import materialize
+from millrace.session import materialize, row_key
 
 WINDOW = 35
 SEED = 16
@@ -43,7 +43,7 @@ def _runs(words: Words, window: int, seed: int):
 
 
 def seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, first, length, anchor, content: the runs of windows that have one anchor."""
+    """row, first, length, anchor, content: the runs of windows that have one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -54,14 +54,14 @@ def seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
             np.cumsum(mix(whole + np.uint64(7)), out=total[1:])
             at = keep[first] if len(first) else first
             content = mix(total[at + length] - total[at] + mix(whole[at] + offset.astype(np.uint64) * np.uint64(1 << 32) + length.astype(np.uint64)))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = part.column("row").to_numpy(zero_copy_only=False)
             text = doc[first] if len(first) else first
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[text], pa.int64()), pa.array((at - words.of[text]).astype(np.int64)), pa.array(length.astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(content))],
-                ["doc_id", "first", "length", "anchor", "content"],
+                ["row", "first", "length", "anchor", "content"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, first bigint, length int, anchor bigint, content bigint")
+    return docs.mapInArrow(run, "row bigint, first bigint, length int, anchor bigint, content bigint")
 
 
 def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
@@ -93,38 +93,38 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _known(docs: DataFrame) -> DataFrame:
-    """The texts, in a form whose shuffle by doc_id all joins of one query share."""
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    """The texts and a key of each row, in a form whose shuffle by that key all joins of one query share."""
+    return docs.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """What repeats in each text: doc_id, marks (array of first, length, windows).
+    """What repeats in each text: row, marks (array of first, length, windows).
 
     windows lists which windows of the run repeat; null stands for all. A window is judged on the
-    input as it is, and repeats within one document count.
+    input as it is, and repeats within one document count. Equal rows share their key and so their
+    marks; each counts for itself.
     """
     found = materialize(seeds(_known(docs), window, seed), "seeds")
     # written, so that the join is of two plain shuffles, whose hot anchors Spark can split
     shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     found = materialize(found.join(shared, "anchor", "left_semi"), "shared-seeds")
-    runs = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "first", "length")).alias("one"))
+    runs = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "length")).alias("one"))
     # anchors with several different runs: only there can single windows match
     several = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    mixed = runs.join(several, "anchor", "left_semi").groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", "copies", F.col("one.first").alias("first"), F.col("one.length").alias("length"))).alias("runs"))
-    windows = _window_hashes(_known(docs).join(mixed, "doc_id"), window)
+    mixed = runs.join(several, "anchor", "left_semi").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("anchor", "content", "copies", F.col("one.first").alias("first"), F.col("one.length").alias("length"))).alias("runs"))
+    windows = _window_hashes(_known(docs).join(mixed, "row"), window)
     matched = windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "hash")
     partial = windows.where("copies = 1").join(matched, ["anchor", "hash"], "left_semi").groupBy("anchor", "content").agg(F.collect_list("index").alias("windows"))
     whole = runs.where("copies > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("windows"))
-    return found.join(whole.unionByName(partial), ["anchor", "content"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "length", "windows")).alias("marks"))
+    return found.join(whole.unionByName(partial), ["anchor", "content"]).groupBy("row").agg(F.collect_set(F.struct("first", "length", "windows")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text_out: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): texts without their repeated words.
 
     Each word covered by a window of `window` words that also starts anywhere else is removed; kept
-    words are joined by one space. A null text has no words. A row without a doc_id takes no part: it
-    is returned whole and nothing is compared with it. Rows that share a doc_id are told apart by
-    their texts only where these are equal; doc_id is meant to be unique.
+    words are joined by one space. A null text has no words. Rows are told apart by doc_id and text, so
+    those without a doc_id, or with one that others have too, take part like any other.
     """
     marks = repeats(docs, window, seed)
 
@@ -160,5 +160,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * text_out, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text_out)
 
     kind = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * text_out
-    unknown = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
-    return _known(docs).join(marks, "doc_id", "left").unionByName(unknown).mapInArrow(run, kind)
+    return _known(docs).join(marks, "row", "left").mapInArrow(run, kind)

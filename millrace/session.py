@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "millrace", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -48,3 +49,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(*columns: str) -> Column:
+    """A number for a row by what it holds: 64 bits of hash over columns, nulls counted as such.
+
+    It is the same wherever it is computed; rows that share it are equal in these columns.
+    """
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))

@@ -404,6 +404,18 @@ def test_substring_dedup_of_odd_tables(docs, empty):
     assert substring.remove_repeats(docs).count() == len(ROWS) and substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_missing_and_shared_ids(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    passage = prose(40)
+    texts = [(1, prose(5) + " " + passage), (None, passage + " " + prose(7)), (2, prose(50)), (2, prose(9) + " " + passage), (None, prose(45)), (None, "same " * 40), (None, "same " * 40)]
+    rows = substring.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)).collect()
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows)
+    plain = plain_removed(list(enumerate(t for _, t in texts)), 35)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows) == Counter((d, *plain[i]) for i, (d, _) in enumerate(texts))
+    assert got[(1, 45, 40, texts[0][1].split(passage)[0].strip())] == 1
+
+
 def test_rules(spark, docs, empty):
     rows = rules.quality_rules(docs).collect()
     assert len(rows) == len(ROWS) and rules.quality_rules(empty).count() == 0
@@ -447,3 +459,26 @@ def test_pipeline(spark, sf_dir):
     pieces = corpus_pipeline.pack_windows(spark, docs, sf_dir)
     copies = docs.groupBy("doc_id").count().count()
     assert pieces.select("doc_id").distinct().count() == copies
+
+
+def test_pipeline_keeps_rows_of_missing_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e, f = (prose(60) for _ in range(6))
+    near = " ".join(["other", *b.split()[1:]])
+    rows = [(None, a), (None, near), (3, b), (2, c), (2, d), (4, e), (4, "too short"), (None, f), (None, f), (None, "short too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    good = corpus_pipeline.keep_good(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in good.collect()) == Counter(r for r in rows if len(r[1]) > 20)
+    kept = corpus_pipeline.drop_near_copies(spark, good, "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, a), (3, b), (2, c), (2, d), (4, e), (None, f)])
+    # one source: every row has as many copies as any other, but for the rounding
+    wordless = spark.createDataFrame([(None, "", "en", "s", 0), (None, "", "en", "s", 0), (7, None, "en", "s", None)], docs.schema)
+    assert corpus_pipeline.drop_near_copies(spark, wordless, "").count() == 3
+    mixed = corpus_pipeline.mix(spark, kept, "")
+    copies = mixing.mix_sources(kept).agg(F.sum("copies")).first()[0]
+    assert mixed.count() == copies and {(r["doc_id"], r["text"]) for r in mixed.collect()} <= {(r["doc_id"], r["text"]) for r in kept.collect()}
+    if copies >= kept.count():
+        assert mixed.distinct().count() == kept.count()
