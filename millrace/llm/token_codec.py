@@ -2,14 +2,21 @@
 
 A block is cut into strips of equal length that are coded side by side, one id of each strip per
 step, each strip with a range coder of its own and all with one model that learns from every strip
-after each step. The order-2 table (of a hash of the two ids before) and the order-1 table (of the
-id before) each predict one id and hold how sure they are; adaptive counts for each pair of
-certainties split the code space between the order-2 prediction, the order-1 prediction and
-adaptive order-0 frequencies of all ids. A block starts from an empty model, so it can be read by
-itself, and holds checksums of its ids and of its code.
+after each step. The model holds
+
+- order 2: for a hash of the two ids before, the id that mostly follows and how sure that is;
+- order 1: for the id before, NEXT ids that follow it with their counts, and how often they serve;
+- order 0: the counts of all ids.
+
+The probability of an id is the weighted sum of what the three orders give it. The weights are
+adaptive: for each pair of how sure order 2 and how reliable order 1 are, counts of which order
+explained the ids coded there best. In code space the ids that orders 1 and 2 name come last, each with
+the whole sum of what the three orders give it; all others share what is left as order 0 has it.
+A block starts from an empty model, so it can be read by itself, and holds checksums of its ids and
+of its code.
 
 Layout, little-endian: 4 bytes magic; uint32 ids, vocabulary, strips, crc32 of the ids as uint32,
-crc32 of what follows; uint32 code words of each strip; the strips' code as uint16 words.
+crc32 of what follows; uint16 code words of each strip; the strips' code as uint32 words.
 """
 
 from __future__ import annotations
@@ -18,18 +25,23 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"MRC1"
+MAGIC = b"MRC2"
 HEAD = 24
-BITS = 24
+BITS = 28
 TOTAL = 1 << BITS
-_TOP, _LOW, _MASK = np.uint64(1 << 32), np.uint64(1 << 28), np.uint64((1 << 48) - 1)
-_SHIFT = np.uint64(16)
 STRIPS = 4096
 STRIP_IDS = 64
-TABLE_BITS = 20
-#: steps between two counts of the order-0 frequencies
-RECOUNT = 8
-FLOOR = 16
+TABLE_BITS = 18
+#: ids that follow an id, as far as order 1 remembers them
+NEXT = 2
+MOST = 252
+#: what a count gains when its id comes, and loses when one comes that has no count
+GAIN, LOSE = 4, 1
+#: steps between two counts of the order-0 frequencies; at first they are counted after each step
+RECOUNT, EAGER = 8, 4
+FLOOR = 64
+_WORD = np.uint64(32)
+_SPAN = np.uint64(1 << 32)
 
 
 class BlockError(ValueError):
@@ -40,104 +52,183 @@ class _Model:
     def __init__(self, vocabulary: int):
         self.v = vocabulary
         # entry: predicted id * 8 + how sure it is
-        self.one = np.zeros(vocabulary + 1, np.int64)
-        self.two = np.zeros(1 << TABLE_BITS, np.int64)
+        self.two = np.zeros(1 << TABLE_BITS, np.int32)
+        # entry: id * 256 + count
+        self.next = np.zeros((NEXT, vocabulary + 1), np.int32)
+        self.serves = np.zeros(vocabulary + 1, np.int32)
         self.counts = np.zeros(vocabulary, np.int64)
-        self.seen = np.zeros(128 * 3, np.int64)
-        self.seen[0::3], self.seen[1::3], self.seen[2::3] = 8, 1, 1
+        self.floor = FLOOR * np.arange(1, vocabulary + 1)
+        self.cum = np.zeros(vocabulary + 1, np.int64)
+        self.seen = np.tile(np.array([8, 1, 1, 1], np.int64), 64)
         self.recount()
         self.share()
 
     def recount(self) -> None:
         room = TOTAL - FLOOR * self.v
-        sums = np.cumsum(self.counts)
-        total = max(int(sums[-1]), 1)
-        self.cum = np.zeros(self.v + 1, np.int64)
-        self.cum[1:] = FLOOR * np.arange(1, self.v + 1) + (sums * room // total if sums[-1] else np.arange(1, self.v + 1) * room // self.v)
+        total = int(self.counts.sum())
+        # rounded down twice; what that leaves goes to the last id
+        sums = np.cumsum(self.counts) * ((room << 20) // total) >> 20 if total else np.arange(1, self.v + 1) * (room // self.v)
+        np.add(self.floor, sums, out=self.cum[1:])
         self.cum[-1] = TOTAL
+        # up to an eighth: what all ids that aren't named share can't get too small for the rarest
+        self.own = np.minimum(np.diff(self.cum), TOTAL // 8).astype(np.float32)
 
     def share(self) -> None:
-        """Code space of each pair of certainties: below zero[c] order 0, below one[c] order 1, the rest order 2."""
-        seen = self.seen.reshape(-1, 3)
-        spare = TOTAL - TOTAL // 16 - 2 * 64
-        part = seen * spare // seen.sum(1, keepdims=True)
-        self.at_zero = part[:, 0] + TOTAL // 16
-        self.at_one = self.at_zero + part[:, 1] + 64
-
-    def look(self, before: np.ndarray, before2: np.ndarray):
-        slot = ((before2 * 0x9E3779B1 + before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        two, one = self.two[slot], self.one[before]
-        context = (two & 7) * 8 + (one & 7) + 64 * ((two >> 3) == (one >> 3))
-        return slot, two, one, context, self.at_zero[context], self.at_one[context]
-
-    def learn(self, x, before, slot, two, one, context, hit2, hit1, step: int, done) -> None:
-        self.seen += np.bincount(context * 3 + np.where(hit2, 2, hit1), minlength=len(self.seen))
-        for place, entry, hit, table in ((slot, two, hit2, self.two), (before, one, (one >> 3) == x, self.one)):
-            sure = entry & 7
-            table[place] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - (sure + 1 >> 1), x * 8 + 1))
-        if step % RECOUNT == RECOUNT - 1:
-            self.counts += np.bincount(done(), minlength=self.v)
+        """Code space of the orders for each pair of order 2's and order 1's certainties."""
+        none, one, two, both = self.seen.reshape(-1, 4).T
+        # what both explained is shared out evenly
+        part = np.stack([2 * none, 2 * one + both, 2 * two + both])
+        part = (part * (TOTAL - TOTAL // 32) // part.sum(0)).astype(np.int32)
+        self.zero = ((TOTAL // 32 + part[0]) / TOTAL).astype(np.float32)
+        self.one, self.sure = part[1], part[2]
+
+    def look(self, before: np.ndarray, before2: np.ndarray) -> None:
+        """The named ids of each strip with their code space, and what is left for all others."""
+        slot = before2 * 0x9E3779B1
+        slot += before * 0x85EBCA6B
+        slot &= 0xFFFFFFFF
+        slot >>= 32 - TABLE_BITS
+        self.before, self.slot = before, slot
+        self.two_now, self.serves_now = self.two[slot], self.serves[before]
+        self.next_now = [row[before] for row in self.next]
+        self.context = context = ((self.two_now & 7) * 8 + (self.serves_now >> 5)).astype(np.intp)
+        zero = self.zero[context]
+        counts = [e & 255 for e in self.next_now]
+        unit = self.one[context] // np.maximum(sum(counts[1:], counts[0]), 1)
+        two, told = self.two_now >> 3, self.sure[context]
+        self.ids = [e >> 8 for e in self.next_now] + [two]
+        self.space = []
+        # an id has the sum of what orders 0, 1 and 2 give it; what both name has its space once
+        once = None
+        for named, count in zip(self.ids, counts, strict=False):
+            other = named != two
+            once = other if once is None else once & other
+            self.space.append((self.own[named] * zero).astype(np.int32) + count * unit + np.where(other, 0, told))
+        self.space.append(((self.own[two] * zero).astype(np.int32) + told) * once)
+        self.rest = TOTAL - sum(self.space[1:], self.space[0])
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each id in its strip's code space; and remembers who named it."""
+        start, length = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        self.hits = [ids == x for ids in self.ids]
+        unnamed, at = ~self.hits[-1], TOTAL
+        for hit, space in zip(reversed(self.hits), reversed(self.space), strict=True):
+            at = at - space
+            k = np.flatnonzero(hit)
+            start[k], length[k] = at[k], space[k]
+            unnamed &= ~hit
+        k = np.flatnonzero(unnamed)
+        rest, own = self.rest[k].astype(np.int64), x[k]
+        low = (self.cum[own] * rest) >> BITS
+        start[k], length[k] = low, ((self.cum[own + 1] * rest) >> BITS) - low
+        return start, length
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold the given places of code space."""
+        low = self.rest
+        found = self.ids[0].copy()
+        rest = np.flatnonzero(at < low)
+        for ids, space in zip(self.ids[1:], self.space, strict=False):
+            low = low + space
+            np.copyto(found, ids, where=at >= low)
+        # in order of their places, which makes the search several times as fast
+        place = np.sort((((at[rest] + 1) << BITS) - 1) // self.rest[rest] << 13 | np.arange(len(rest)))
+        found[rest[place & 8191]] = np.searchsorted(self.cum, place >> 13, "right") - 1
+        return found
+
+    def learn(self, x: np.ndarray, step: int, done) -> None:
+        before, two, told = self.before, self.two_now, self.hits[-1]
+        known = self.hits[0]
+        for hit in self.hits[1:-1]:
+            known = known | hit
+        self.seen += np.bincount(self.context * 4 + (known.view(np.int8) + told.view(np.int8) * 2), minlength=len(self.seen))
+        sure = two & 7
+        self.two[self.slot] = np.where(told, two + (sure < 7), np.where(sure > 1, two - (sure + 1 >> 1), x * 8 + 1))
+        for row, now, hit in zip(self.next, self.next_now, self.hits[:-1], strict=True):
+            k = np.flatnonzero(hit)
+            more = now[k]
+            row[before[k]] = more + np.where((more & 255) < MOST, GAIN, 0).astype(np.int32)
+        self.serves[before] = self.serves_now + (np.where(known, np.int32(MOST), 0) - self.serves_now >> 4)
+        # an id that order 1 doesn't name takes the place of one that is rare, or makes it rarer
+        k = np.flatnonzero(~known)
+        turn = step % NEXT
+        now = self.next_now[turn][k]
+        self.next[turn][before[k]] = np.where((now & 255) <= LOSE, x[k] * 256 + GAIN, now - LOSE)
+        if step < EAGER or step % RECOUNT == RECOUNT - 1:
+            self.counts += np.bincount(done(1 if step < EAGER else RECOUNT - EAGER if step == RECOUNT - 1 else RECOUNT), minlength=self.v)
             self.recount()
             self.share()
             if self.seen.max() > 1 << 22:
                 self.seen = np.maximum(self.seen >> 1, 1)
 
 
-def _shape(n: int) -> tuple[int, int]:
-    strips = max(1, min(STRIPS, n // STRIP_IDS))
-    return strips, -(-n // strips)
+def _shape(n: int) -> tuple[int, int, np.ndarray]:
+    """Strips, steps (up to 2**15), and how many strips have an id left at each step."""
+    strips = max(1, min(STRIPS, n // STRIP_IDS), -(-n >> 15))
+    steps = -(-n // strips)
+    return strips, steps, np.minimum(strips, -(-(n - np.arange(steps)) // max(steps, 1)))
+
+
+def _last(grid: np.ndarray, live: np.ndarray, step: int):
+    """The ids of the last few steps up to `step`."""
+    return lambda n: np.concatenate([grid[s, : live[s]] for s in range(step - n + 1, step + 1)])
 
 
 def encode(ids: np.ndarray, vocabulary: int | None = None) -> bytes:
-    """The block of ids (at most 2**20 different ones: FLOOR * vocabulary stays below TOTAL)."""
+    """The block of ids (at most 2**21 different ones: FLOOR * vocabulary stays below TOTAL)."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
     v = int(vocabulary or (ids.max() + 1 if n else 1))
     if v * FLOOR * 2 > TOTAL or n and int(ids.max()) >= v:
         raise ValueError("ids are beyond the vocabulary, or the vocabulary is too large")
-    strips, steps = _shape(n)
-    grid = np.zeros(strips * steps, np.int64)
+    strips, steps, live = _shape(n)
+    grid = np.zeros(strips * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(strips, steps).T)
-    live = np.minimum(strips, -(-(n - np.arange(steps)) // steps)) if n else np.zeros(steps, int)
     model = _Model(v)
-    low, span = np.zeros(strips, np.uint64), np.full(strips, (1 << 48) - 1, np.uint64)
-    code, used = np.zeros((strips, 2 * steps + 6), np.uint16), np.zeros(strips, np.int64)
+    low, span = np.zeros(strips, np.uint64), np.full(strips, (1 << 64) - 1, np.uint64)
+    code, used = np.zeros((strips, steps + 2), np.uint32), np.ones(strips, np.int64)
     before, before2 = np.full(strips, v, np.int64), np.full(strips, v, np.int64)
-    for t in range(steps if n else 0):
+    for t in range(steps):
         a = int(live[t])
-        x, b, b2 = grid[t, :a], before[:a], before2[:a]
-        slot, two, one, context, zero, mid = model.look(b, b2)
-        hit2 = (two >> 3) == x
-        hit1 = ~hit2 & ((one >> 3) == x)
-        start = np.where(hit2, mid, np.where(hit1, zero, model.cum[x] * zero >> BITS))
-        stop = np.where(hit2, TOTAL, np.where(hit1, mid, model.cum[x + 1] * zero >> BITS))
+        x, b = grid[t, :a], before[:a]
+        model.look(b, before2[:a])
+        start, length = model.interval(x)
         unit = span[:a] >> np.uint64(BITS)
-        lo = low[:a] + unit * start.astype(np.uint64)
-        sp = unit * (stop - start).astype(np.uint64)
-        while True:
-            same = ((lo ^ (lo + sp)) & ~np.uint64(0xFFFFFFFF)) == 0
-            out = np.flatnonzero(same | (sp < _LOW))
-            if not len(out):
-                break
-            cut = out[~same[out]]
-            sp[cut] = (np.uint64(0) - lo[cut]) & (_LOW - np.uint64(1))
-            code[out, used[out]] = (lo[out] >> np.uint64(32)).astype(np.uint16)
-            used[out] += 1
-            lo[out] = (lo[out] << _SHIFT) & _MASK
-            sp[out] <<= _SHIFT
+        lo = low[:a] + unit * start.view(np.uint64)
+        sp = unit * length.view(np.uint64)
+        over = np.flatnonzero(lo < low[:a])
+        if len(over):
+            _carry(code, used, over)
+        out = np.flatnonzero(sp < _SPAN)
+        word = lo[out]
+        code[out, used[out]] = word >> _WORD
+        used[out] += 1
+        lo[out] = word << _WORD
+        sp[out] <<= _WORD
         low[:a], span[:a] = lo, sp
-        model.learn(x, b, slot, two, one, context, hit2, hit1, t, lambda t=t: grid[t - RECOUNT + 1 : t + 1].ravel() if live[t] == strips else np.concatenate([grid[s, : live[s]] for s in range(t - RECOUNT + 1, t + 1)]))
+        model.learn(x, t, _last(grid, live, t))
         before2[:a] = b
         before[:a] = x
-    for shift in (32, 16, 0):
-        code[np.arange(strips), used] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-        used += 1
-    if not n:
-        strips, code, used = 0, code[:0], used[:0]
-    words = code[np.arange(code.shape[1])[None, :] < used[:, None]]
-    body = used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
-    return MAGIC + np.array([n, v, strips, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)], "<u4").tobytes() + body
+    # one word says enough: a multiple of 2**32 in the interval; what follows is read as zeros
+    end = low + np.uint64(0xFFFFFFFF)
+    _carry(code, used, np.flatnonzero(end < low))
+    code[np.arange(strips), used] = end >> _WORD
+    used += 1
+    # the first word of a strip only takes what is carried, and nothing is
+    used = used - 1 if n else used[:0]
+    words = code[:, 1:][np.arange(code.shape[1] - 1)[None, :] < used[:, None]] if n else code[:0, 0]
+    body = used.astype("<u2").tobytes() + words.astype("<u4").tobytes()
+    return MAGIC + np.array([n, v, len(used), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)], "<u4").tobytes() + body
+
+
+def _carry(code: np.ndarray, used: np.ndarray, strips: np.ndarray) -> None:
+    """Add one to the last word of each of the strips, and to the word before where that one wraps."""
+    place = used[strips] - 1
+    while len(strips):
+        code[strips, place] += np.uint32(1)
+        wrapped = code[strips, place] == 0
+        strips, place = strips[wrapped], place[wrapped] - 1
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -149,49 +240,35 @@ def decode(block: bytes) -> np.ndarray:
         raise BlockError("the code was changed or cut short")
     if not n:
         return np.zeros(0, np.uint32)
-    steps = _shape(n)[1]
-    used = np.frombuffer(block, "<u4", strips, HEAD).astype(np.int64)
-    words = np.append(np.frombuffer(block, "<u2", offset=HEAD + 4 * strips), np.zeros(4, np.uint16)).astype(np.uint64)
-    place = np.cumsum(used) - used
-    live = np.minimum(strips, -(-(n - np.arange(steps)) // steps))
+    _, steps, live = _shape(n)
+    used = np.frombuffer(block, "<u2", strips, HEAD).astype(np.int64)
+    words = np.append(np.frombuffer(block, "<u4", offset=HEAD + 2 * strips), np.uint32(0)).astype(np.uint64)
+    stop = np.cumsum(used)
+    place, end = stop - used, len(words) - 1
     model = _Model(v)
-    low, span = np.zeros(strips, np.uint64), np.full(strips, (1 << 48) - 1, np.uint64)
-    value = (words[place] << np.uint64(32)) | (words[place + 1] << _SHIFT) | words[place + 2]
-    place = place + 3
-    grid = np.zeros((steps, strips), np.int64)
+    span = np.full(strips, (1 << 64) - 1, np.uint64)
+    # how far the code is above the interval's low end
+    above = (words[place] << _WORD) | words[np.where(used > 1, place + 1, end)]
+    place = place + 2
+    grid = np.zeros((steps, strips), np.int32)
     before, before2 = np.full(strips, v, np.int64), np.full(strips, v, np.int64)
-    end = len(words) - 1
     for t in range(steps):
         a = int(live[t])
-        b, b2 = before[:a], before2[:a]
-        slot, two, one, context, zero, mid = model.look(b, b2)
+        b = before[:a]
+        model.look(b, before2[:a])
         unit = span[:a] >> np.uint64(BITS)
-        at = np.minimum(((value[:a] - low[:a]) & _MASK) // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-        hit2, hit0 = at >= mid, at < zero
-        hit1 = ~hit2 & ~hit0
-        x = np.where(hit2, two >> 3, one >> 3)
-        k = np.flatnonzero(hit0)
-        x[k] = np.searchsorted(model.cum, (((at[k] + 1) << BITS) - 1) // zero[k], "right") - 1
-        safe = np.minimum(x, v - 1)
-        start = np.where(hit2, mid, np.where(hit1, zero, model.cum[safe] * zero >> BITS))
-        stop = np.where(hit2, TOTAL, np.where(hit1, mid, model.cum[safe + 1] * zero >> BITS))
-        lo = low[:a] + unit * start.astype(np.uint64)
-        sp = unit * (stop - start).astype(np.uint64)
-        while True:
-            same = ((lo ^ (lo + sp)) & ~np.uint64(0xFFFFFFFF)) == 0
-            out = np.flatnonzero(same | (sp < _LOW))
-            if not len(out):
-                break
-            cut = out[~same[out]]
-            sp[cut] = (np.uint64(0) - lo[cut]) & (_LOW - np.uint64(1))
-            value[out] = ((value[out] << _SHIFT) & _MASK) | words[np.minimum(place[out], end)]
-            place[out] += 1
-            lo[out] = (lo[out] << _SHIFT) & _MASK
-            sp[out] <<= _SHIFT
-        low[:a], span[:a] = lo, sp
+        at = np.minimum(above[:a] // unit, np.uint64(TOTAL - 1)).view(np.int64)
+        x = np.minimum(model.find(at), np.int32(v - 1))
+        start, length = model.interval(x)
+        up = above[:a] - unit * start.view(np.uint64)
+        sp = unit * length.view(np.uint64)
+        out = np.flatnonzero(sp < _SPAN)
+        up[out] = (up[out] << _WORD) | words[np.where((own := place[out]) < stop[out], own, end)]
+        place[out] = own + 1
+        sp[out] <<= _WORD
+        above[:a], span[:a] = up, sp
         grid[t, :a] = x
-        # an id that was predicted but came by order 0 is counted as it was coded
-        model.learn(x, b, slot, two, one, context, (two >> 3) == x, ((two >> 3) != x) & ((one >> 3) == x), t, lambda t=t: grid[t - RECOUNT + 1 : t + 1].ravel() if live[t] == strips else np.concatenate([grid[s, : live[s]] for s in range(t - RECOUNT + 1, t + 1)]))
+        model.learn(x, t, _last(grid, live, t))
         before2[:a] = b
         before[:a] = x
     ids = grid.T.ravel()[:n].astype(np.uint32)

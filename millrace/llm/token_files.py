@@ -21,7 +21,7 @@ from millrace.llm.tokens import TextEncoder
 from millrace.llm.wordbatch import slices
 
 #: ids of a block; one document is never cut
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 BLOCKS = "file int, block int, n_ids bigint, doc_ids array<bigint>, lengths array<int>, code binary"
 
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts with a byte-level BPE of the tokenizers library.
 
 Texts are first cut where that kind of tokenizer cuts them, all texts of a slice at once; each piece
-is encoded by the library when a task first meets it and then looked up. Texts with an apostrophe, or
+is encoded by the library's model when a task first meets it and then looked up. Texts with an apostrophe, or
 with characters whose class may differ between Unicode versions, go to the library whole.
 """
 
@@ -29,6 +29,15 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _shown() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
+    return np.where(seen, np.arange(256), 255 + np.cumsum(~seen)).astype(np.uint32)
+
+
+_SHOWN = _shown()
+
+
 class PieceTable:
     """Piece hash -> its ids, by open addressing; emptied when half full."""
 
@@ -97,12 +106,11 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on each core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        cut = self.library.pre_tokenizer
+        if type(cut).__name__ != "ByteLevel" or cut.add_prefix_space or not cut.use_regex or self.library.normalizer:
+            raise ValueError("the vocabulary isn't of the byte-level kind")
         self.kind = _classes()
         self.table = PieceTable()
-        # in a byte-level vocabulary each character of a token stands for one byte
-        self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
-        for token, i in self.library.get_vocab().items():
-            self.bytes_of[i] = len(token)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [self.library.encode(t, add_special_tokens=False).ids for t in texts]
@@ -168,32 +176,14 @@ class TextEncoder:
         return ids, np.append(0, np.cumsum(counts))
 
     def _learn(self, raw: bytes, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Pieces that start with a blank are cut the same way when they follow one another, so they
-        go to the library in long texts; where each one's ids end follows from the ids' bytes."""
-        blank = np.frombuffer(raw, np.uint8)[begin] == 32
-        blank &= end - begin > 1
-        blank &= np.frombuffer(raw, np.uint8)[np.minimum(begin + 1, len(raw) - 1)] > 32
-        order = np.argsort(~blank, kind="stable")
-        keys, begin, end = keys[order], begin[order], end[order]
-        n = int(blank.sum())
-        ids, lengths = [], np.zeros(len(keys), np.int64)
-        ends = np.cumsum(end - begin)
-        for i in range(0, n, 2048):
-            j = min(i + 2048, n)
-            text = b"".join([raw[a:b] for a, b in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)])
-            found = np.array(self._fast([text.decode()])[0].ids, np.int64)
-            done = np.cumsum(self.bytes_of[found]) + (ends[i] - (end[i] - begin[i]))
-            stop = np.searchsorted(done, ends[i:j])
-            if done[-1] != ends[j - 1] or (done[stop] != ends[i:j]).any():
-                raise ValueError("the vocabulary isn't of the byte-level kind")
-            lengths[i:j] = np.diff(np.append(-1, stop))
-            ids.append(found)
-        words = [raw[a:b].decode() for a, b in zip(begin[n:].tolist(), end[n:].tolist(), strict=True)]
-        for i in range(0, len(words), 2048):
-            found = [x.ids for x in self._fast(words[i : i + 2048])]
-            lengths[n + i : n + i + 2048] = [len(x) for x in found]
-            ids.append(np.array([y for x in found for y in x], np.int64))
-        self.table.add(keys, np.concatenate(ids).astype(np.uint32), lengths)
-
-    def _fast(self, texts: list[str]):
-        return self.library.encode_batch_fast(texts, add_special_tokens=False)
+        """The library's model takes one piece at a time, each byte as the character that stands for it."""
+        length = end - begin
+        at = np.append(0, np.cumsum(length))
+        index = np.arange(at[-1]) + np.repeat(begin - at[:-1], length)
+        shown = _SHOWN[np.frombuffer(raw, np.uint8)[index]].tobytes().decode("utf-32-le")
+        model, ids, counts = self.library.model.tokenize, [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            found = model(shown[a:b])
+            counts.append(len(found))
+            ids += [x.id for x in found]
+        self.table.add(keys, np.array(ids, np.uint32), np.array(counts, np.int64))
