@@ -1,354 +1,292 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of words as they stand (any script, case kept), WORDS in a row, counted over all trusted
-text. Its counts, continuation counts, discounts, probabilities and left-over shares are tables that
-are sharded by n-gram and grow with the text; no task and not the driver holds them. Documents are
-scored by a join of their own n-grams with one such table, and a sum per text.
-
-What is left for words that were never seen is shared out by how they are spelled: a second model, of
-characters folded to 64 symbols and of order 4, is counted from the same text. Its whole table has
-2**24 places whatever it is trained on, so it alone is sent to every task. A document's perplexity is
-held against a quantile, per language, of the perplexities of trusted documents that the models were
-not trained on.
+The model is of characters as they stand (any script, case kept), ORDER in a row and so across the
+ends of words. Its n-grams are counted over all trusted text, added up in each task before they are
+shuffled. Counts, continuation counts, discounts, probabilities and left-over shares are tables that
+are sharded by n-gram and grow with the text; neither a task nor the driver holds them.
+
+A document's log probability is a sum over its places. The FREQUENT n-grams of the largest counts, a
+number that doesn't depend on the corpus, are sent to all tasks and serve nearly all places there. The
+n-grams of all other places are counted by document and joined with the sharded table, which gives
+exactly what the frequent ones leave out. The perplexity is held against a quantile, per language, of
+the perplexities of trusted documents that the model was not trained on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.ngram_join import only_ids
+from millrace.llm.ngram_join import bit_set, only_ids
 from millrace.llm.toxicity import held_out
-from millrace.llm.wordbatch import SPACE, U, mix, per_doc, signed, slices, span_hashes, text_bytes
+from millrace.llm.wordbatch import U, mix, signed, slices, text_bytes
 from millrace.session import materialize
 
-#: words of the longest n-grams
-WORDS = 3
-#: characters of those of the spelling model
-ORDER = 4
-SYMBOL_BITS = 6
+#: characters of the longest n-grams
+ORDER = 5
+#: how many n-grams tasks are sent, at most; it bounds memory and changes no result
+FREQUENT = 1 << 19
 QUANTILE = 0.995
 #: trusted documents of a language below which the quantile of all languages holds
 LEAST_DOCS = 30
-SLACK = 1.05
-#: log probabilities are kept as multiples of 1 / SCALE
-SCALE = 2048
-
-
-def _symbols() -> np.ndarray:
-    """Symbol of each code point up to 0x300: 0 is kept for the edge of a text."""
-    out = np.full(0x300, 62, np.uint32)
-    out[:32] = 63
-    out[[9, 11, 12, 13, 32]] = 28
-    out[10] = 29
-    for i, c in enumerate(".,;:!?'\"-()"):
-        out[ord(c)] = 30 + i
-    for i, group in enumerate(("#", "*", "$%", "&", "|", "<>", "/\\", "_=+", "@", "[]{}~^`")):
-        for c in group:
-            out[ord(c)] = 41 + i
-    out[48:58] = 27
-    out[65:91] = 51
-    out[97:123] = np.arange(1, 27)
-    for i in range(0xC0, 0x250):
-        out[i] = 52 + i % 10
-    return out
-
-
-_SYMBOL = _symbols()
-
-
-def gram_codes(column) -> tuple[np.ndarray, np.ndarray]:
-    """For each character of each text, the code of it and the three before; and where texts begin."""
-    data, at = text_bytes(column)
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    char_at = np.append(0, np.cumsum((data & 0xC0) != 0x80))[at]
-    # letters of other scripts share ten symbols
-    symbol = np.where(points < 0x300, _SYMBOL[np.minimum(points, 0x2FF)], 52 + points % 10).astype(np.uint32)
-    n = len(symbol)
-    code = symbol.copy()
-    place = np.arange(n) - np.repeat(char_at[:-1], np.diff(char_at))
-    for k in range(1, ORDER):
-        before = np.zeros(n, np.uint32)
-        before[k:] = symbol[:-k] if k < n else before[k:]
-        code |= np.where(place >= k, before, 0).astype(np.uint32) << np.uint32(SYMBOL_BITS * k)
-    return code, char_at
+#: code points that there are: what no text has shares evenly
+POINTS = 0x110000
+_STEP = U(0x9FB21C651E98DF25)
+
+
+class Places:
+    """The characters of texts, text by text, each after ORDER - 1 line feeds and before one."""
+
+    def __init__(self, column):
+        data, at = text_bytes(column)
+        n = len(at) - 1
+        self.data = np.insert(data, np.concatenate([np.repeat(at[:-1], ORDER - 1), at[1:]]), 10)
+        at = at + ORDER * np.arange(n + 1)
+        self.char = np.flatnonzero((self.data & 0xC0) != 0x80)
+        self.points = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        char_at = np.searchsorted(self.char, at)
+        self.n_chars = np.diff(char_at) - ORDER
+        text = np.repeat(np.arange(n), np.diff(char_at))
+        #: the places that are predicted (a text's characters and the line feed after it), and their texts
+        self.event = np.flatnonzero(np.arange(len(text)) - char_at[text] >= ORDER - 1)
+        self.text = text[self.event]
+
+    def keys(self, k: int, at: np.ndarray) -> np.ndarray:
+        """A hash of the k characters up to each place."""
+        out = np.zeros(len(at), np.uint64)
+        for before in range(k - 1, -1, -1):
+            out *= _STEP
+            out += self.points[at - before]
+        return mix(out + U(k << 56))
+
+    def strings(self, at: np.ndarray, k: int = ORDER) -> pa.Array:
+        """The k characters up to each place."""
+        begin, end = self.char[at - k + 1], np.append(self.char, len(self.data))[at + 1]
+        length = end - begin
+        to = np.append(0, np.cumsum(length))
+        index = np.arange(to[-1]) + np.repeat(begin - to[:-1], length)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(self.data[index]))
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, n: the counts of all n-grams of the highest order in a table of texts."""
+    """gram, n: the counts of all n-grams of ORDER characters in a table of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            gram, n = np.unique(gram_codes(part.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(n)], ["gram", "n"])
+        for part in slices(batches, most=1 << 20):
+            places = Places(part.column("text"))
+            _, one, n = np.unique(places.keys(ORDER, places.event), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([places.strings(places.event[one]), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
     seen = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a and b else 0.5 * i ** 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a and b else 0.5 * i**0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def _by_count(d: list[float]):
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+def _suffix() -> Column:
+    return F.expr("substring(gram, 2)")
 
 
-def probabilities(counts: DataFrame) -> list[DataFrame]:
-    """For each order from 1: gram, p (interpolated) and, of its context, gamma (what is left for lower orders).
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """gram, n, logp, value, rest: all n-grams of orders 1 to ORDER, and the contexts among them.
 
     counts are of the highest order; each lower order counts in how many different contexts its
-    n-grams were seen. Discounts follow from how many n-grams have counts 1 to 4.
+    n-grams were seen, and discounts follow from how many n-grams have counts 1 to 4. logp is of the
+    last character after the others, interpolated with all lower orders; rest, of an n-gram as a
+    context, the log of what it leaves to the lower order. value is logp less what it would be if the
+    n-gram hadn't been seen. A gram of no characters stands for the context of order 1.
     """
     tables = [counts.select("gram", "n")]
-    for order in range(ORDER - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND((1 << SYMBOL_BITS * order) - 1)
-        tables.append(materialize(tables[-1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "kn-counts"))
+    for _ in range(1, ORDER):
+        tables.append(materialize(tables[-1].groupBy(_suffix().alias("gram")).agg(F.count(F.lit(1)).alias("n")), "kn-counts"))
     tables.reverse()
-    out, lower = [], None
+    parts, lower = [], None
     for order, table in enumerate(tables, 1):
-        discount = _by_count(_discounts(table))
-        context = F.shiftright("gram", SYMBOL_BITS).alias("context")
-        contexts = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-        own = table.select("gram", context, (F.col("n") - discount).alias("share")).join(contexts, "context")
+        d = _discounts(table)
+        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        context = F.expr(f"left(gram, {order - 1})")
+        contexts = table.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
+        own = table.select("gram", "n", context.alias("context"), (F.col("n") - discount).alias("share")).join(contexts, "context")
         if lower is None:
-            below = own.withColumn("below", F.lit(1.0 / (1 << SYMBOL_BITS)))
+            own = own.withColumn("below", F.lit(1.0 / POINTS))
         else:
-            shorter = F.col("gram").bitwiseAND((1 << SYMBOL_BITS * (order - 1)) - 1)
-            below = own.withColumn("short", shorter).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
-        lower = materialize(below.select("gram", ((F.col("share") + F.col("held") * F.col("below")) / F.col("total")).alias("p"), (F.col("held") / F.col("total")).alias("gamma")), "kn")
-        out.append(lower)
-    return out
-
-
-def table_of(tables: list[DataFrame]) -> np.ndarray:
-    """-log p of every possible n-gram of the highest order, in units of 1 / SCALE.
-
-    The arrays' size depends on ORDER and SYMBOL_BITS alone (the last has 2**24 places of 2 bytes).
-    """
-    p = np.full(1, 1.0 / (1 << SYMBOL_BITS), np.float32)
-    for order, found in enumerate(tables, 1):
-        rows = found.toArrow()
-        gram = rows.column("gram").to_numpy()
-        gamma = np.ones(1 << SYMBOL_BITS * (order - 1), np.float32)
-        gamma[gram >> SYMBOL_BITS] = rows.column("gamma").to_numpy()
-        # an unseen n-gram has its context's leftover share of the shorter one
-        longer = np.repeat(gamma, 1 << SYMBOL_BITS)
-        longer.reshape(-1, len(p))[:] *= p
-        p = longer
-        p[gram] = rows.column("p").to_numpy()
-    # in place: the driver holds one such array
-    np.maximum(p, 1e-13, out=p)
-    np.log(p, out=p)
-    p *= -SCALE
-    return np.minimum(p, 65535, out=p).astype(np.uint16)
-
-
-def _classes() -> np.ndarray:
-    """0 for white space, 1 for bytes that words are made of, 2 for those that stand alone."""
-    out = np.full(256, 2, np.uint8)
-    out[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-    out[SPACE] = 0
-    return out
-
-
-_CLASS = _classes()
-#: the edges of a text among its words
-START, END = U(0x51A7), U(0x0E4D)
-
-
-class Tokens:
-    """Words and single signs of texts, text by text, as hashes; and what the spelling of each says."""
-
-    def __init__(self, column):
-        data, at = text_bytes(column)
-        kind = _CLASS[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[at] = True
-        before, after = np.append(0, kind[:-1])[: len(kind)], np.append(kind[1:], 0)[: len(kind)]
-        self.start = np.flatnonzero((kind == 2) | (kind == 1) & ((before != 1) | edge[:-1]))
-        self.end = np.flatnonzero((kind == 2) | (kind == 1) & ((after != 1) | edge[1:])) + 1
-        self.raw = data.tobytes()
-        self.n_chars = per_doc((data & 0xC0) != 0x80, at)
-        self.hash = span_hashes(data, self.start, self.end)
-        self.counts = np.diff(np.searchsorted(self.start, at))
-
-    def spelled(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct words, log p of the spelling of each, and which of them each word is."""
-        word, one, which = np.unique(self.hash, return_index=True, return_inverse=True)
-        return word, spelling([self.raw[a:b] for a, b in zip(self.start[one].tolist(), self.end[one].tolist(), strict=True)], table), which
-
-    def padded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words of all texts, each text between two STARTs and an END; each word's text and place in it."""
-        length = self.counts + 3
-        first = np.cumsum(length) - length
-        text = np.repeat(np.arange(len(length)), length)
-        place = np.arange(len(text)) - first[text]
-        words = np.full(len(text), START)
-        words[(place >= 2) & (place < length[text] - 1)] = self.hash
-        words[place == length[text] - 1] = END
-        return words, text, place
-
-
-def spelling(words: list[bytes], table: np.ndarray) -> np.ndarray:
-    """log p of the characters of each word and of the space that ends it, after a space."""
-    spaced = [b" " + w + b" " for w in words]
-    at = np.append(0, np.cumsum([len(w) for w in spaced])).astype(np.int64)
-    column = pa.LargeStringArray.from_buffers(len(spaced), pa.py_buffer(at), pa.py_buffer(b"".join(spaced)))
-    code, char_at = gram_codes(column)
-    cost = table[code].astype(np.int64)
-    cost[char_at[:-1]] = 0
-    return -per_doc(cost, char_at) / SCALE
-
-
-def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of an n-gram from that of all but its last word, and that word."""
-    return mix(before * U(0x9FB21C651E98DF25) + word + U(1))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """gram, context, short, middle, last, n: the counts of all n-grams of WORDS words.
-
-    n-grams are keys of 64 bits: the whole one, all but its last word, all but its first, its middle
-    word and its last.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            words, _, place = Tokens(part.column("text")).padded()
-            two = pair(words[:-1], words[1:])
-            three = pair(two[:-1], words[2:])
-            at = np.flatnonzero(place[2:] >= 2)
-            gram, one, n = np.unique(three[at], return_index=True, return_counts=True)
-            at = at[one]
-            columns = [gram, two[at], two[at + 1], words[at + 1], words[at + 2]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in columns] + [pa.array(n.astype(np.int64))], ["gram", "context", "short", "middle", "last", "n"])
-
-    kind = "gram bigint, context bigint, short bigint, middle bigint, last bigint, n bigint"
-    parts = [F.first(c).alias(c) for c in ("context", "short", "middle", "last")]
-    return texts.select("text").mapInArrow(run, kind).groupBy("gram").agg(*parts, F.sum("n").alias("n"))
-
-
-def vocabulary(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """gram, below: each word of the texts and log p of its spelling; END is the word of no characters."""
-    sent = texts.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            word, logs, _ = Tokens(part.column("text")).spelled(sent.value)
-            logs = np.append(logs, spelling([b""], sent.value))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.append(word, END))), pa.array(logs)], ["gram", "below"])
-
-    return texts.select("text").mapInArrow(run, "gram bigint, below double").groupBy("gram").agg(F.first("below").alias("below"))
-
-
-def word_values(counts: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
-    """gram, value of every n-gram of every order, and the log of the share that spelling has.
-
-    log p of a word is the sum of the values of the n-grams that end in it, of the n-grams before it
-    that are its contexts, of that share and of its spelling. An n-gram that was never seen adds
-    nothing: the left-over share of its context, and what the shorter one has, are in the sum already.
-    """
-    three = counts.select("gram", "context", "short", "middle", "last", "n")
-    two = materialize(three.groupBy(F.col("short").alias("gram")).agg(F.first("middle").alias("context"), F.first("last").alias("short"), F.count(F.lit(1)).alias("n")), "word-counts")
-    one = materialize(two.groupBy(F.col("short").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    total = one.agg(F.sum("n").alias("n")).first()["n"] or 0
-    discount = _by_count(_discounts(one))
-    held = one.agg(F.sum(discount).alias("held")).first()["held"] or 0.0
-    share = float(np.log(held / total)) if total else 0.0
-    own = one.join(words, "gram").select("gram", F.log((F.col("n") - discount) / F.lit(max(total, 1)) + F.exp(F.col("below") + share)).alias("p"), (F.col("below") + share).alias("rest"))
-    lower = materialize(own.select("gram", "p", (F.col("p") - F.col("rest")).alias("value")), "word-model")
-    parts = [lower.select("gram", "value")]
-    for table in (two, three):
-        discount = _by_count(_discounts(table))
-        contexts = materialize(table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("held")), "word-contexts")
-        left = F.col("held") / F.col("total")
-        found = table.select("gram", "context", "short", (F.col("n") - discount).alias("share")).join(contexts.hint("merge"), "context")
-        found = found.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")).hint("merge"), "short")
-        p = F.log(F.col("share") / F.col("total") + left * F.exp("below"))
-        lower = materialize(found.select("gram", p.alias("p"), (p - F.log(left) - F.col("below")).alias("value")), "word-model")
-        parts += [lower.select("gram", "value"), contexts.select(F.col("context").alias("gram"), F.log(left).alias("value"))]
+            own = own.join(lower.select(F.col("gram").alias("suffix"), F.exp("logp").alias("below")), _suffix() == F.col("suffix"))
+        rest = F.col("held") / F.col("total")
+        p = F.col("share") / F.col("total") + rest * F.col("below")
+        lower = materialize(own.select("gram", "n", F.log(p).alias("logp"), F.log(p / (rest * F.col("below"))).alias("value")), "kn-model")
+        parts += [lower.withColumn("rest", F.lit(None).cast("double")), contexts.select(F.col("context").alias("gram"), *[F.lit(None).cast(t).alias(c) for c, t in (("n", "bigint"), ("logp", "double"), ("value", "double"))], F.log(rest).alias("rest"))]
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
-    return rows.groupBy("gram").agg(F.sum("value").alias("value")), share
+    return rows.groupBy("gram").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in ("logp", "value", "rest")])
 
 
-def document_grams(docs: DataFrame) -> DataFrame:
-    """row, gram, n: the n-grams of all orders in each text, counted before they are shuffled; docs are row, text."""
+def _hashed(model: DataFrame) -> DataFrame:
+    """The model with the key of each n-gram, as Places has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            words, text, place = Tokens(part.column("text")).padded()
-            two = pair(words[:-1], words[1:])
-            three = pair(two[:-1], words[2:])
-            found = [(words, place >= 1, 0), (two, place[1:] >= 1, 1), (three, place[2:] >= 2, 2)]
-            gram = np.concatenate([x[ok] for x, ok, _ in found])
-            of = np.concatenate([text[k:][ok] for _, ok, k in found])
-            _, one, n = np.unique(pair(gram, of.astype(np.uint64)), return_index=True, return_counts=True)
-            row = part.column("row").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(row[of[one]]), pa.array(signed(gram[one])), pa.array(n.astype(np.int32))], ["row", "gram", "n"])
-
-    return docs.select("row", "text").mapInArrow(run, "row bigint, gram bigint, n int")
+        for batch in batches:
+            places = Places(batch.column("gram"))
+            last = np.cumsum(places.n_chars + ORDER) - 2
+            key = np.zeros(len(last), np.uint64)
+            for k in range(1, ORDER + 1):
+                own = np.flatnonzero(places.n_chars == k)
+                key[own] = places.keys(k, last[own])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(batch.column(c) for c in ("n", "logp", "value", "rest"))], ["key", "n", "logp", "value", "rest"])
+
+    return model.mapInArrow(run, "key bigint, n bigint, logp double, value double, rest double")
+
+
+class Frequent:
+    """The n-grams that tasks hold, by open addressing: their logp and rest."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, rest: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask = U(size - 1)
+        self.key, self.logp, self.rest = np.zeros(size, np.uint64), np.full(size, np.nan, np.float32), np.zeros(size, np.float32)
+        todo, slot = np.arange(len(keys)), keys & self.mask
+        while len(todo):
+            free = todo[self.key[slot[todo]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.key[slot[put]], self.logp[slot[put]], self.rest[slot[put]] = keys[put], logp[put], rest[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + U(1)) & self.mask
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        slot = (key & self.mask).astype(np.int64)
+        now = self.key[slot]
+        out = np.where(now == key, slot, -1)
+        todo = np.flatnonzero((now != key) & (now != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+            now = self.key[slot[todo]]
+            same = now == key[todo]
+            out[todo[same]] = slot[todo[same]]
+            todo = todo[~same & (now != 0)]
+        return out
+
+
+class Model:
+    """What tasks are sent to score texts, and the sharded table of all that is not in it."""
+
+    def __init__(self, counts: DataFrame, frequent: int = FREQUENT):
+        model = kneser_ney(counts)
+        self.unseen = (model.where("gram = ''").agg(F.max("rest")).first()[0] or 0.0) - math.log(POINTS)
+        hashed = materialize(_hashed(model.where("gram <> ''")), "kn-hashed")
+        # by how often they come: the least of the largest counts that together are few enough
+        level = F.floor(F.log2(F.greatest("n", F.lit(1))) * 32)
+        total, least = 0, 1 << 20
+        for r in hashed.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
+            total += r["n"]
+            if total > frequent:
+                break
+            least = r["level"]
+        top = hashed.where(level >= least).select("key", F.coalesce("logp", F.lit(float("nan"))).alias("logp"), F.coalesce("rest", F.lit(0.0)).alias("rest")).toArrow()
+        self.top = Frequent(top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("logp").to_numpy(), top.column("rest").to_numpy())
+        self.other = hashed.where(level < least).select("key", "value", "rest")
+        self.bits = bit_set(self.other.select("key"), "key")
+
+
+def _requests(places: Places, top: Frequent, bits: np.ndarray, unseen: float):
+    """log p of each place by the frequent n-grams, as if there were no others; and what may be missing.
+
+    What may be missing: texts, keys, and whether a key is asked for as a context.
+    """
+    logp = np.zeros(len(places.event))
+    asked: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+    def ask(which: np.ndarray, key: np.ndarray, context: bool) -> None:
+        spot = (key & U(len(bits) * 64 - 1)).astype(np.int64)
+        some = np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)
+        asked.append((places.text[which[some]], key[some], context))
+
+    open_ = np.arange(len(places.event))
+    for k in range(ORDER, 0, -1):
+        key = places.keys(k, places.event[open_])
+        slot = top.find(key)
+        own = top.logp[slot]
+        hit = (slot >= 0) & ~np.isnan(own)
+        logp[open_[hit]] += own[hit]
+        open_, key = open_[~hit], key[~hit]
+        if not len(open_):
+            break
+        ask(open_, key, False)
+        if k == 1:
+            logp[open_] += unseen
+        else:
+            key = places.keys(k - 1, places.event[open_] - 1)
+            slot = top.find(key)
+            logp[open_] += np.where(slot >= 0, top.rest[slot], 0)
+            ask(open_[slot < 0], key[slot < 0], True)
+    return logp, asked
 
 
-def perplexities(docs: DataFrame, table: np.ndarray, values: DataFrame, share: float) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_chars, perplexity (per character and end; null for an empty text) of every row.
 
     Rows are followed by a hash of their text, which is all that the perplexity depends on: the sum
     over equal texts is divided by their number.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast((model.top, model.bits, model.unseen))
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = spelling([b""], sent.value)[0]
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = Tokens(part.column("text"))
-            _, logs, which = found.spelled(sent.value)
-            at = np.append(0, np.cumsum(found.counts))
-            base = per_doc_sum(logs[which], at) + end + (found.counts + 1) * share
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "row")), pa.array(found.n_chars), pa.array(base)], ["doc_id", "lang", "row", "n_chars", "base"])
-
-    rows = materialize(docs.mapInArrow(run, "doc_id bigint, lang string, row bigint, n_chars bigint, base double"), "spelled")
-    sums = document_grams(docs).join(values.hint("merge"), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("sum"))
+            places = Places(part.column("text"))
+            logp, _ = _requests(places, *sent.value)
+            total = np.bincount(places.text, logp, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "row")), pa.array(places.n_chars.astype(np.int64)), pa.array(total)], ["doc_id", "lang", "row", "n_chars", "base"])
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            _, asked = _requests(Places(part.column("text")), *sent.value)
+            row = part.column("row").to_numpy()
+            for context in (False, True):
+                text, key = (np.concatenate([a[i] for a in asked if a[2] is context] or [np.zeros(0, t)]) for i, t in ((0, np.int64), (1, np.uint64)))
+                _, one, n = np.unique(mix(key + text.astype(np.uint64) * _STEP), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(row[text[one]]), pa.array(signed(key[one])), pa.array(np.full(len(one), context)), pa.array(n.astype(np.int32))], ["row", "key", "context", "n"])
+
+    rows = materialize(docs.mapInArrow(base, "doc_id bigint, lang string, row bigint, n_chars bigint, base double"), "scored")
+    asked = docs.select("row", "text").mapInArrow(missing, "row bigint, key bigint, context boolean, n int")
+    gain = F.coalesce(F.when(F.col("context"), F.col("rest")).otherwise(F.col("value")), F.lit(0.0))
+    sums = asked.join(model.other.hint("merge"), "key").groupBy("row").agg(F.sum(F.col("n") * gain).alias("sum"))
     equal = rows.groupBy("row").agg(F.count(F.lit(1)).alias("equal"))
-    each = equal.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("equal")).alias("words"))
-    mean = -(F.col("base") + F.col("words")) / (F.col("n_chars") + 1)
+    each = equal.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("equal")).alias("more"))
+    mean = -(F.col("base") + F.col("more")) / (F.col("n_chars") + 1)
     return rows.join(each, "row").select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(mean)).alias("perplexity"))
 
 
-def per_doc_sum(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The sum of x in each at[d] .. at[d + 1]."""
-    total = np.append(0.0, np.cumsum(x))
-    return total[at[1:]] - total[at[:-1]]
-
-
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept of every row of docs.
 
     trusted lists the doc_ids of trusted documents. Those that are not held out train the model; the
-    others, by language, set the threshold: their quantile times slack. Languages of fewer than
+    quantile of the others' perplexities is the threshold of their language. Languages of fewer than
     LEAST_DOCS such documents, and rows without a language, have the quantile of all. An empty text
-    has no perplexity and is not kept; without trusted text nothing is rejected but empty texts.
+    has no perplexity and is not kept; without trusted text nothing is rejected but empty texts. Rows
+    without a doc_id are scored but not trusted; rows that share one are trusted together. Columns of
+    docs beyond doc_id, text and lang are not read; an empty table gives an empty one.
     """
     ids = materialize(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "trusted")
     train = ids.where(~held_out(F.col("doc_id")))
     # a merge join at any size: what is shuffled then grows with the trusted text, without a jump
-    texts = materialize(only_ids(docs, train).join(train.hint("merge"), "doc_id", "left_semi").select("text"), "trusted-texts")
-    table = table_of(probabilities(materialize(gram_counts(texts), "kn-grams")))
-    values, share = word_values(materialize(word_counts(texts), "word-counts"), vocabulary(texts, table))
-    scored = materialize(perplexities(docs, table, materialize(values, "word-values"), share), "perplexities")
+    texts = only_ids(docs, train).join(train.hint("merge"), "doc_id", "left_semi").select("text")
+    model = Model(materialize(gram_counts(texts), "kn-counts"))
+    scored = materialize(perplexities(docs, model), "perplexities")
     trial = scored.where("perplexity IS NOT NULL").join(ids.where(held_out(F.col("doc_id"))), "doc_id", "left_semi")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     everywhere = trial.agg(cut.alias("t")).first()["t"]
     limits = trial.groupBy("lang").agg(cut.alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_DOCS) & F.col("lang").isNotNull()).select("lang", "t")
-    threshold = F.coalesce("t", F.lit(everywhere).cast("double"), F.lit(float("inf"))) * slack
+    threshold = F.coalesce("t", F.lit(everywhere).cast("double"), F.lit(float("inf")))
     found = scored.join(limits, "lang", "left").withColumn("threshold", threshold)
     return found.select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.wordbatch import Words, mix, rolling, signed, slices
@@ -122,17 +122,24 @@ def _entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, with_p
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, size bigint, set1 bigint, set2 bigint, group bigint" + ", prefix array<bigint>" * with_prefix)
 
 
+def bit_set(rows: DataFrame, spot: str | Column, bits: int = FILTER_BITS) -> np.ndarray:
+    """A set of fixed size with a bit for each value of an integer column, by the value's low bits."""
+    at = (F.col(spot) if isinstance(spot, str) else spot).bitwiseAND(F.lit(bits - 1))
+    words = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id and text of the rows of docs whose doc_id may be one of ids: nearly no others, and none missing.
 
     The ids become a bit set of fixed size, which is what tasks are sent; a join on doc_id, of much
     fewer texts, is to follow.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
-    found = words.toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    spot = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+    table = bit_set(ids, F.xxhash64("doc_id"), bits)
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -225,22 +225,13 @@ def test_only_ids(docs, spark):
     assert {UNIQUE[2][0], UNIQUE[9][0]} <= got and len(got) <= 4
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat. " * 3,), ("a dog ran to the cat",), (None,)], "text string")
-    table = kneser_ney.table_of(kneser_ney.probabilities(kneser_ney.gram_counts(texts)))
-    p = np.exp(-table.reshape(-1, 64).astype(float) / kneser_ney.SCALE)
-    code, _ = kneser_ney.gram_codes(pa.array(["the cat"]))
-    assert np.abs(p[(code >> 6)[3:]].sum(1) - 1).max() < 0.01 and np.abs(p[:100].sum(1) - 1).max() < 0.01
-
-
-def plain_word_model(texts, table):
-    """log p of a word after two others, by the definition: a recursion over counts in dictionaries."""
-    edge, counts = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\x20\x09-\x0D]"), [Counter(), Counter(), Counter()]
-    split = lambda t: ["<s>", "<s>", *edge.findall(t), ""]
+def plain_kneser_ney(texts, order):
+    """log p of a character after others, by the definition: a recursion over counts in dictionaries."""
+    counts = [Counter() for _ in range(order)]
+    padded = lambda t: "\n" * (order - 1) + t + "\n"
     for t in texts:
-        w = split(t)
-        counts[2].update(tuple(w[i - 2 : i + 1]) for i in range(2, len(w)))
-    for k in (1, 0):
+        counts[-1].update(padded(t)[i - order + 1 : i + 1] for i in range(order - 1, len(t) + order))
+    for k in range(order - 2, -1, -1):
         counts[k].update(g[1:] for g in counts[k + 1])
     cut, total, held = [], [], []
     for c in counts:
@@ -255,31 +246,36 @@ def plain_word_model(texts, table):
 
     def p(g):
         k, context = len(g) - 1, g[:-1]
-        below = p(g[1:]) if k else np.exp(kneser_ney.spelling([g[0].encode()], table)[0])
+        below = p(g[1:]) if k else 1 / 0x110000
         if not total[k][context]:
             return below
         n = counts[k][g]
         return ((n - cut[k](n) if n else 0) + held[k][context] * below) / total[k][context]
 
     def perplexity(t):
-        w = split(t)
-        return np.exp(-sum(np.log(p(tuple(w[i - 2 : i + 1]))) for i in range(2, len(w))) / (len(t) + 1))
+        s = padded(t)
+        return np.exp(-sum(np.log(p(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))) / (len(t) + 1))
 
-    return perplexity
+    return p, perplexity
 
 
-def test_word_model_equals_the_plain_one(spark):
-    trained = ["the cat sat on the mat. the dog sat too", "a dog ran to the cat, the cat ran", "кот сидел дома", "the cat sat", "the cat sat"]
-    asked = ["the cat sat on the mat", "mat the on cat the sat", "кот сидел дома", "дот кидел сома", "a bird, ran", "the cat sat on the mat", "?", " \n"]
+@pytest.mark.parametrize("frequent", [0, 40, 1 << 19])
+def test_kneser_ney_equals_the_plain_one(spark, frequent):
+    trained = ["the cat sat on the mat. the dog sat too", "a dog ran to the cat, the cat ran", "кот сидел дома", "the cat sat", "the cat sat", ""]
+    asked = ["the cat sat on the mat", "mat the on cat the sat", "кот сидел дома", "дот кидел сома", "a bird, ran", "the cat sat on the mat", "?", " \n", "日本"]
     texts = spark.createDataFrame([(t,) for t in trained], "text string").repartition(2)
-    table = kneser_ney.table_of(kneser_ney.probabilities(kneser_ney.gram_counts(texts)))
-    values, share = kneser_ney.word_values(kneser_ney.word_counts(texts), kneser_ney.vocabulary(texts, table))
+    model = kneser_ney.Model(kneser_ney.gram_counts(texts), frequent)
+    assert (model.top.key != 0).sum() <= frequent
     rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(asked)], "doc_id bigint, lang string, text string").repartition(3)
-    got = [r["perplexity"] for r in kneser_ney.perplexities(rows, table, values, share).orderBy("doc_id").collect()]
-    plain = plain_word_model(trained, table)
-    assert got == pytest.approx([plain(t) for t in asked], rel=1e-6)
-    # words in another order, and other words of the same letters, are told apart
+    got = [r["perplexity"] for r in kneser_ney.perplexities(rows, model).orderBy("doc_id").collect()]
+    p, plain = plain_kneser_ney(trained, kneser_ney.ORDER)
+    assert got == pytest.approx([plain(t) for t in asked], rel=1e-5)
+    # characters and words in another order are told apart
     assert got[1] > 1.3 * got[0] and got[3] > 1.3 * got[2]
+    # after a context, all code points together have 1: the seen ones, and the same for each other one
+    seen = sorted(set("".join(trained)) | {"\n"})
+    for context in ("e ca", "кот ", "zzzz", "\n\n\n\n"):
+        assert sum(p(context + c) for c in seen) + (0x110000 - len(seen)) * p(context + "\u3042") == pytest.approx(1)
 
 
 def test_quality(spark, docs, empty):
