@@ -4,8 +4,10 @@ Seeds: of each window of `window` words, the least hashed k-gram is its anchor (
 windows have equal anchors at equal places. Consecutive windows with one anchor form a run. Anchors
 are joined across all documents. Runs that are equal as a whole are settled as a whole, whatever the
 number of copies; where an anchor has different runs, each distinct run is extended to both sides of
-the anchor once, and its windows are matched with those of the others. Overlapping matches merge
-into maximal repeats, whose words go.
+the anchor once, window by window, and its windows are matched with those of the others. Windows that
+repeat and follow one another, in runs of whichever anchors, merge: a repeat ends where the next window
+to the left or right has no equal anywhere, so it is maximal, and its length is window or more. The
+words of all repeats go.
 """
 
 from __future__ import annotations
@@ -113,37 +115,46 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     several = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     mixed = runs.join(several, "anchor", "left_semi").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("anchor", "content", "copies", F.col("one.first").alias("first"), F.col("one.length").alias("length"))).alias("runs"))
     windows = _window_hashes(_known(docs).join(mixed, "row"), window)
-    matched = windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "hash")
+    matched = materialize(windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "hash"), "matched")
     partial = windows.where("copies = 1").join(matched, ["anchor", "hash"], "left_semi").groupBy("anchor", "content").agg(F.collect_list("index").alias("windows"))
     whole = runs.where("copies > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("windows"))
-    return found.join(whole.unionByName(partial), ["anchor", "content"]).groupBy("row").agg(F.collect_set(F.struct("first", "length", "windows")).alias("marks"))
+    # written for the same reason: a passage that a third of all rows have is one anchor and content
+    verdicts = materialize(whole.unionByName(partial), "verdicts")
+    return found.join(verdicts, ["anchor", "content"]).groupBy("row").agg(F.collect_set(F.struct("first", "length", "windows")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text_out: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text): texts without their repeated words.
+    """doc_id, n_words, n_removed, kept_sha256 (and repeats, kept_text): texts without their repeated words.
 
     Each word covered by a window of `window` words that also starts anywhere else is removed; kept
-    words are joined by one space. A null text has no words. Rows are told apart by doc_id and text, so
-    those without a doc_id, or with one that others have too, take part like any other.
+    words are joined by one space. repeats lists first word and length of each maximal repeat, which may
+    overlap. A null text has no words. Rows are told apart by doc_id and text, so those without a
+    doc_id, or with one that others have too, take part like any other. Other columns of docs aren't
+    read; an empty table gives an empty one.
     """
     marks = repeats(docs, window, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column("text"))
-            cover = np.zeros(len(words) + 1, np.int64)
+            starts = np.zeros(len(words) + 1, np.int64)
             for d, found in enumerate(part.column("marks").to_pylist()):
-                base, n = words.of[d], words.of[d + 1] - words.of[d]
+                base, n = words.of[d], words.counts[d]
                 for m in found or ():
-                    if m["windows"] is None:
-                        at = [(m["first"], m["first"] + m["length"] + window - 1)]
-                    else:
-                        at = [(m["first"] + i, m["first"] + i + window) for i in m["windows"]]
-                    for a, b in at:
-                        if b <= n:
-                            cover[base + a] += 1
-                            cover[base + b] -= 1
-            gone = np.cumsum(cover)[:-1] > 0
+                    spans = [(m["first"], m["length"])] if m["windows"] is None else [(m["first"] + i, 1) for i in m["windows"]]
+                    for first, length in spans:
+                        if first + length + window - 1 <= n:
+                            starts[base + first] += 1
+                            starts[base + first + length] -= 1
+            # stretches of repeated windows, text by text
+            again, head = np.cumsum(starts)[:-1] > 0, np.zeros(len(words) + 1, bool)
+            head[words.of] = True
+            begin = np.flatnonzero(again & (head[:-1] | ~np.append(False, again[:-1])))
+            end = np.flatnonzero(again & (head[1:] | ~np.append(again[1:], False))) + window
+            cover = np.zeros(len(words) + window + 1, np.int64)
+            np.add.at(cover, begin, 1)
+            np.add.at(cover, end, -1)
+            gone = np.cumsum(cover)[: len(words)] > 0
             removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.of[:-1]) if words.n_docs else gone
             removed = np.where(words.counts > 0, removed, 0)
             raw = words.data.tobytes()
@@ -157,7 +168,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
                 digest.append(hashlib.sha256(text).hexdigest())
                 kept.append(text.decode() if text_out else None)
             columns = [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digest)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * text_out, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text_out)
-
-    kind = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * text_out
+            if text_out:
+                of = np.searchsorted(begin, words.of)
+                spans = pa.StructArray.from_arrays([pa.array(begin - words.of[np.searchsorted(words.of, begin, "right") - 1]), pa.array(end - begin)], ["first", "length"])
+                columns += [pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), spans), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["repeats", "kept_text"] * text_out
+    kind = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", repeats array<struct<first:bigint,length:bigint>>, kept_text string" * text_out
     return _known(docs).join(marks, "row", "left").mapInArrow(run, kind)

@@ -396,6 +396,21 @@ def test_substring_dedup(known, window, seed):
     assert got == plain_removed(UNIQUE, window)
 
 
+@pytest.mark.parametrize("window", [35, 6, 1])
+def test_repeats_are_maximal(known, window):
+    words = {r[0]: WORD.findall(r[1] or "") for r in UNIQUE}
+    seen = Counter(tuple(w[i : i + window]) for w in words.values() for i in range(len(w) - window + 1))
+    for r in substring.remove_repeats(known, window, min(window, 4)).collect():
+        w, plain = words[r["doc_id"]], []
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                if plain and plain[-1][0] + plain[-1][1] == i + window - 1:
+                    plain[-1] = (plain[-1][0], plain[-1][1] + 1)
+                else:
+                    plain.append((i, window))
+        assert [tuple(x) for x in r["repeats"]] == plain
+
+
 def test_substring_dedup_of_odd_tables(docs, empty):
     assert substring.remove_repeats(docs).count() == len(ROWS) and substring.remove_repeats(empty).count() == 0
 
