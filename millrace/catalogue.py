@@ -33,10 +33,13 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from millrace import catalogue_artifacts  # noqa: F401  (it registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -56,6 +59,19 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(_objects(spark, sf_dir).select("doc_id", "file_id", "source_relpath", "text"), "window", key="doc_id")
 
 
+_BUILT: dict[tuple[str, str], plans.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> plans.Index:
+    """The index of a corpus: built by the first query of a session that needs it, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        e = _t(spark, sf_dir, "embeddings")
+        vecs = e.select(F.format_string("chunk-%s-000001", F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
+        _BUILT[key] = plans.build(_windows(spark, sf_dir), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", vecs)
+    return _BUILT[key]
+
+
 #: the SQL of the tables that queries start from
 OBJ = "objects AS (SELECT doc_id, 'sha256-' || sha256(text) AS file_id, source || '/' || lang || '/doc-' || doc_id || '.txt' AS source_relpath, strlen(text) AS size_bytes, text, source, lang FROM documents)"
 RAWWIN = """raww AS (SELECT doc_id, file_id, source_relpath, i, substr(text, i * 1000 + 1, 1200) AS w FROM (
@@ -96,9 +112,11 @@ def path_parts(spark, sf_dir):
     return d.select("doc_id", "path", paths.basename(p).alias("name"), paths.suffix(p).alias("suffix"), paths.parent(p).alias("parent"), paths.depth(p).alias("depth"), paths.mime(p).alias("mime"), paths.safe_name(paths.basename(p)).alias("safe"))
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.1f B', strlen(text)::DOUBLE) ELSE printf('%.1f KB', strlen(text) / 1024.0::DOUBLE) END AS size FROM documents""")
+@query("""SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS size
+FROM (SELECT doc_id, strlen(text)::DOUBLE * pow(1024, doc_id % 5) AS n FROM documents)""")
 def human_size(spark, sf_dir):
-    return _objects(spark, sf_dir).select("doc_id", paths.human_size(F.col("size_bytes")).alias("size"))
+    n = F.col("size_bytes").cast("double") * F.pow(F.lit(1024.0), F.col("doc_id") % 5)
+    return _objects(spark, sf_dir).select("doc_id", paths.human_size(n).alias("size"))
 
 
 @query("SELECT '.txt' AS suffix, count(*) AS files FROM documents")
@@ -156,8 +174,8 @@ def token_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select(F.explode(text.search_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(k) AS keyword, generate_subscripts(k, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_-][a-z0-9_-]+') AS k FROM documents))
-SELECT keyword, count(*) AS count FROM t WHERE keyword NOT IN ({", ".join(f"'{w}'" for w in enrich.STOP)}) GROUP BY 1 ORDER BY 2 DESC, min(struct_pack(a := doc_id, b := pos)) LIMIT 20""")
+@query("""WITH t AS (SELECT doc_id, unnest(k) AS keyword, generate_subscripts(k, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_-][a-z0-9_-]+') AS k FROM documents))
+SELECT keyword, count(*) AS count FROM t WHERE NOT contains(' the and for are with that this from into was were have has had but not you your their they them his her its our out all any can may will would should could about there which when what where while than then also such using used use these those within over under after before between because being been each other some more most only very onto upon report document ', ' ' || keyword || ' ') GROUP BY 1 ORDER BY 2 DESC, min(struct_pack(a := doc_id, b := pos)) LIMIT 20""")
 def keywords_top_k(spark, sf_dir):
     return enrich.top_keywords(_docs(spark, sf_dir), 20)
 
@@ -203,21 +221,37 @@ def light_clean(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.light_clean(F.replace("text", F.lit("."), F.lit(" . "))).alias("text"))
 
 
-@query(None)  # a back-reference and letter classes that the other engine's patterns don't have
+#: the lines of each text, and which are no prose
+LINES = r"""raw AS (SELECT doc_id, text, string_split(replace(replace(text, E'\r\n', E'\n'), E'\r', E'\n'), E'\n') AS k FROM documents),
+ln AS (SELECT doc_id, unnest(k) AS line, generate_subscripts(k, 1) AS i FROM raw),
+st AS (SELECT doc_id, i, line, trim(line, E' \t\r\x0b\x0c  ') AS s FROM ln),
+ms AS (SELECT *, length(s) AS n, length(regexp_replace(s, '[^\p{L}]', '', 'g')) AS a, length(regexp_replace(s, '[^aeiouAEIOU]', '', 'g')) AS v FROM st),
+gl AS (SELECT doc_id, i, line, CASE WHEN n = 0 OR n > 600 OR a = 0 THEN true WHEN a / n::DOUBLE < 0.2 THEN NOT (length(s) - length(replace(s, ',', '')) >= 3 OR length(s) - length(replace(s, E'\t', '')) >= 3 OR regexp_matches(s, '(^|[^\p{L}\p{N}_])\p{Nd}+($|[^\p{L}\p{N}_])'))
+  WHEN v / a::DOUBLE < 0.1 THEN true WHEN n >= 9 AND len(list_filter(range(1, n - 7), lambda j: substr(s, j, 9) = repeat(substr(s, j, 1), 9))) > 0 THEN true ELSE regexp_matches(s, '[\x00-\x08\x0b\x0c\x0e-\x1f]') END AS garbage FROM ms)"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS lines_total, count_if(NOT garbage) AS lines_kept FROM gl GROUP BY 1")
 def garbage_lines(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(text.raw_lines(F.col("text"))).alias("line"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines_total"), F.count_if(~text.garbage_line(F.col("line"))).alias("lines_kept"))
 
 
+@query(rf"""WITH {LINES}, c AS (SELECT doc_id, count(*) AS lines_total, count_if(NOT garbage) AS lines_kept, coalesce(string_agg(trim(regexp_replace(line, '[ \t]{{2,}}', ' ', 'g'), E' \t\r\x0b\x0c  '), E'\n' ORDER BY i) FILTER (NOT garbage), '') AS t FROM gl GROUP BY 1),
+z AS (SELECT *, trim(regexp_replace(t, '\n{{3,}}', E'\n\n', 'g'), E' \t\n\r\x0b\x0c  ') AS x FROM c)
+SELECT z.doc_id, x AS text, length(d.text) AS original_chars, length(x) AS cleaned_chars, lines_total, lines_kept, lines_total - lines_kept AS lines_dropped, round((lines_total - lines_kept) / greatest(1, lines_total)::DOUBLE, 9) AS dropped_line_frac FROM z JOIN documents d USING (doc_id)""")
+def cleaned_texts(spark, sf_dir):
+    c = _docs(spark, sf_dir).select("doc_id", text.clean_with_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return c.withColumn("dropped_line_frac", F.round("dropped_line_frac", 9)).withColumns({n: F.col(n).cast("bigint") for n in ("original_chars", "cleaned_chars", "lines_total", "lines_kept", "lines_dropped")})
+
+
 @query(None)  # a greedy fold over each text
 def recursive_split(spark, sf_dir):
     return enrich.recursive_parts(_docs(spark, sf_dir), 4000, 6000).select("doc_id", "part", F.length("text").alias("n_chars"))
 
 
-# other than ASCII characters are word characters in Spark's \\b; all those of the table are letters
-@query("SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '[^\\x01-\\x7f]', '_', 'g'), '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b')) AS entity FROM documents WHERE lang = 'en'")
+@query(r"""SELECT 'entity-' || row_number() OVER (ORDER BY entity) AS entity_id, entity FROM (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\x01-\x7f\p{L}\p{N}\p{M}]', '.', 'g'), '[^\x01-\x7f]', '_', 'g'), '\b[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*\b')) AS entity FROM documents)""")
 def entity_list(spark, sf_dir):
-    return enrich.capitalised_phrases(_docs(spark, sf_dir).where("lang = 'en'"))
+    return enrich.capitalised_phrases(_docs(spark, sf_dir))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(k) AS line, generate_subscripts(k, 1) AS line_number FROM (SELECT doc_id, string_split(text, E'\n') AS k FROM documents)),
@@ -253,24 +287,48 @@ def preferred_text(spark, sf_dir):
     return enrich.preferred_texts(docs, edited, "doc_id")
 
 
-@query(None)  # cleaning drops garbage lines first
+def _light(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\r\n?', E'\n', 'g'), '\n{{3,}}', E'\n\n', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', E'\n', 'g'), E' \t\n\r\x0b\x0c')"
+
+
+def _first(x: str, n: int) -> str:
+    return rf"trim(left({_light(x)}, {n}), E' \t\n\r\x0b\x0c')"
+
+
+@query(f"SELECT doc_id, {_first('text', 500)} AS text FROM documents")
 def firstn_object(spark, sf_dir):
     return enrich.first_n(_docs(spark, sf_dir), 500).select("doc_id", "text")
 
 
-@query(r"""SELECT source, left(string_agg(left(text, 100), E'\n\n' ORDER BY doc_id), 1500) AS text FROM documents GROUP BY 1""")
+def _folder_texts(spark, sf_dir, n: int) -> DataFrame:
+    """The folder texts, deepest first: a document stands in its folder with its own synthesis or, without one, its text."""
+    o = _objects(spark, sf_dir)
+    known = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("synthesis of "), F.col("source_relpath"))).otherwise(F.col("text"))
+    direct = o.select(paths.parent(F.col("source_relpath")).alias("path"), F.col("doc_id").alias("ord"), known.alias("text"))
+    return enrich.bottom_up(catalog.folder_tree(o), direct, lambda parts: enrich.joined_first_n(parts, n))
+
+
+FOLDER_TEXTS = f"""{OBJ}, leaf AS (SELECT source || '/' || lang AS path, {_first("string_agg(CASE WHEN doc_id % 4 = 0 THEN 'synthesis of ' || source_relpath ELSE text END, E'\n\n' ORDER BY doc_id)", 3000)} AS text FROM objects GROUP BY 1),
+mid AS (SELECT string_split(path, '/')[1] AS path, {_first("string_agg(text, E'\n\n' ORDER BY path)", 3000)} AS text FROM leaf GROUP BY 1), top AS (SELECT '' AS path, {_first("string_agg(text, E'\n\n' ORDER BY path)", 3000)} AS text FROM mid),
+folder_texts AS (SELECT * FROM leaf UNION ALL SELECT * FROM mid UNION ALL SELECT * FROM top)"""
+
+
+@query(f"WITH {FOLDER_TEXTS} SELECT path, text FROM folder_texts")
 def firstn_folder(spark, sf_dir):
-    # what can't reach the first 1500 characters needn't be gathered: every member adds 2 at least
-    from pyspark.sql import Window
+    return _folder_texts(spark, sf_dir, 3000)
+
 
-    few = _docs(spark, sf_dir).withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("_k <= 751")
-    return few.groupBy("source").agg(F.left(text.ordered_text(F.col("doc_id"), F.left("text", F.lit(100))), F.lit(1500)).alias("text"))
+@query(f"WITH {FOLDER_TEXTS} SELECT 'root' AS scope_type, text FROM folder_texts WHERE path = ''")
+def root_synthesis(spark, sf_dir):
+    return _folder_texts(spark, sf_dir, 3000).where("path = ''").select(F.lit("root").alias("scope_type"), "text")
 
 
-@query(None)  # rounds of folding
+@query(None)  # rounds of folding; tests hold it against a plain fold
 def folded_summary(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("scope_id"), F.col("doc_id").alias("ord"), F.left("text", F.lit(40)).alias("text"))
-    return enrich.folded(rows, 8, lambda d: d.withColumn("text", F.left("text", F.lit(160))))
+    rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("scope_id"), F.col("doc_id").alias("ord"), "text")
+    # a stand-in for a model: what it writes is short and depends on all that it reads
+    stand_in = lambda d: d.withColumn("text", F.concat(F.lit("summary "), F.left(F.sha2("text", 256), F.lit(16))))
+    return enrich.folded(stand_in(rows), 8, stand_in)
 
 
 # search --------------------------------------------------------------------------------------
@@ -291,32 +349,30 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH {BM} SELECT source_relpath, chunk_id, round(score, 6) AS score, trim(left(text, 400), E' \\t\\n\\r\\x0b\\x0c') AS snippet FROM lex ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 10")
 def lexical_search(spark, sf_dir):
-    return plans.search(_windows(spark, sf_dir), ASKED).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"), "snippet")
+    return plans.search(_index(spark, sf_dir), ASKED).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"), "snippet")
 
 
 @query(f"WITH {BM} SELECT chunk_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, chunk_id LIMIT 10")
 def indexed_search(spark, sf_dir):
-    path = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
-    lexical.build_index(_windows(spark, sf_dir), path)
-    return lexical.search_index(spark, path, ASKED).select("chunk_id", F.round("score", 6).alias("score"))
+    return lexical.search_index(spark, _index(spark, sf_dir).path, ASKED).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM} SELECT source_relpath, chunk_id, round(score, 6) AS score FROM lex WHERE source_relpath LIKE 'src1/%' ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 10")
 def search_in_folder(spark, sf_dir):
-    return plans.search(_windows(spark, sf_dir), ASKED, scope=scopes.Scope("folder", "src1")).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
+    return plans.search(_index(spark, sf_dir), ASKED, scope=scopes.Scope("folder", "src1")).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM}, m AS (SELECT DISTINCT sha256(d.text) AS h FROM labels l JOIN documents d USING (doc_id) WHERE toxic = 1) SELECT source_relpath, chunk_id, round(score, 6) AS score FROM lex WHERE file_id IN (SELECT 'sha256-' || h FROM m) ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 10")
 def search_in_collection(spark, sf_dir):
     _, members = corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))
     toxic = members.where("name = 'toxic'").select(F.lit("toxic").alias("collection_id"), "file_id")
-    return plans.search(_windows(spark, sf_dir), ASKED, scope=scopes.Scope("collection", "toxic"), members=toxic).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
+    return plans.search(_index(spark, sf_dir), ASKED, scope=scopes.Scope("collection", "toxic"), members=toxic).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {BM}, top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, source_relpath, chunk_id) AS r FROM lex QUALIFY r <= 30)
 SELECT file_id, chunk_id, round(score, 6) AS score FROM top QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY r) = 1""")
 def group_by_file(spark, sf_dir):
-    return plans.search(_windows(spark, sf_dir), ASKED, top_k=30, group_by="file").select("file_id", "chunk_id", F.round("score", 6).alias("score"))
+    return plans.search(_index(spark, sf_dir), ASKED, top_k=30, group_by="file").select("file_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VEC} SELECT vec_id, round(score, 6) AS score FROM sem ORDER BY round(sem.score, 9) DESC, vec_id LIMIT 10")
@@ -331,11 +387,25 @@ s AS (SELECT file_id, chunk_id, row_number() OVER (ORDER BY round(sem.score, 9)
 f AS (SELECT file_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM s) GROUP BY 1, 2)
 SELECT source_relpath, chunk_id, round(f.score, 6) AS score FROM f JOIN named USING (file_id, chunk_id) ORDER BY round(f.score, 9) DESC, source_relpath, chunk_id LIMIT 20""")
 def hybrid_search(spark, sf_dir):
-    chunks = _windows(spark, sf_dir)
-    e = _t(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 7").first()["embedding"]
-    vecs = e.select(F.format_string("chunk-%s-000001", F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
-    return plans.search(chunks, ASKED, "hybrid", 20, vectors=vecs, query_vector=q).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
+    q = _t(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
+    return plans.search(_index(spark, sf_dir), ASKED, "hybrid", 20, query_vector=q).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BM} SELECT source_relpath, chunk_id, round(score, 6) AS score, trim(left(text, 400), E' \\t\\n\\r\\x0b\\x0c') AS snippet FROM lex ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 10")
+def scanned_search(spark, sf_dir):
+    return plans.search(_windows(spark, sf_dir), ASKED).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"), "snippet")
+
+
+@query(f"""WITH {WIN}, {VEC} SELECT source_relpath, chunk_id, round(score, 6) AS score FROM named JOIN sem ON doc_id = vec_id AND chunk_index = 1 ORDER BY round(sem.score, 9) DESC, source_relpath, chunk_id LIMIT 10""")
+def semantic_search(spark, sf_dir):
+    q = _t(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
+    return plans.search(_index(spark, sf_dir), ASKED, "semantic", query_vector=q).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {BM}, top AS (SELECT * FROM lex ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 50)
+SELECT source_relpath, chunk_id, round(score, 6) AS score FROM top WHERE source_relpath LIKE 'src1/%' ORDER BY round(top.score, 9) DESC, source_relpath, chunk_id LIMIT 10""")
+def overfetched_search(spark, sf_dir):
+    return plans.search(_index(spark, sf_dir), ASKED, scope=scopes.Scope("folder", "src1"), overfetch=5).select("source_relpath", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS total FROM embeddings")
@@ -356,10 +426,10 @@ def toy_embedder(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(F.get(vectors.toy_embedding(F.col("text")), F.lit(0)), 6).alias("x0"))
 
 
-@query(f"""WITH {BM}, top AS (SELECT trim(left(text, 400), E' \\t\\n\\r\\x0b\\x0c') AS s, row_number() OVER (ORDER BY round(score, 9) DESC, source_relpath, chunk_id) AS r FROM lex QUALIFY r <= 10)
-SELECT string_agg('- ' || s, E'\\n' ORDER BY r) AS answer FROM (SELECT * FROM top WHERE s <> '' ORDER BY r LIMIT 5)""")
+@query(f"""WITH {BM}, top AS (SELECT trim(left(text, 400), E' \\t\\n\\r\\x0b\\x0c') AS s, string_split(source_relpath, '/')[-1] AS f, row_number() OVER (ORDER BY round(score, 9) DESC, source_relpath, chunk_id) AS r FROM lex QUALIFY r <= 10)
+SELECT E'The locally available evidence most relevant to your question is:\\n\\n' || string_agg('- ' || s || ' [' || f || ']', E'\\n' ORDER BY r) || E'\\n\\nThis answer uses the offline extractive fallback; verify the cited passages for interpretation.' AS answer FROM (SELECT * FROM top WHERE s <> '' ORDER BY r LIMIT 5)""")
 def extractive_answer(spark, sf_dir):
-    hits = plans.ranked(plans.search(_windows(spark, sf_dir), ASKED), "source_relpath", "chunk_id")
+    hits = plans.ranked(plans.search(_index(spark, sf_dir), ASKED), "source_relpath", "chunk_id")
     return enrich.extractive_answer(hits)
 
 
@@ -395,11 +465,13 @@ def inventory_sentence(spark, sf_dir):
     return enrich.inventory_sentence(catalog.folder_tree(_objects(spark, sf_dir)), "corpus")
 
 
-@query(f"WITH {OBJ} SELECT file_id, min(source_relpath) AS source_relpath FROM objects WHERE doc_id % 3 <> 2 GROUP BY 1")
+@query(f"""WITH {OBJ}, fold AS (SELECT file_id, source_relpath FROM objects WHERE doc_id % 5 < 2), fin AS (SELECT CASE WHEN doc_id % 10 = 0 THEN file_id || 'x' ELSE file_id END AS file_id, source_relpath FROM objects WHERE doc_id % 3 <> 2),
+a AS (SELECT file_id, min(source_relpath) AS source_relpath FROM fold GROUP BY 1) SELECT * FROM a UNION ALL SELECT file_id, min(source_relpath) FROM fin WHERE file_id NOT IN (SELECT file_id FROM a) AND source_relpath NOT IN (SELECT source_relpath FROM a) GROUP BY 1""")
 def files_catalog(spark, sf_dir):
-    o = _objects(spark, sf_dir).select("doc_id", "file_id", "source_relpath", F.when(F.col("doc_id") % 3 == 2, "running").when(F.col("doc_id") % 3 == 1, "partial").otherwise("done").alias("status"))
-    none = o.where("false").select("file_id", "source_relpath")
-    return catalog.files_catalog(none, o).select("file_id", "source_relpath")
+    o = _objects(spark, sf_dir)
+    status = F.when(F.col("doc_id") % 3 == 2, "running").when(F.col("doc_id") % 3 == 1, "partial").otherwise("done")
+    finished = o.select(F.when(F.col("doc_id") % 10 == 0, F.concat("file_id", F.lit("x"))).otherwise(F.col("file_id")).alias("file_id"), "source_relpath", status.alias("status"))
+    return catalog.files_catalog(o.where("doc_id % 5 < 2"), finished)
 
 
 @query(f"WITH {COLL} SELECT collection_id, name, count(*) AS document_count FROM members GROUP BY 1, 2")
@@ -412,29 +484,29 @@ def collections_for_file(spark, sf_dir):
     return catalog.collections_of_files(corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))[1])
 
 
-@query(f"WITH {COLL}, r AS (SELECT DISTINCT file_id FROM objects WHERE doc_id % 4 = 0) SELECT r.file_id, m.file_id IS NULL AS added FROM r LEFT JOIN (SELECT file_id FROM members WHERE name = 'good') m USING (file_id)")
+@query(f"WITH {COLL}, r AS (SELECT DISTINCT file_id FROM objects) SELECT r.file_id, m.file_id IS NULL AS added FROM r LEFT JOIN (SELECT file_id FROM members WHERE name = 'good') m USING (file_id)")
 def collection_add_diff(spark, sf_dir):
     members = corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))[1].where("name = 'good'").select(F.lit("c").alias("collection_id"), "file_id")
-    asked = _objects(spark, sf_dir).where("doc_id % 4 = 0").select(F.lit("c").alias("collection_id"), "file_id")
+    asked = _objects(spark, sf_dir).select(F.lit("c").alias("collection_id"), "file_id")
     return catalog.add_members(members, asked).select("file_id", "added")
 
 
-@query(f"""WITH {OBJ}, d AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN file_id END AS f, CASE WHEN doc_id % 2 = 1 AND doc_id % 5 > 0 THEN source_relpath END AS p FROM objects WHERE doc_id % 3 = 0),
+@query(f"""WITH {OBJ}, d AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN file_id END AS f, CASE WHEN doc_id % 2 = 1 AND doc_id % 5 > 0 THEN source_relpath END AS p FROM objects),
 x AS (SELECT ord, coalesce(f, o.file_id) AS file_id FROM d LEFT JOIN objects o ON o.source_relpath = d.p) SELECT min(ord) AS ord, file_id FROM x WHERE file_id IS NOT NULL GROUP BY 2 UNION ALL SELECT ord, NULL FROM x WHERE file_id IS NULL""")
 def collection_resolve(spark, sf_dir):
     o = _objects(spark, sf_dir)
     even = F.col("doc_id") % 2 == 0
     path = F.when(F.col("doc_id") % 5 > 0, F.upper("source_relpath")).otherwise(F.lit("no/such.txt"))
-    d = o.where("doc_id % 3 = 0").select(F.col("doc_id").alias("ord"), F.when(even, F.col("file_id")).alias("file_id"), F.when(~even, path).alias("source_relpath"))
+    d = o.select(F.col("doc_id").alias("ord"), F.when(even, F.col("file_id")).alias("file_id"), F.when(~even, path).alias("source_relpath"))
     return catalog.resolve_members(d, o)
 
 
 SIDES = f"""{OBJ}, src AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || source_relpath ELSE source_relpath END AS source_relpath, CASE WHEN doc_id % 13 = 0 THEN file_id || 'x' ELSE file_id END AS file_id FROM objects WHERE doc_id % 7 <> 0
 UNION ALL SELECT 'new/' || item_id || '.txt', 'sha256-' || sha256(text) FROM benchmark)"""
-RECON = f"""WITH {SIDES}, fresh AS (SELECT s.* FROM src s LEFT JOIN objects c USING (source_relpath) WHERE c.doc_id IS NULL), tg AS (SELECT file_id, min(source_relpath) AS moved_to FROM fresh GROUP BY 1),
-lost AS (SELECT c.source_relpath, c.file_id, CASE WHEN moved_to IS NULL THEN 'missing' ELSE 'moved' END AS state, moved_to FROM objects c LEFT JOIN src s USING (source_relpath) LEFT JOIN tg ON tg.file_id = c.file_id WHERE s.file_id IS NULL),
-allr AS (SELECT c.source_relpath, c.file_id, CASE WHEN c.file_id = s.file_id THEN 'unchanged' ELSE 'changed' END AS state, NULL AS moved_to FROM objects c JOIN src s USING (source_relpath) UNION ALL SELECT * FROM lost
-UNION ALL SELECT source_relpath, file_id, 'new', NULL FROM fresh WHERE source_relpath NOT IN (SELECT moved_to FROM lost WHERE moved_to IS NOT NULL))"""
+RECON = f"""WITH {SIDES}, spot AS (SELECT file_id, max(source_relpath) AS moved_to FROM src GROUP BY 1),
+c AS (SELECT o.source_relpath, o.file_id, s.file_id AS now, spot.moved_to FROM objects o LEFT JOIN src s USING (source_relpath) LEFT JOIN spot ON spot.file_id = o.file_id),
+olds AS (SELECT source_relpath, file_id, CASE WHEN now = file_id THEN 'unchanged' WHEN now IS NOT NULL THEN 'changed' WHEN moved_to IS NOT NULL THEN 'moved' ELSE 'missing' END AS state, CASE WHEN now IS NULL THEN moved_to END AS moved_to, CASE WHEN now <> file_id THEN now END AS new_file_id FROM c),
+allr AS (SELECT * FROM olds UNION ALL SELECT source_relpath, file_id, 'new', NULL, NULL FROM src WHERE source_relpath NOT IN (SELECT source_relpath FROM objects) AND file_id NOT IN (SELECT file_id FROM olds WHERE state = 'moved'))"""
 
 
 def _reconciled(spark, sf_dir):
@@ -446,7 +518,7 @@ def _reconciled(spark, sf_dir):
     return catalog.reconcile(o, source)
 
 
-@query(f"{RECON} SELECT source_relpath, file_id, state, moved_to FROM allr")
+@query(f"{RECON} SELECT source_relpath, file_id, state, moved_to, new_file_id FROM allr")
 def reconcile_classes(spark, sf_dir):
     return _reconciled(spark, sf_dir)
 
@@ -474,20 +546,33 @@ def kg_integrity(spark, sf_dir):
     return enrich.graph_problems(nodes, _t(spark, sf_dir, "orders").select(k.alias("source"), k.alias("target")))
 
 
-@query("""SELECT event_id, greatest(0, least(floor(least(a, b)), 500))::INT AS x1, greatest(0, least(floor(least(c, d)), 400))::INT AS y1, greatest(0, least(floor(greatest(a, b)), 500))::INT AS x2, greatest(0, least(floor(greatest(c, d)), 400))::INT AS y2
-FROM (SELECT event_id, value::DOUBLE AS a, (event_id % 600)::DOUBLE AS b, (event_id % 97 * 5)::DOUBLE AS c, (user_id % 450 - 20)::DOUBLE AS d FROM events)""")
+@query("""WITH e AS (SELECT event_id, event_id % 400 AS a, event_id % 97 * 3 AS b, event_id % 400 + user_id % 90 AS c, event_id % 97 * 3 + event_id % 31 AS d FROM events)
+SELECT event_id, greatest(0, a - 5) AS x1, greatest(0, b - 5) AS y1, least(500, c + 5) AS x2, least(320, d + 5) AS y2, round(a / 500::DOUBLE, 6) AS rx1, round(b / 320::DOUBLE, 6) AS ry1, round(c / 500::DOUBLE, 6) AS rx2, round(d / 320::DOUBLE, 6) AS ry2 FROM e""")
 def bbox_normalize(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    box = geometry.ordered_box(F.col("value").cast("double"), (F.col("event_id") % 97 * 5).cast("double"), (F.col("event_id") % 600).cast("double"), (F.col("user_id") % 450 - 20).cast("double"), F.lit(500), F.lit(400))
-    return e.select("event_id", box.alias("b")).select("event_id", "b.*")
+    k = F.col("event_id")
+    e = _t(spark, sf_dir, "events").select(k, F.struct((k % 400).alias("x1"), (k % 97 * 3).alias("y1"), (k % 400 + F.col("user_id") % 90).alias("x2"), (k % 97 * 3 + k % 31).alias("y2")).alias("b"))
+    w, h = F.lit(500), F.lit(320)
+    shares = geometry.relative_box(F.col("b"), w, h)
+    return e.select("event_id", geometry.padded_box(F.col("b"), 5, w, h).alias("p"), shares.alias("r")).select("event_id", "p.*", *[F.round(f"r.{c}", 6).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("""SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 100 // 10, event_id % 7, event_id) AS rn FROM events) WHERE rn <= 5""")
+@query("""WITH e AS (SELECT event_id, [event_id % 91, user_id % 77] AS p, [event_id % 53, event_id % 37] AS q, [user_id % 31, event_id % 83] AS r, [event_id % 71, user_id % 67] AS s FROM events),
+u AS (SELECT event_id, unnest([p, q, r, s]) AS p, generate_subscripts([p, q, r, s], 1) AS i FROM e)
+SELECT event_id, arg_min(p[1], struct_pack(k := p[1] + p[2], i := i)) AS tlx, arg_min(p[1], struct_pack(k := p[2] - p[1], i := i)) AS trx, arg_max(p[1], struct_pack(k := p[1] + p[2], i := -i)) AS brx, arg_max(p[1], struct_pack(k := p[2] - p[1], i := -i)) AS blx,
+ arg_min(p[2], struct_pack(k := p[1] + p[2], i := i)) AS tly FROM u GROUP BY 1""")
+def corner_order(spark, sf_dir):
+    k, u = F.col("event_id"), F.col("user_id")
+    points = F.array(F.array(k % 91, u % 77), F.array(k % 53, k % 37), F.array(u % 31, k % 83), F.array(k % 71, u % 67))
+    o = F.col("o")
+    return _t(spark, sf_dir, "events").select(k, geometry.ordered_points(points).alias("o")).select(k, o[0][0].alias("tlx"), o[1][0].alias("trx"), o[2][0].alias("brx"), o[3][0].alias("blx"), o[0][1].alias("tly"))
+
+
+@query("""SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 100 // 10, event_id % 7, event_id) AS rn FROM events) WHERE rn <= 200""")
 def reading_order(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy(F.floor(F.col("event_id") % 100 / 10), F.col("event_id") % 7, "event_id")
-    return _t(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 5").select("user_id", "event_id", "rn")
+    return _t(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 200").select("user_id", "event_id", "rn")
 
 
 @query("SELECT event_type, round(coalesce(greatest(0, least(1, avg(value) / 100)), 1.0), 6)::DOUBLE AS confidence FROM events GROUP BY 1")
@@ -543,24 +628,31 @@ def object_summaries(spark, sf_dir):
     return overviews.object_summaries(corpus.objects(docs), corpus.collections(docs, _t(spark, sf_dir, "labels"))[1], enrich.segments(docs, key="doc_id"))
 
 
-@query(f"WITH {OBJ} SELECT source || '/' || lang AS path, string_agg('- doc-' || doc_id || '.txt: ' || replace(left(text, 60), E'\n', ' '), E'\n' ORDER BY source_relpath) AS overview FROM objects WHERE doc_id % 3 = 0 GROUP BY 1")
+FOLDED = "source || '/' || lang"
+
+
+@query(f"""WITH {FOLDER_TEXTS} SELECT source || '/' || lang AS path, 'document' AS part, 'doc-' || doc_id || '.txt' AS name, {_first('text', 500)} AS synthesis, CASE WHEN doc_id % 2 = 0 THEN 'report' ELSE 'unknown' END AS doc_type, 'default' AS quality FROM objects WHERE doc_id % 3 < 2
+UNION ALL SELECT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END, 'folder', path, text, 'folder', 'default' FROM folder_texts WHERE path <> ''""")
 def folder_overview(spark, sf_dir):
     o = _objects(spark, sf_dir)
-    return overviews.folder_overview(o, o.where("doc_id % 3 = 0").select("doc_id", F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")).alias("summary")))
+    made = enrich.first_n(o.where("doc_id % 3 < 2"), 500).select("doc_id", F.col("text").alias("synthesis"), F.when(F.col("doc_id") % 2 == 0, "report").alias("doc_type"), F.lit(None).cast("string").alias("quality"))
+    return overviews.folder_overview(o, made, catalog.folder_tree(o), _folder_texts(spark, sf_dir, 3000).withColumnRenamed("text", "synthesis"))
 
 
-@query("SELECT string_agg('- ' || source || ': ' || n || ' documents', E'\n' ORDER BY source) AS overview FROM (SELECT source, count(*) AS n FROM documents WHERE source <> 'src4' GROUP BY 1)")
+@query(f"WITH {FOLDER_TEXTS} SELECT path, text AS synthesis, 'folder' AS kind, 'default' AS quality, (SELECT count(*) FROM folder_texts) AS folder_count FROM folder_texts WHERE path <> '' AND NOT contains(path, '/') AND path <> 'src4'")
 def root_overview(spark, sf_dir):
-    s = _docs(spark, sf_dir).where("source <> 'src4'").groupBy(F.col("source").alias("path")).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("summary"))
-    return overviews.root_overview(catalog.folder_tree(_objects(spark, sf_dir)), s)
+    made = _folder_texts(spark, sf_dir, 3000).where("path <> 'src4'").withColumnRenamed("text", "synthesis")
+    return overviews.root_overview(catalog.folder_tree(_objects(spark, sf_dir)), made)
 
 
-@query(f"WITH {COLL} SELECT collection_id, name, '# ' || name || E'\n\n' || string_agg('- ' || file_id, E'\n' ORDER BY created, file_id) AS page FROM members GROUP BY 1, 2")
+@query(f"""WITH {COLL}, r AS (SELECT collection_id, file_id, row_number() OVER (PARTITION BY collection_id ORDER BY created, file_id) AS k, count(*) OVER (PARTITION BY collection_id) AS n FROM members)
+SELECT collection_id AS scope_id, (k - 1) // 100 AS page, CASE WHEN (k - 1) // 100 = 0 THEN E'# OSII Wiki\n\nThis local baseline describes a **collection** scope containing **' || any_value(n) || E'** objects.\n\n## Members\n\n' ELSE '' END || string_agg('- `' || file_id || '`', E'\n' ORDER BY k) || E'\n' AS markdown FROM r GROUP BY 1, 2""")
 def wiki_members(spark, sf_dir):
-    return overviews.member_list(corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))[1])
+    members = corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))[1]
+    return overviews.wiki_pages(members.withColumnRenamed("collection_id", "scope_id"), per_page=100)
 
 
-@query(f"""WITH {FOLDERS} SELECT CASE WHEN path = '' THEN 'root' ELSE 'folder' END AS scope_type, path AS scope_id, CASE WHEN path = '' THEN 'All documents' ELSE string_split(path, '/')[-1] END AS label FROM allp
+@query(f"""WITH {FOLDERS} SELECT 'root' AS scope_type, 'root' AS scope_id, 'root' AS label UNION ALL SELECT 'folder', path, CASE WHEN path = '' THEN 'root-folder' ELSE path END FROM allp
 UNION ALL SELECT 'collection', 'col-' || left(sha256(n), 12), n FROM (VALUES ('good'), ('toxic')) v(n) WHERE (n = 'good' AND EXISTS (SELECT 1 FROM labels WHERE quality = 1)) OR (n = 'toxic' AND EXISTS (SELECT 1 FROM labels WHERE toxic = 1))""")
 def scope_descriptions(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -600,17 +692,17 @@ def folder_duplicates(spark, sf_dir):
     return catalog.duplicate_folders(rows).agg(F.lit("path").alias("what"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, least(a, b, c) AS x1, least(b, c, a + c) AS y1, greatest(a, b, c) AS x2, greatest(b, c, a + c) AS y2, CASE WHEN b < 45 THEN 7 WHEN a / greatest(b, 1)::DOUBLE > 8 THEN 7 WHEN b / greatest(a, 1)::DOUBLE > 3 THEN 4 ELSE 6 END AS psm FROM (SELECT event_id, event_id % 91 AS a, user_id % 77 AS b, event_id % 53 AS c FROM events)")
+@query("SELECT event_id, least(a, b, c) AS x1, least(b, c, a + c) AS y1, greatest(a, b, c) AS x2, greatest(b, c, a + c) AS y2, CASE WHEN b * 2 <= 40 AND a * 4 / greatest(b * 2, 1)::DOUBLE >= 4 THEN 7 WHEN a * 4 <= 120 AND b * 2 <= 80 THEN 8 WHEN a * 4 / greatest(b * 2, 1)::DOUBLE >= 2.5 AND b * 2 <= 80 THEN 7 ELSE 6 END AS psm FROM (SELECT event_id, event_id % 91 AS a, user_id % 77 AS b, event_id % 53 AS c FROM events)")
 def region_shapes(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 91).alias("a"), (F.col("user_id") % 77).alias("b"), (F.col("event_id") % 53).alias("c"))
     points = F.array(F.array("a", "b"), F.array("b", "c"), F.array("c", F.col("a") + F.col("c")))
-    return e.select("event_id", geometry.polygon_box(points).alias("p"), geometry.segmentation_mode(F.col("a"), F.col("b")).alias("psm")).select("event_id", "p.*", "psm")
+    return e.select("event_id", geometry.polygon_box(points).alias("p"), geometry.segmentation_mode(F.col("a") * 4, F.col("b") * 2).alias("psm")).select("event_id", "p.*", "psm")
 
 
 @query(f"""WITH {BM}, top AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, source_relpath, chunk_id) AS r FROM lex QUALIFY r <= 10)
 SELECT t.chunk_id, CASE WHEN r % 2 = 0 THEN substr(d.text, n.char_start + 1, n.char_end - n.char_start) ELSE 'given' END AS evidence FROM top t JOIN named n USING (chunk_id) JOIN documents d ON d.doc_id = t.doc_id""")
 def evidence_backfill(spark, sf_dir):
-    hits = plans.ranked(plans.search(_windows(spark, sf_dir), ASKED), "source_relpath", "chunk_id")
+    hits = plans.ranked(plans.search(_index(spark, sf_dir), ASKED), "source_relpath", "chunk_id")
     given = F.when(F.col("rank") % 2 == 1, "given")
     full = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("whole"))
     return hits.select("doc_id", "chunk_id", "char_start", "char_end", given.alias("given")).join(full, "doc_id").select("chunk_id", F.coalesce("given", text.span(F.col("whole"), F.col("char_start"), F.col("char_end"))).alias("evidence"))

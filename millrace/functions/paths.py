@@ -117,3 +117,42 @@ def first_glob_route(path: Column, routes: list[tuple[list[str], str]], default:
         hit = F.lit(True) if "*" in patterns else matches_any(path, [p.strip("/") for p in patterns], False)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+def clean_user_path(path: Column) -> Column:
+    """A path as a user typed it, without white space, then quotes, around it; null where nothing is left."""
+    return F.nullif(F.btrim(F.btrim(strip(path), F.lit('"')), F.lit("'")), F.lit(""))
+
+
+def under_root(root: str, path: Column) -> Column:
+    """The path below a root; '' for the root itself, the name alone for a path elsewhere."""
+    return F.when(path == root, "").when(path.startswith(root.rstrip("/") + "/"), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))).otherwise(basename(path))
+
+
+def display_path(path: Column, shared: str, upload: str) -> Column:
+    """my_data/... or uploaded_data/... for paths below the two roots, else the name."""
+    out = basename(path)
+    for root, shown in ((upload, "uploaded_data"), (shared, "my_data")):
+        below = path.startswith(root.rstrip("/") + "/")
+        out = F.when(path == root, shown).when(below, F.concat(F.lit(f"{shown}/"), under_root(root, path))).otherwise(out)
+    return out
+
+
+def artifact_path(relpath: Column, ending: str) -> Column:
+    """Where an artifact of a file lies: the file's folder and name, with another ending for its last two."""
+    stem = F.regexp_replace(F.regexp_replace(basename(relpath), r"(?<=.)\.[^.]*$", ""), r"(?<=.)\.[^.]+$", "")
+    return F.concat(F.when(parent(relpath) == "", "").otherwise(F.concat(parent(relpath), F.lit("/"))), stem, F.lit(ending))
+
+
+#: fixed values: a text reader's names of languages
+LANGUAGES = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa", "ja": "jpn", "ko": "kor", "zh": "chi_sim", "ar": "ara"}
+
+
+def reader_language(code: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[F.lower(code)], F.lit("eng"))
+
+
+def variant_name(kind: Column, method: Column) -> Column:
+    """kind--method with _ for blanks; null where either is missing."""
+    part = lambda c: F.replace(F.nullif(strip(c), F.lit("")), F.lit(" "), F.lit("_"))
+    return F.concat(part(kind), F.lit("--"), part(method))

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space, as Java's \s with (?U), and the separators that Python strips too
+#: Unicode white space, and the separators that Python strips too
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: the same as a class of patterns
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends (trim() removes blanks only)."""
-    return F.regexp_replace(c, f"{SPACE}+\\z|\\A{SPACE}+", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+\\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def leading(c: Column) -> Column:
     """How many characters strip() removes at the start."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"\\A{SPACE}+", ""))
+    return F.length(c) - F.length(F.ltrim(c, F.lit(BLANKS)))
 
 
 def span(text: Column, start: Column, end: Column) -> Column:
@@ -68,7 +70,7 @@ def approx_tokens(n_chars: Column) -> Column:
 def shorter_tries(text: Column, sizes: tuple[int, ...] = (1024, 768, 512)) -> Column:
     """Distinct shorter forms of a text that was too long, longest first."""
     tries = F.array(*[rstrip(F.left(text, F.lit(n))) for n in sizes])
-    return F.array_distinct(F.filter(tries, lambda t: F.length(t) < F.length(text)))
+    return F.array_distinct(F.filter(tries, lambda t: (F.length(t) < F.length(text)) & (t != "")))
 
 
 def strip_rtf(text: Column) -> Column:
@@ -86,29 +88,61 @@ def lines(text: Column) -> Column:
 
 
 def garbage_line(line: Column) -> Column:
-    """Whether a line is no prose: blank, very long, hardly any letters or vowels, one character nine
-    times in a row, control characters. Few letters are forgiven in tables and where there are numbers,
-    and then nothing else is asked."""
-    n = F.length(line)
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    vowels = F.length(F.regexp_replace(line, "[^aeiouyAEIOUY]", ""))
-    forgiven = (F.length(F.regexp_replace(line, "[^,]", "")) >= 3) | (F.length(F.regexp_replace(line, "[^\t]", "")) >= 3) | line.rlike("[0-9]")
+    """Whether a line is no prose: blank, over 600 characters, hardly any letters or vowels, one character
+    nine times in a row, control characters. Few letters are forgiven where there are three commas, three
+    tabs or a number by itself, and then nothing else is asked."""
+    own = strip(line)
+    n = F.length(own)
+    letters = F.length(F.regexp_replace(own, r"[^\p{L}]", ""))
+    vowels = F.length(F.regexp_replace(own, "[^aeiouAEIOU]", ""))
+    three = lambda c: F.length(own) - F.length(F.replace(own, F.lit(c), F.lit(""))) >= 3
+    forgiven = three(",") | three("\t") | own.rlike(r"(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])")
     return (
-        F.when(strip(line) == "", True)
+        F.when(n == 0, True)
         .when(n > 600, True)
         .when(letters == 0, True)
         .when(letters / n < 0.2, ~forgiven)
         .when(vowels / letters < 0.1, True)
-        .when(line.rlike(r"(.)\1{8,}"), True)
-        .otherwise(line.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
+        .when(own.rlike(r"(.)\1{8,}"), True)
+        .otherwise(own.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
     )
 
 
+def raw_lines(text: Column) -> Column:
+    """The lines of a text with line ends of any kind, without NUL."""
+    return F.split(F.replace(F.regexp_replace(text, "\r\n?", "\n"), F.lit("\x00"), F.lit("")), "\n")
+
+
 def clean(text: Column) -> Column:
-    """Line ends to \\n, no NUL, no garbage lines, single blanks."""
-    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\x00", "")
-    kept = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~garbage_line(x)), "\n")
-    return strip(F.regexp_replace(F.regexp_replace(kept, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    """Without garbage lines (blank ones among them); runs of blanks inside a line become one, its ends go."""
+    return clean_with_counts(text)["text"]
+
+
+def clean_with_counts(text: Column) -> Column:
+    """text as clean() has it, original_chars, cleaned_chars, lines_total, lines_kept, lines_dropped, dropped_line_frac."""
+    lines = raw_lines(text)
+    kept = F.transform(F.filter(lines, lambda x: ~garbage_line(x)), lambda x: strip(F.regexp_replace(x, "[ \t]{2,}", " ")))
+    out = strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+    total, left = F.size(lines), F.size(kept)
+    return F.struct(
+        out.alias("text"), F.length(text).alias("original_chars"), F.length(out).alias("cleaned_chars"), total.alias("lines_total"), left.alias("lines_kept"), (total - left).alias("lines_dropped"), ((total - left) / F.greatest(F.lit(1), total)).alias("dropped_line_frac")
+    )
+
+
+def segment_slice(text: Column, start: Column, end: Column) -> Column:
+    """The text of a segment: the whole text where its span is missing, null where it is negative or reversed."""
+    return F.when(start.isNull() | end.isNull(), text).when((start < 0) | (end < start), None).otherwise(F.substring(text, (start + 1).cast("int"), (end - start).cast("int")))
+
+
+def too_long_error(message: Column) -> Column:
+    """Whether a model's message says that a text is beyond its context."""
+    m = F.lower(message)
+    return m.contains("maximum context length") | m.contains("contextwindowexceedederror") | (m.contains("requested") & m.contains("tokens") & m.contains("embedding"))
+
+
+def cell_text(value: Column) -> Column:
+    """What a table cell of JSON shows: nothing for null, a string as it is, all else as JSON."""
+    return F.when(value.isNull() | (value == "null"), "").when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"]).otherwise(value)
 
 
 def keyword_tokens(text: Column) -> Column:

@@ -15,14 +15,16 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def files_catalog(folder_docs: DataFrame, finished: DataFrame) -> DataFrame:
-    """Folder documents and finished objects (status done or partial) together, one row a content id.
+    """file_id, source_relpath: folder documents and finished objects (status done or partial) together.
 
-    Both hold file_id and source_relpath, finished also status. Folder documents come first, then
-    paths in order. Paths are unique in each, so the first row of each content id is exact.
+    Both hold file_id and source_relpath, finished also status; paths are unique in each. Folder documents
+    come first, the least path of each content id; then the finished objects whose content and whose
+    path none of those has, again the least path of each content id.
     """
-    done = finished.where(F.col("status").isin("done", "partial")).select("file_id", "source_relpath", F.lit(1).alias("origin"))
-    every = folder_docs.select("file_id", "source_relpath", F.lit(0).alias("origin")).unionByName(done)
-    return first_seen(first_seen(every, ["source_relpath"], ["origin", "file_id"]), ["file_id"], ["origin", "source_relpath"])
+    kept = first_seen(folder_docs.select("file_id", "source_relpath"), ["file_id"], ["source_relpath"])
+    done = finished.where(F.col("status").isin("done", "partial")).select("file_id", "source_relpath")
+    more = done.join(kept, "file_id", "left_anti").join(kept.select("source_relpath"), "source_relpath", "left_anti")
+    return kept.unionByName(first_seen(more.select("file_id", "source_relpath"), ["file_id"], ["source_relpath"]))
 
 
 def folder_tree(objects: DataFrame) -> DataFrame:
@@ -136,20 +138,41 @@ def extractor_plan(files: DataFrame, routes: list[tuple[list[str], str]], overri
 
 
 def reconcile(catalog: DataFrame, source: DataFrame) -> DataFrame:
-    """source_relpath, file_id, state: unchanged, changed, moved, missing or new.
+    """source_relpath, file_id, state, moved_to, new_file_id: unchanged, changed, moved, missing or new.
 
-    Both hold source_relpath and file_id; paths are unique. Same path: unchanged or changed. A
-    catalog path that is gone has moved if its content is at a path the catalog doesn't have (the
-    least one), else it is missing; source paths that are neither known nor targets of a move are new.
+    Both hold source_relpath and file_id; paths are unique. Same path: unchanged, or changed with the
+    content it has now. A catalog path that is gone has moved if its content is anywhere in the source (at
+    the last of its paths in order), else it is missing. Source paths that the catalog doesn't have are
+    new unless something moved has their content.
     """
+    none = F.lit(None).cast("string")
     c = catalog.select("source_relpath", "file_id")
     s = source.select("source_relpath", F.col("file_id").alias("_now"))
-    same = c.join(s, "source_relpath")
-    here = same.select("source_relpath", "file_id", F.when(F.col("file_id") == F.col("_now"), "unchanged").otherwise("changed").alias("state"), F.lit(None).cast("string").alias("moved_to"))
-    gone = c.join(s, "source_relpath", "left_anti")
-    fresh = s.join(c, "source_relpath", "left_anti").withColumnRenamed("_now", "file_id")
-    targets = fresh.groupBy("file_id").agg(F.min("source_relpath").alias("moved_to"))
-    lost = gone.join(targets, "file_id", "left").select("source_relpath", "file_id", F.when(F.col("moved_to").isNotNull(), "moved").otherwise("missing").alias("state"), "moved_to")
-    used = lost.where("state = 'moved'").select(F.col("moved_to").alias("source_relpath")).distinct()
-    new = fresh.join(used, "source_relpath", "left_anti").select("source_relpath", "file_id", F.lit("new").alias("state"), F.lit(None).cast("string").alias("moved_to"))
-    return here.unionByName(lost).unionByName(new)
+    found = c.join(s, "source_relpath", "left")
+    same = F.col("file_id") == F.col("_now")
+    here = found.where("_now IS NOT NULL").select("source_relpath", "file_id", F.when(same, "unchanged").otherwise("changed").alias("state"), none.alias("moved_to"), F.when(~same, F.col("_now")).alias("new_file_id"))
+    places = s.groupBy(F.col("_now").alias("file_id")).agg(F.max("source_relpath").alias("moved_to"))
+    gone = found.where("_now IS NULL").join(places, "file_id", "left").select("source_relpath", "file_id", F.when(F.col("moved_to").isNotNull(), "moved").otherwise("missing").alias("state"), "moved_to", none.alias("new_file_id"))
+    fresh = s.join(c, "source_relpath", "left_anti").select("source_relpath", F.col("_now").alias("file_id"))
+    new = fresh.join(gone.where("state = 'moved'").select("file_id").distinct(), "file_id", "left_anti")
+    return here.unionByName(gone).unionByName(new.select("source_relpath", "file_id", F.lit("new").alias("state"), none.alias("moved_to"), none.alias("new_file_id")))
+
+
+def reconciled_states(changes: DataFrame) -> DataFrame:
+    """file_id, status, source_relpath: the source states that a reconciliation writes, one row a content id.
+
+    Where content is in several rows, an active one wins, then the least path.
+    """
+    rows = changes.select(F.coalesce("new_file_id", "file_id").alias("file_id"), F.when(F.col("state") == "missing", "missing_source").otherwise("active").alias("status"), F.coalesce("moved_to", "source_relpath").alias("source_relpath"))
+    return first_seen(rows, ["file_id"], ["status", "source_relpath"])
+
+
+def apply_reconciliation(objects: DataFrame, changes: DataFrame) -> DataFrame:
+    """file_id, source_relpath, work: the objects of a catalog after a reconciliation.
+
+    Moved objects have their new path, changed and new files are to be extracted (work 'extract'), what
+    is missing stays as it is; one row for each row of changes.
+    """
+    rows = changes.select(F.coalesce("new_file_id", "file_id").alias("file_id"), F.coalesce("moved_to", "source_relpath").alias("source_relpath"), F.when(F.col("state").isin("changed", "new"), "extract").otherwise("keep").alias("work"))
+    known = objects.select("file_id").distinct().withColumn("_known", F.lit(True))
+    return rows.join(known, "file_id", "left").select("file_id", "source_relpath", F.when(F.col("_known").isNull(), F.lit("extract")).otherwise(F.col("work")).alias("work"))

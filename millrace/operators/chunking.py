@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import leading, strip
+from millrace.functions.text import SPACE, leading, strip
 
 PARAGRAPH = r"(?sd)\S(?:.*?\S)?(?:\n\s*\n|$)"
 
 
-def window_spans(text: Column, size: int = 1200, overlap: int = 200) -> Column:
-    """start, end and text of overlapping windows, stripped; empty ones are left out."""
-    step = max(1, size - overlap)
-    n = F.length(text)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int"))
+#: windows that are cut out of one piece of a text, so that a long text isn't searched from its start for each
+PER_PIECE = 128
 
-    def one(i: Column) -> Column:
-        raw = F.substring(text, i * step + 1, F.lit(size))
-        own = strip(raw)
-        start = i * step + leading(raw)
-        return F.struct(start.cast("bigint").alias("char_start"), (start + F.length(own)).cast("bigint").alias("char_end"), own.alias("text"))
 
-    spans = F.transform(F.sequence(F.lit(0), last), one)
-    return F.filter(spans, lambda s: s["text"] != "")
+def windows(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """The other columns of texts, chunk_index (from 1), char_start, char_end, text: overlapping windows, stripped.
+
+    Empty windows are left out and don't count in the index. There is no shuffle: which windows of a text
+    are empty is found first, where it has enough white space in a row for one.
+    """
+    rest, step = [c for c in texts.columns if c != "text"], max(1, size - overlap)
+    text = F.col("text")
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(step))).cast("int"))
+    empty = F.filter(F.sequence(F.lit(0), last), lambda k: strip(F.substring(text, k * step + 1, F.lit(size))) == "")
+    empty = F.when(text.rlike(f"{SPACE}{{{min(size - step, size - 1) + 1},}}"), empty).otherwise(F.array().cast("array<int>"))
+    pieces = texts.select(*rest, text, empty.alias("_empty"), last.alias("_last")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / PER_PIECE).cast("int"))))
+    first = F.col("_piece") * PER_PIECE
+    pieces = pieces.select(*rest, "_empty", first.alias("_first"), F.least(F.lit(PER_PIECE - 1), F.col("_last") - first).alias("_more"), F.substring(text, first * step + 1, F.lit((PER_PIECE - 1) * step + size)).alias("_text"))
+    rows = pieces.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_more")))).withColumn("_k", F.col("_first") + F.col("_i")).where("NOT array_contains(_empty, _k)")
+    raw = rows.select(*rest, "_k", (F.col("_k") + 1 - F.size(F.filter("_empty", lambda e: e < F.col("_k")))).cast("bigint").alias("chunk_index"), F.substring(F.col("_text"), F.col("_i") * step + 1, F.lit(size)).alias("_raw"))
+    own = raw.select(*rest, "chunk_index", (F.col("_k") * step + leading(F.col("_raw"))).cast("bigint").alias("char_start"), strip(F.col("_raw")).alias("text"))
+    return own.select(*rest, "chunk_index", "char_start", (F.col("char_start") + F.length("text")).cast("bigint").alias("char_end"), "text")
 
 
 def paragraph_spans(text: Column) -> Column:
@@ -48,12 +56,17 @@ def _locate(part: Column, text: Column, start: Column) -> Column:
 
 
 def chunks(texts: DataFrame, method: str = "paragraph", size: int = 1200, overlap: int = 200, key: str = "file_id") -> DataFrame:
-    """One row a chunk of texts(key, text): key, chunk_id, chunk_index (from 1), char_start, char_end, text."""
-    spans = {"paragraph": lambda t: paragraph_spans(t), "window": lambda t: window_spans(t, size, overlap)}
-    if method not in spans:
+    """One row a chunk of texts(key, text): key, chunk_id, chunk_index (from 1), char_start, char_end, text.
+
+    Blank texts have no chunks.
+    """
+    if method not in ("paragraph", "window"):
         raise ValueError(f"unknown chunk method {method!r}")
     some = texts.where(strip(F.col("text")) != "")
     rest = [c for c in texts.columns if c != "text"]
-    rows = some.select(*rest, F.posexplode(spans[method](F.col("text"))).alias("i", "s"))
-    index = (F.col("i") + 1).cast("bigint")
-    return rows.select(*rest, F.format_string("chunk-%s-%06d", F.col(key).cast("string"), index).alias("chunk_id"), index.alias("chunk_index"), "s.char_start", "s.char_end", "s.text")
+    if method == "paragraph":
+        rows = some.select(*rest, F.posexplode(paragraph_spans(F.col("text"))).alias("i", "s"))
+        rows = rows.select(*rest, (F.col("i") + 1).cast("bigint").alias("chunk_index"), "s.*")
+    else:
+        rows = windows(some, size, overlap)
+    return rows.select(*rest, F.format_string("chunk-%s-%06d", F.col(key).cast("string"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "char_start", "char_end", "text")

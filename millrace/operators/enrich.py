@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACE, clean, keyword_tokens, ordered_text, strip
+from millrace.functions.text import SPACE, keyword_tokens, light_clean, ordered_text, strip
+from millrace.session import materialize
 
 #: fixed values: words that are no keywords
 STOP = (
-    "about also and any are because been before being between both but can could did does doing down during each few for from further had has have having her here him his how into its itself just "
-    "more most not now off once only other our out over own same she should some such than that the their them then there these they this those through too under until very was were what when "
-    "where which while who why will with would you your"
+    "the and for are with that this from into was were have has had but not you your their they them his her its our out all any can may will would should could about there which when what where while than then also such using used use these those within over under "
+    "after before between because being been each other some more most only very onto upon report document"
 ).split()
 
 
@@ -26,9 +26,18 @@ def top_keywords(texts: DataFrame, top_k: int = 20, min_count: int = 1, order: s
 
 
 def capitalised_phrases(texts: DataFrame) -> DataFrame:
-    """entity: distinct phrases of words that start with a capital."""
-    form = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"
-    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(form), F.lit(0))).alias("entity")).distinct()
+    """entity_id, entity: distinct phrases of words that start with a capital, numbered in order.
+
+    A word is of ASCII letters and stands by itself: no letter, digit or _ of any script next to it. The
+    numbers come from counts of first characters and a window in each, so no task orders them all.
+    """
+    word = r"[A-Z][A-Za-z]+"
+    form = rf"(?<![\p{{L}}\p{{N}}\p{{M}}_]){word}(?: {word})*(?![\p{{L}}\p{{N}}\p{{M}}_])"
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(form), F.lit(0))).alias("entity")).distinct().withColumn("_head", F.left("entity", F.lit(2)))
+    heads = found.groupBy("_head").agg(F.count(F.lit(1)).alias("n"))
+    before = heads.select("_head", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_head")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_head").orderBy("entity")) + F.col("_before")
+    return found.join(before, "_head").select(F.concat(F.lit("entity-"), place.cast("string")).alias("entity_id"), "entity")
 
 
 def table_rows(texts: DataFrame, key: str = "doc_id", delimiter: str = "|", least: int = 2) -> DataFrame:
@@ -63,9 +72,48 @@ def preferred_texts(canonical: DataFrame, edited: DataFrame, key: str = "file_id
     return canonical.select(key, "text").join(e, key, "left").select(key, F.when(F.col("_e").isNotNull(), "edited").otherwise("canonical").alias("representation"), F.coalesce("_e", "text").alias("text"))
 
 
-def first_n(texts: DataFrame, n: int, cleaned: bool = True) -> DataFrame:
-    """The first n characters of each text, cleaned before the cut."""
-    return texts.withColumn("text", F.left(clean(F.col("text")) if cleaned else F.col("text"), F.lit(n)))
+def first_n(texts: DataFrame, n: int = 4000) -> DataFrame:
+    """The first n characters of each text after light cleaning, stripped."""
+    return texts.withColumn("text", strip(F.left(light_clean(F.col("text")), F.lit(n))))
+
+
+def joined_first_n(parts: DataFrame, n: int = 4000, scope: str = "scope_id", order: str = "ord") -> DataFrame:
+    """scope, text: the texts of a scope in order (integers), joined by blank lines, cleaned and cut to n characters.
+
+    What can't reach the first n characters isn't gathered: lengths after cleaning are added up by blocks
+    of the order, then inside the block where n is reached, and the parts after that are left out.
+    """
+    some = parts.where(strip(F.coalesce("text", F.lit(""))) != "")
+    sized = some.withColumn("_size", F.length(light_clean(F.col("text"))).cast("bigint")).withColumn("_block", F.shiftright(F.col(order).cast("bigint"), 10))
+    blocks = sized.groupBy(scope, "_block").agg(F.sum("_size").alias("_sum"))
+    upto = Window.partitionBy(scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).where(F.col("_before") < n).drop("_sum")
+    inside = Window.partitionBy(scope, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    few = sized.join(blocks, [scope, "_block"]).withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).where(F.col("_upto") < n)
+    whole = few.groupBy(scope).agg(strip(ordered_text(F.col(order), F.col("text"))).alias("text"))
+    return whole.select(scope, strip(F.left(light_clean(F.col("text")), F.lit(n))).alias("text"))
+
+
+def bottom_up(tree: DataFrame, direct: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, text of every folder, deepest first: a folder's text comes from those of its child folders, by
+    path, and then from its own documents.
+
+    tree holds path, parent_path and depth; direct holds path, ord and text of documents, ord not
+    negative. combine maps rows of scope_id, ord and text to one text a scope. One round a level.
+    """
+    levels = sorted((r["depth"] for r in tree.select("depth").distinct().collect()), reverse=True)
+    done, below = None, None
+    for depth in levels:
+        own = tree.where(F.col("depth") == depth).select("path")
+        parts = direct.join(own, "path", "left_semi").select(F.col("path").alias("scope_id"), "ord", "text")
+        if below is not None:
+            # children in order of path, before the documents
+            place = F.row_number().over(Window.partitionBy("parent_path").orderBy(F.desc("path")))
+            kids = below.join(tree.select("path", "parent_path"), "path").select(F.col("parent_path").alias("scope_id"), (-place).cast("bigint").alias("ord"), "text")
+            parts = parts.withColumn("ord", F.col("ord").cast("bigint")).unionByName(kids)
+        below = materialize(combine(parts).select(F.col("scope_id").alias("path"), "text"), "folder-texts")
+        done = below if done is None else done.unionByName(below)
+    return done
 
 
 def inventory_sentence(tree: DataFrame, name: str) -> DataFrame:
@@ -92,22 +140,32 @@ def folded(texts: DataFrame, group: int, combine: Callable[[DataFrame], DataFram
     return rows.select(key, "text")
 
 
-def split_to_fit(text: str, target: int, most: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
-    """Parts of at most `most` characters, packed up to `target`, cut at the strongest separator that serves."""
+def _filled(pieces: list[str], between: str, target: int, most: int) -> Iterator[str]:
+    """Neighbours joined while they fit the target; what is longer than most is cut there."""
+    held = ""
+    for piece in pieces:
+        joined = held + between + piece if held else piece
+        if held and len(joined) > target:
+            yield held.strip()
+            joined = piece
+        held = joined
+        while len(held) > most:
+            yield held[:most].strip()
+            held = held[most:].strip()
+    if held.strip():
+        yield held.strip()
+
+
+def split_to_fit(text: str, target: int, most: int) -> list[str]:
+    """Parts of at most `most` characters, packed up to `target`, cut at the strongest separator that yields more than one part."""
+    text = text.strip()
     if len(text) <= most:
         return [text] if text else []
-    if not separators:
-        return [text[i : i + target] for i in range(0, len(text), target)]
-    parts, held = [], ""
-    for piece in text.split(separators[0]):
-        joined = held + separators[0] + piece if held else piece
-        if len(joined) <= target:
-            held = joined
-            continue
-        parts += [held] if held else []
-        held = piece
-    parts += [held] if held else []
-    return [x for p in parts for x in (split_to_fit(p, target, most, separators[1:]) if len(p) > most else [p])]
+    for between in ("\n\n", "\n", ". ", " "):
+        parts = list(_filled(text.split(between), between, target, most)) if between in text else []
+        if len(parts) > 1:
+            return [x for p in parts for x in (split_to_fit(p, target, most) if len(p) > most else [p])]
+    return [text[i : i + most].strip() for i in range(0, len(text), most)]
 
 
 def recursive_parts(texts: DataFrame, target: int = 60_000, most: int = 80_000, key: str = "doc_id") -> DataFrame:
@@ -151,7 +209,15 @@ def best_segment(spans: DataFrame, segs: DataFrame, key: str = "file_id") -> Dat
     return best
 
 
+#: fixed values: what an extractive answer says around its evidence
+ANSWER_HEAD = "The locally available evidence most relevant to your question is:\n\n"
+ANSWER_TAIL = "\n\nThis answer uses the offline extractive fallback; verify the cited passages for interpretation."
+NO_ANSWER = "I could not find grounded text in this scope to answer the question."
+
+
 def extractive_answer(hits: DataFrame, n: int = 5) -> DataFrame:
-    """answer: the first n non-blank snippets as bullets, in order of rank."""
+    """answer: the first n non-blank snippets as bullets with the names of their files, in order of rank; one row."""
     few = hits.where(strip(F.coalesce("snippet", F.lit(""))) != "").orderBy("rank").limit(n)
-    return few.agg(ordered_text(F.col("rank"), F.concat(F.lit("- "), strip(F.col("snippet"))), "\n").alias("answer"))
+    name = F.coalesce(F.expr("nullif(element_at(split(source_relpath, '/'), -1), '')"), F.col("file_id"), F.lit("source"))
+    bullets = few.agg(ordered_text(F.col("rank"), F.concat(F.lit("- "), strip(F.col("snippet")), F.lit(" ["), name, F.lit("]")), "\n").alias("b"), F.count(F.lit(1)).alias("n"))
+    return bullets.select(F.when(F.col("n") == 0, NO_ANSWER).otherwise(F.concat(F.lit(ANSWER_HEAD), F.col("b"), F.lit(ANSWER_TAIL))).alias("answer"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import search_tokens
+from millrace.session import materialize
 
 K1, B = 1.5, 0.75
 
@@ -38,44 +39,60 @@ def _gain(n: int, avgdl: float, df: Column | int, tf: Column, dl: Column, k1: fl
 def bm25(chunks: DataFrame, query: str, top_k: int | None = 10, key: str = "chunk_id", k1: float = K1, b: float = B, include_zero: bool = False) -> DataFrame:
     """The columns of chunks and score, best first; ties by key.
 
-    Without an index it is two scans and no shuffle of texts: one for the statistics of all chunks
-    (their number, mean length, and how many hold each of the query's terms), one that scores. A
-    query term counts as often as it is asked. For many queries, build_index once.
+    Without an index it is one scan for the counts, which are written: a row a chunk, from an explode of
+    its tokens, so that none is evaluated twice, and an aggregate that ends in the task. Statistics and
+    scores come from those rows; texts meet the scores again by key and are never shuffled, since the
+    scores are filtered to top_k first where it is given. A query term counts as often as it is asked.
+    For many queries, build an index once (plans.search.build).
     """
     wanted = _wanted(chunks.sparkSession, query)
     if not wanted:
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
     terms = list(wanted)
-
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("_t", lambda x: x == term)).cast("double")
-
-    counted = chunks.withColumn("_t", search_tokens(F.col("text"))).select(*chunks.columns, F.size("_t").cast("double").alias("_dl"), *[occurrences(t).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms))]).first()
+    tokens = chunks.select(key, F.explode_outer(search_tokens(F.col("text"))).alias("_term"))
+    counts = tokens.groupBy(key).agg(F.count("_term").cast("double").alias("_dl"), *[F.count(F.when(F.col("_term") == t, 1)).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)])
+    counts = materialize(counts, "term-counts")
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         score = score + wanted[t] * _gain(stats["n"], stats["avgdl"] or 1.0, stats[f"d{i}"], F.col(f"_tf{i}"), F.col("_dl"), k1, b)
-    found = counted.select(*chunks.columns, score.alias("score"))
-    found = found if include_zero else found.where("score > 0")
-    return found.orderBy(F.desc(F.round("score", 9)), key).limit(top_k) if top_k else found
+    some = F.lit(False)
+    for i in range(len(terms)):
+        some = some | (F.col(f"_tf{i}") > 0)
+    found = (counts if include_zero else counts.where(some)).select(key, score.alias("score"))
+    if top_k:
+        found = found.orderBy(F.desc(F.round("score", 9)), key).limit(top_k)
+    met = chunks.join(found, key).select(*chunks.columns, "score")
+    return met.orderBy(F.desc(F.round("score", 9)), key) if top_k else met
 
 
 def build_index(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Write the index: postings sorted by term, so that a query reads few row groups, and statistics."""
+    """Write the index: postings sorted by term, so that a query reads few row groups, and statistics.
+
+    Postings carry the other columns of chunks but text: a scope is a filter or a semi-join of them.
+    """
+    rest = [c for c in chunks.columns if c not in (key, "text")]
     tokens = search_tokens(F.col("text"))
-    rows = chunks.select(key, F.size(tokens).cast("double").alias("dl"), F.explode(tokens).alias("term"))
-    rows.groupBy("term", key, "dl").agg(F.count(F.lit(1)).cast("double").alias("tf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    rows = chunks.select(key, *rest, F.size(tokens).cast("double").alias("dl"), F.explode(tokens).alias("term"))
+    few = [F.first(c).alias(c) for c in rest]
+    rows.groupBy("term", key).agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("double").alias("tf"), *few).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
     corpus_stats(chunks, key).write.parquet(f"{path}/stats")
 
 
-def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
-    """key and score of the best chunks of an index; the terms are a filter of the scan of postings."""
+def scored_postings(spark: SparkSession, path: str, query: str, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """key, the columns that postings carry, and score of every chunk that has a term of the query."""
     wanted = _wanted(spark, query)
     stats = spark.read.parquet(f"{path}/stats").first()
     found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*wanted))
+    rest = [c for c in found.columns if c not in ("term", key, "tf", "dl")]
     df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not df:
-        return found.select(key, F.lit(0.0).alias("score")).limit(0)
+        return found.select(key, *rest, F.lit(0.0).alias("score")).limit(0)
     per_term = F.create_map(*[x for t, n in df.items() for x in (F.lit(t), F.struct(F.lit(n).alias("df"), F.lit(wanted[t]).alias("times")))])[F.col("term")]
     gain = per_term["times"] * _gain(stats["n_chunks"], stats["avgdl"] or 1.0, per_term["df"], F.col("tf"), F.col("dl"), k1, b)
-    return found.groupBy(key).agg(F.sum(gain).alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(top_k)
+    return found.groupBy(key).agg(F.sum(gain).alias("score"), *[F.first(c).alias(c) for c in rest])
+
+
+def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """key and score of the best chunks of an index; the terms are a filter of the scan of postings."""
+    return scored_postings(spark, path, query, key, k1, b).select(key, "score").orderBy(F.desc(F.round("score", 9)), key).limit(top_k)

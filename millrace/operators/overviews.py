@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
@@ -19,30 +21,63 @@ def object_summaries(objects: DataFrame, members: DataFrame, segments: DataFrame
     )
 
 
-def folder_overview(objects: DataFrame, summaries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """path, overview: a bullet for each document of a folder that has a summary (key, summary), by path."""
-    rows = objects.select(key, "source_relpath").join(summaries, key)
-    bullet = F.concat(F.lit("- "), paths.basename(F.col("source_relpath")), F.lit(": "), F.col("summary"))
-    return rows.groupBy(paths.parent(F.col("source_relpath")).alias("path")).agg(ordered_text(F.col("source_relpath"), bullet, "\n").alias("overview"))
+def paged(rows: DataFrame, scope: list[str], order: list[str], size: int = 1000) -> DataFrame:
+    """The rows with their place in their scope (rank, from 1) and page, without a sort of a whole scope.
+
+    Rows are dealt into ranges by a hash-free key, the first of `order` cut to its first characters;
+    counts of the ranges give where each begins, and a window orders a range.
+    """
+    head = F.left(F.col(order[0]).cast("string"), F.lit(12))
+    dealt = rows.withColumn("_head", head)
+    counts = dealt.groupBy(*scope, "_head").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*scope).orderBy("_head")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*scope, "_head").orderBy(*order)) + F.col("_before")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*scope, "_head"]]
+    met = dealt.alias("r").join(before.alias("b"), reduce(lambda x, y: x & y, same)).select("r.*", "_before")
+    return met.withColumn("rank", rank.cast("bigint")).withColumn("page", F.floor((F.col("rank") - 1) / size).cast("bigint")).drop("_head", "_before")
+
+
+def folder_overview(objects: DataFrame, syntheses: DataFrame, tree: DataFrame, folder_syntheses: DataFrame, key: str = "doc_id") -> DataFrame:
+    """path, part (document or folder), name, synthesis, doc_type, quality: what a folder's overview lists.
+
+    Documents are those with a synthesis (key, synthesis, doc_type, quality), child folders those with
+    one (path, synthesis). One row each: a folder of any size is as many rows.
+    """
+    rows = objects.select(key, "source_relpath").join(syntheses, key)
+    relpath = F.col("source_relpath")
+    docs = rows.select(paths.parent(relpath).alias("path"), F.lit("document").alias("part"), paths.basename(relpath).alias("name"), "synthesis", F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"), F.coalesce("quality", F.lit("default")).alias("quality"))
+    kids = tree.where("path <> ''").select("path", "parent_path").join(folder_syntheses, "path")
+    kids = kids.select(F.col("parent_path").alias("path"), F.lit("folder").alias("part"), F.col("path").alias("name"), "synthesis", F.lit("folder").alias("doc_type"), F.lit("default").alias("quality"))
+    return docs.unionByName(kids)
+
+
+def root_overview(tree: DataFrame, folder_syntheses: DataFrame) -> DataFrame:
+    """path, synthesis, kind, quality, folder_count: the top folders that have a synthesis (path, synthesis)."""
+    n = tree.agg(F.count(F.lit(1)).alias("folder_count"))
+    rows = tree.where("depth = 1").select("path").join(folder_syntheses, "path")
+    return rows.join(F.broadcast(n)).select("path", "synthesis", F.lit("folder").alias("kind"), F.lit("default").alias("quality"), "folder_count")
+
 
+def wiki_pages(members: DataFrame, kind: str = "collection", title: str = "OSII Wiki", per_page: int = 1000) -> DataFrame:
+    """scope_id, page, markdown: a wiki page of the members (scope_id, file_id, created) of each scope, in order.
 
-def root_overview(tree: DataFrame, folder_summaries: DataFrame) -> DataFrame:
-    """overview: a bullet for each top folder that has a summary (path, summary); one row."""
-    rows = tree.where("depth = 1").select("path").join(folder_summaries, "path")
-    return rows.agg(ordered_text(F.col("path"), F.concat(F.lit("- "), F.col("path"), F.lit(": "), F.col("summary")), "\n").alias("overview"))
+    Scopes of more than per_page members have several pages, of which only the first has the heading.
+    """
+    listed = paged(members.withColumn("_order", F.format_string("%020d", F.col("created").cast("bigint"))), ["scope_id"], ["_order", "file_id"], per_page)
+    n = members.groupBy("scope_id").agg(F.count(F.lit(1)).alias("_n"))
+    lines = listed.groupBy("scope_id", "page").agg(ordered_text(F.col("rank"), F.concat(F.lit("- `"), F.col("file_id"), F.lit("`")), "\n").alias("_lines")).join(n, "scope_id")
+    return lines.select("scope_id", "page", F.concat(F.when(F.col("page") == 0, wiki_head(F.lit(kind), F.col("_n"), title)).otherwise(""), F.col("_lines"), F.lit("\n")).alias("markdown"))
 
 
-def member_list(members: DataFrame) -> DataFrame:
-    """collection_id, name, page: a Markdown list of members in order of (created, file_id)."""
-    return members.groupBy("collection_id", "name").agg(
-        F.concat(F.lit("# "), F.first("name"), F.lit("\n\n"), ordered_text(F.struct("created", "file_id"), F.concat(F.lit("- "), F.col("file_id")), "\n")).alias("page")
-    )
+def wiki_head(kind: Column, n: Column, title: str) -> Column:
+    return F.concat(F.lit(f"# {title}\n\nThis local baseline describes a **"), kind, F.lit("** scope containing **"), n.cast("string"), F.lit("** objects.\n\n## Members\n\n"), F.when(n == 0, "_No members._\n").otherwise(""))
 
 
 def described_scopes(tree: DataFrame, collections: DataFrame) -> DataFrame:
     """scope_type, scope_id, label of the root, every folder and every collection."""
-    folders = tree.select(F.when(F.col("path") == "", "root").otherwise("folder").alias("scope_type"), F.col("path").alias("scope_id"), F.when(F.col("path") == "", "All documents").otherwise(F.element_at(F.split("path", "/"), -1)).alias("label"))
-    return folders.unionByName(collections.select(F.lit("collection").alias("scope_type"), F.col("collection_id").alias("scope_id"), F.coalesce("name", "collection_id").alias("label")))
+    root = tree.sparkSession.range(1).select(F.lit("root").alias("scope_type"), F.lit("root").alias("scope_id"), F.lit("root").alias("label"))
+    folders = tree.select(F.lit("folder").alias("scope_type"), F.col("path").alias("scope_id"), F.when(F.col("path") == "", "root-folder").otherwise(F.col("path")).alias("label"))
+    return root.unionByName(folders).unionByName(collections.select(F.lit("collection").alias("scope_type"), F.col("collection_id").alias("scope_id"), F.coalesce("name", "collection_id").alias("label")))
 
 
 def source_states(objects: DataFrame, states: DataFrame) -> DataFrame:

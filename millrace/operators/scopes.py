@@ -40,6 +40,26 @@ def in_scope(objects: DataFrame, scope: Scope, members: DataFrame | None = None)
     return objects.join(members.where(F.col("collection_id") == scope.id).select("file_id"), "file_id", "left_semi")
 
 
+def scope_members(objects: DataFrame, scope: Scope, members: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
+    """file_id and what its order in the scope is: of a collection when it was added and the id, else the path.
+
+    A folder's id is looked up in folders (folder_id, path), or taken for a path without that table. What
+    is unknown has no members. The order is left to whoever shows them: a scope may be the whole corpus.
+    """
+    if scope.kind == "collection":
+        if members is None:
+            raise ValueError("a collection scope needs the members table")
+        return members.where(F.col("collection_id") == scope.id).select("file_id", F.struct(F.format_string("%020d", F.col("created").cast("bigint")).alias("a"), F.col("file_id").alias("b")).alias("ord"))
+    if scope.kind == "folder" and folders is not None:
+        found = folders.where(F.col("folder_id") == scope.id).select("path").first()
+        objects = in_scope(objects, Scope("folder", found["path"])) if found else objects.where("false")
+    elif scope.kind == "object":
+        return objects.where(F.col("file_id") == scope.id).groupBy("file_id").agg(F.struct(F.min("source_relpath").alias("a"), F.first("file_id").alias("b")).alias("ord"))
+    else:
+        objects = in_scope(objects, scope, members)
+    return objects.groupBy("file_id").agg(F.min("source_relpath").alias("_p")).select("file_id", F.struct(F.col("_p").alias("a"), F.col("file_id").alias("b")).alias("ord"))
+
+
 def scope_texts(objects: DataFrame, scope: Scope, members: DataFrame | None = None) -> DataFrame:
     """n_members and total_chars of a scope: one row."""
     return in_scope(objects, scope, members).agg(F.count(F.lit(1)).alias("n_members"), F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)).alias("total_chars"))

@@ -12,13 +12,15 @@ def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn(column, normalized(F.col(column)))
 
 
-def nearest(vectors: DataFrame, query: list[float], top_k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The top_k rows by inner product with the query, best first; ties by key.
-
-    The query is a literal, so it is a scan with a partial top-k in each task.
-    """
+def scored_vectors(vectors: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
+    """The other columns and score: the inner product with the query, which is a literal of the scan."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("score", dot(F.col(column), q)).orderBy(F.desc(F.round("score", 9)), key).limit(top_k)
+    return vectors.withColumn("score", dot(F.col(column), q)).drop(column)
+
+
+def nearest(vectors: DataFrame, query: list[float], top_k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """The top_k rows by inner product with the query, best first; ties by key: a scan with a partial top-k in each task."""
+    return scored_vectors(vectors, query, column).orderBy(F.desc(F.round("score", 9)), key).limit(top_k)
 
 
 def bad_vectors(vectors: DataFrame, dims: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.paths import basename
 from millrace.functions.text import snippet
-from millrace.operators.lexical import bm25
+from millrace.operators.catalog import collections_of_files
+from millrace.operators.lexical import bm25, build_index, scored_postings
 from millrace.operators.scopes import Scope, in_scope
-from millrace.operators.vector import nearest
+from millrace.operators.vector import scored_vectors
+from millrace.session import materialize
 
 RRF_K = 60
 MODES = ("lexical", "semantic", "hybrid")
@@ -33,36 +38,73 @@ def best_per_file(hits: DataFrame, top_k: int) -> DataFrame:
     return best.select("file_id", "h.*").orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id").limit(top_k)
 
 
-def search(chunks: DataFrame, query: str, mode: str = "lexical", top_k: int = 10, scope: Scope | None = None, members: DataFrame | None = None, group_by: str | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, overfetch: int | None = None) -> DataFrame:
-    """The top_k hits with snippet and match_type, best first; ties by path and chunk.
+@dataclass(frozen=True)
+class Index:
+    """A written index of chunks: the chunks themselves, sorted by id, their postings and statistics, and vectors if there are any."""
+
+    spark: SparkSession
+    path: str
+
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/chunks")
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
+
+def build(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> Index:
+    """Write the index of chunks (and vectors: chunk_id, embedding) to a new folder; queries read it as often as they like.
+
+    Vectors carry the names of their chunks, so that a search needs no chunk but those it returns.
+    """
+    spark = chunks.sparkSession
+    chunks.write.parquet(f"{path}/chunks")
+    own = spark.read.parquet(f"{path}/chunks")
+    build_index(own, path)
+    if vectors is not None:
+        vectors.select("chunk_id", "embedding").join(own.drop("text"), "chunk_id").write.parquet(f"{path}/vectors")
+    return Index(spark, path)
+
+
+def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k: int = 10, scope: Scope | None = None, members: DataFrame | None = None, group_by: str | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, overfetch: int | None = None, include_zero: bool = False) -> DataFrame:
+    """The top_k hits with snippet, filename, match_type and the collections of their files, best first; ties by path and chunk.
 
-    chunks holds file_id, source_relpath, chunk_id, chunk_index, char_start, char_end and text; vectors
-    holds chunk_id and embedding. A scope is applied before the cut, so narrow scopes lose nothing;
-    overfetch=5 cuts to 5 * top_k of the whole corpus first. Scores are of the whole corpus either way.
-    Without vectors a semantic or hybrid search is a lexical one. group_by='file' keeps the best chunk
-    of each file among the top_k.
+    source is an index, or chunks (file_id, source_relpath, chunk_id, chunk_index, char_start, char_end, text) that
+    are scanned; vectors of chunks (chunk_id, embedding) come from the index or are given. A scope is
+    applied before the cut, so narrow scopes lose nothing; overfetch=5 cuts to 5 * top_k of the whole corpus
+    first. Scores are of the whole corpus either way. The texts of hits are fetched after the cut. Without
+    vectors a semantic or hybrid search is a lexical one. group_by='file' keeps the best chunk of each
+    file among the top_k. include_zero lets chunks without a term of the query fill up the hits (scans only).
     """
     if mode not in MODES:
         raise ValueError(f"unknown search mode {mode!r}")
-    if vectors is None or query_vector is None:
+    indexed = isinstance(source, Index)
+    if query_vector is None or (vectors is None and not indexed):
         mode = "lexical"
     scope = scope or Scope()
+    order = (F.desc(F.round("score", 9)), "source_relpath", "chunk_id")
+    chunks = source.chunks() if indexed else source
 
     def cut(scored: DataFrame) -> DataFrame:
         if overfetch:
-            scored = scored.orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id").limit(overfetch * top_k)
-        return in_scope(scored, scope, members).orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id").limit(top_k)
+            scored = scored.orderBy(*order).limit(overfetch * top_k)
+        return in_scope(scored, scope, members).orderBy(*order).limit(top_k).select("chunk_id", "file_id", "source_relpath", "score")
 
     lists = []
     if mode in ("lexical", "hybrid"):
-        lists.append(cut(bm25(chunks, query, top_k=None)))
+        lists.append(cut(scored_postings(source.spark, source.path, query) if indexed else bm25(chunks, query, top_k=None, include_zero=include_zero)))
     if mode in ("semantic", "hybrid"):
-        rows = in_scope(chunks, scope, members) if not overfetch else chunks
-        lists.insert(0, cut(nearest(rows.join(vectors, "chunk_id"), query_vector, top_k * (overfetch or 1), key="chunk_id").drop("embedding")))
+        rows = source.vectors() if vectors is None else vectors.join(chunks.drop("text"), "chunk_id")
+        lists.insert(0, cut(scored_vectors(rows, query_vector)))
     if mode == "hybrid":
-        fused = fuse([ranked(x, "source_relpath", "chunk_id") for x in lists])
-        hits = fused.join(chunks, ["file_id", "chunk_id"]).orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id").limit(top_k)
+        # both lists are at most top_k rows: written, so that neither is searched again for the texts
+        few = fuse([ranked(x, "source_relpath", "chunk_id") for x in lists], keys=("file_id", "chunk_id", "source_relpath")).orderBy(*order).limit(top_k)
     else:
-        hits = lists[0]
-    hits = hits.withColumn("snippet", snippet(F.col("text"))).withColumn("match_type", F.lit(mode))
-    return best_per_file(hits, top_k) if group_by == "file" else hits
+        few = lists[0]
+    few = materialize(few, "hits")
+    # at most top_k rows are sent to the scan of chunks
+    hits = chunks.join(F.broadcast(few.select("chunk_id", "score")), "chunk_id")
+    hits = hits.withColumn("snippet", snippet(F.col("text"))).withColumn("filename", basename(F.col("source_relpath"))).withColumn("match_type", F.lit(mode))
+    if members is not None and "name" in members.columns:
+        hits = hits.join(collections_of_files(members.join(F.broadcast(few.select("file_id").distinct()), "file_id")), "file_id", "left")
+    return best_per_file(hits, top_k) if group_by == "file" else hits.orderBy(*order)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
-from millrace.functions.text import ordered_text, strip_rtf
+from millrace.functions.text import ordered_text, strip, strip_rtf
 
 
 def file_id(content: Column) -> Column:
@@ -54,10 +54,14 @@ def files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = Tru
 
 
 def _office_text(data: bytes, members: str) -> str:
+    """The texts of an office file's members; one that isn't well-formed is skipped."""
+    parts = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        parts = []
         for name in sorted(n for n in z.namelist() if re.match(members, n) and n.endswith(".xml")):
-            parts.append(" ".join(t.strip() for t in ElementTree.fromstring(z.read(name)).itertext() if t.strip()))
+            try:
+                parts.append(" ".join(t.strip() for t in ElementTree.fromstring(z.read(name)).itertext() if t.strip()))
+            except ElementTree.ParseError:
+                continue
     return "\n\n".join(p for p in parts if p)
 
 
@@ -99,6 +103,12 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return rows.where("r._bad IS NULL").select("r.*").drop("_bad"), rows.where("r._bad IS NOT NULL").select(F.left("value", F.lit(200)).alias("preview"))
 
 
+def line_counts(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """good, bad: how many lines of json_lines() are records; without any good one it is an error to go on."""
+    n = good.agg(F.count(F.lit(1)).alias("good")).join(bad.agg(F.count(F.lit(1)).alias("bad")))
+    return n.select(F.when(F.col("good") == 0, F.raise_error(F.lit("no valid records"))).otherwise(F.col("good")).alias("good"), "bad")
+
+
 def html_text(html: Column) -> Column:
     """Readable text of a page: without scripts, styles, comments and tags; common entities decoded."""
     out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
@@ -106,4 +116,4 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return strip(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), r"\s*\n\s*", "\n"))

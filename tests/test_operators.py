@@ -83,6 +83,10 @@ def test_reconcile(spark):
     s = spark.createDataFrame([("same", "1"), ("edit", "9"), ("fresh", "3"), ("added", "5")], ["source_relpath", "file_id"])
     got = {(r["source_relpath"], r["state"], r["moved_to"]) for r in catalog.reconcile(c, s).collect()}
     assert got == {("same", "unchanged", None), ("edit", "changed", None), ("old", "moved", "fresh"), ("lost", "missing", None), ("added", "new", None)}
+    # content that is at a path the catalog knows has moved there, and changed paths say what they hold now
+    s = spark.createDataFrame([("same", "1"), ("edit", "3"), ("copy", "3")], ["source_relpath", "file_id"])
+    got = {(r["source_relpath"], r["state"], r["moved_to"], r["new_file_id"]) for r in catalog.reconcile(c, s).collect()}
+    assert got == {("same", "unchanged", None, None), ("edit", "changed", None, "3"), ("old", "moved", "edit", None), ("lost", "missing", None, None)}
 
 
 def test_budget_stops_at_the_first_too_large(spark):
@@ -110,6 +114,72 @@ def test_components(spark):
     assert got == {x: find(x) for x in up}
 
 
+@pytest.mark.parametrize("raw, target, most, parts", [
+    ("short", 5, 9, ["short"]), ("  ", 5, 9, []), ("aaa\n\nbbb\n\nccc", 8, 10, ["aaa\n\nbbb", "ccc"]),
+    ("one two three four", 8, 10, ["one two", "three", "four"]),  # three four is longer than the target
+    ("x" * 25, 8, 10, ["x" * 10, "x" * 10, "x" * 5]), ("abcdefghij klm", 4, 6, ["abcdef", "ghij", "klm"]),
+    ("first. second. third", 9, 12, ["first", "second", "third"]), ("aa\nbb\n\n" + "y" * 13, 5, 6, ["aa\nbb", "y" * 6, "y" * 6, "y"]),
+])
+def test_split_golden(raw, target, most, parts):
+    assert enrich.split_to_fit(raw, target, most) == parts
+
+
+def test_fold_keeps_all(spark):
+    rows = [(s, i, f"{s}{i}") for s, n in (("a", 1), ("b", 8), ("c", 70)) for i in range(n)]
+    got = {r["scope_id"]: r["text"] for r in enrich.folded(spark.createDataFrame(rows, "scope_id string, ord int, text string"), 8).collect()}
+    assert got == {s: "\n\n".join(t for x, _, t in rows if x == s) for s in "abc"}
+
+
+def test_joined_first_n(spark):
+    rows = [("a", 5000 * i, t) for i, t in enumerate(["", " x  y ", "one\r\ntwo", "three " * 9, "four"])]
+    parts = spark.createDataFrame(rows, "scope_id string, ord bigint, text string")
+    for n in (3, 4, 12, 30, 500):
+        whole = " x  y \n\none\r\ntwo\n\n" + "three " * 9 + "\n\nfour"
+        plain = whole.replace("\r\n", "\n").replace("  ", " ").replace(" \n", "\n").strip()[:n].strip()
+        assert enrich.joined_first_n(parts, n).first()["text"] == plain
+
+
+def test_answers(spark):
+    hits = spark.createDataFrame([(1, " told ", "a/b.txt", "f"), (2, "  ", "c", "g"), (3, "more", "", "h")], "rank int, snippet string, source_relpath string, file_id string")
+    said = enrich.extractive_answer(hits).first()["answer"]
+    assert "\n\n- told [b.txt]\n- more [h]\n\n" in said
+    assert enrich.extractive_answer(hits.where("rank = 2")).first()["answer"] == enrich.NO_ANSWER
+
+
+@pytest.mark.parametrize("width, height, asked, mode", [(160, 40, "auto", 7), (159, 40, "auto", 7), (120, 80, "auto", 8), (200, 80, "auto", 7), (200, 81, "auto", 6), (10, 10, "11", 11)])
+def test_layouts(spark, width, height, asked, mode):
+    from millrace.functions import geometry
+
+    assert one(spark, geometry.segmentation_mode(F.col("w"), F.col("h"), F.col("a")), w=width, h=height, a=asked) == mode
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title></head><body><script>x()</script><p>One &amp; two</p><!-- no --><div>a <b>bold</b>&nbsp;word</div></body></html>"
+    assert one(spark, corpus.html_text(F.col("h")), h=page) == "One & two\na bold word"
+
+
+def test_hits_are_decorated_and_filled(spark, tmp_path):
+    rows = [(f"c{i}", f"f{i // 2}", f"d/x{i // 2}.txt", i % 2 + 1, 0, 9, "alpha beta" if i < 3 else "gamma") for i in range(8)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_id string, source_relpath string, chunk_index int, char_start int, char_end int, text string")
+    members = spark.createDataFrame([("k", "Zed", "f0", 1), ("l", "amy", "f0", 2)], "collection_id string, name string, file_id string, created int")
+    hits = search.search(chunks, "alpha", top_k=5, include_zero=True, members=members).collect()
+    assert [r["chunk_id"] for r in hits[:3]] == ["c0", "c1", "c2"] and [r["score"] for r in hits[3:]] == [0.0, 0.0]
+    assert {(r["file_id"], r["filename"], r["collections"]) for r in hits[:3]} == {("f0", "x0.txt", "amy,Zed"), ("f1", "x1.txt", None)}
+    index = search.build(chunks, str(tmp_path / "index"))
+    again = search.search(index, "alpha", top_k=5, scope=scopes.Scope("collection", "k"), members=members).collect()
+    assert [r["chunk_id"] for r in again] == ["c0", "c1"] and again[0]["snippet"] == "alpha beta" and again[0]["score"] == pytest.approx(hits[0]["score"])
+
+
+def test_missing_parts_are_told(spark):
+    from millrace.operators import artifacts
+
+    docs = spark.createDataFrame([(1, "Some text here", "a.txt")], "doc_id bigint, text string, filename string")
+    assert artifacts.synthesize(docs, "first_lines").first()["text"] == "## a.txt\n\nSome text here"
+    for run in (lambda: artifacts.synthesize(docs, "none"), lambda: artifacts.run_enricher(docs, "none", "root", "root")):
+        with pytest.raises(ValueError):
+            run()
+
+
 def test_split_to_fit():
     parts = enrich.split_to_fit("para one. more\n\npara two\nline " + "x" * 50, 20, 30)
     assert all(len(p) <= 30 for p in parts) and enrich.split_to_fit("", 5, 5) == []
@@ -124,11 +194,13 @@ def test_files_and_lines(spark, tmp_path):
     (tmp_path / "d.docx").write_bytes(b"broken")
     with zipfile.ZipFile(tmp_path / "e.pptx", "w") as z:
         z.writestr("ppt/slides/slide1.xml", "<a><t>One</t><t> two </t></a>")
+        z.writestr("ppt/slides/slide2.xml", "<a><t>cut")
     got = {os.path.basename(r["path"]): (r["status"], (r["text"] or "").strip()) for r in corpus.extracted(corpus.files(spark, str(tmp_path))).collect()}
     assert got == {"a.txt": ("done", "plain text"), "b.rtf": ("done", "hello"), "c.bin": ("unsupported", ""), "d.docx": ("error", ""), "e.pptx": ("done", "One two")}
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     good, bad = corpus.json_lines(spark, str(tmp_path / "l.jsonl"), "a int")
     assert sorted(r["a"] for r in good.collect()) == [1, 2] and bad.count() == 1
+    assert tuple(corpus.line_counts(good, bad).first()) == (2, 1)
 
 
 def test_publication_is_incremental(spark, tmp_path):
