@@ -71,11 +71,10 @@ def build_index(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
 
     Postings carry the other columns of chunks but text: a scope is a filter or a semi-join of them.
     """
-    rest = [c for c in chunks.columns if c not in (key, "text")]
-    tokens = search_tokens(F.col("text"))
-    rows = chunks.select(key, *rest, F.size(tokens).cast("double").alias("dl"), F.explode(tokens).alias("term"))
-    few = [F.first(c).alias(c) for c in rest]
-    rows.groupBy("term", key).agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("double").alias("tf"), *few).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    counts = materialize(postings(chunks, key), "term-counts")
+    lengths_ = counts.groupBy(key).agg(F.sum("tf").cast("double").alias("dl"))
+    about = chunks.drop("text").join(lengths_, key)
+    counts.select("term", key, F.col("tf").cast("double").alias("tf")).join(about, key).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
     corpus_stats(chunks, key).write.parquet(f"{path}/stats")
 
 
