@@ -6,8 +6,8 @@ overlap: spelled-out emails, account numbers, identity numbers, phone numbers wi
 code, long random tokens. Each candidate has features of its format and of the text around it. No
 table marks personal data, so the trees learn from two sets of labelled candidates: those of the
 corpus whose format proves or refutes them (a check digit, a key word right before, an impossible
-number), and examples that `made_examples` writes from each kind's rules, so that every kind has
-both labels. The features leave out what proves a candidate. A candidate is added if its kind's
+number), and examples that `made_examples` writes, with near misses of every kind beside what is meant:
+UUIDs, digests, part numbers, code paths, prose with "at" and "dot". A candidate is added if its kind's
 calibrated probability reaches the threshold at which `precision` of the held-out candidates were
 right, and it doesn't overlap a span that is already chosen.
 """
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm.boosting import Trees, calibrate, threshold
 from millrace.llm.wordbatch import slices
+from millrace.session import materialize
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: kinds that only the model adds, in the order in which spans at one place are listed
 MORE_KINDS = ("obfuscated_email", "iban", "national_id", "local_phone", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
-#: most documents whose candidates the trees are fitted on
+#: about how many documents' candidates, and how many different ones of a kind, the trees are fitted on
 SAMPLE_DOCS = 20_000
+SAMPLE_CANDIDATES = 5_000
 PRECISION = 0.97
 CONTEXT = 40
 
@@ -41,14 +43,27 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _MORE = {
-    "obfuscated_email": re.compile(r"\b[A-Za-z0-9._+-]{2,40} ?[\[({<]? ?(?:at|AT|@) ?[\])}>]? ?[A-Za-z0-9-]{2,40} ?(?:[\[({<] ?)?(?:dot|DOT|\.) ?(?:[\])}>] ?)?[A-Za-z]{2,6}\b"),
+    # bracketed, with blanks around the @, or spelled out
+    "obfuscated_email": re.compile(
+        r"\b[A-Za-z0-9._+-]{2,40}(?: ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?| @ | (?:at|AT) )[A-Za-z0-9-]{2,40}(?: ?[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?| (?:dot|DOT) |\.)[A-Za-z]{2,6}\b"
+    ),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "national_id": re.compile(r"(?<![0-9A-Za-z.])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "local_phone": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}(?![A-Za-z0-9_/+-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}(?![A-Za-z0-9_/+-])"),
 }
-_SPELLED = re.compile(r"[\[({<] ?(?:at|AT)\b")
-_NAMES = re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|ip|address|host|card|visa|credit|phone|tel|call|fax|mobile|iban|account|ssn|social|security|token|key|secret|password|passwd|pwd|api|bearer|id)\b")
+_AT = re.compile(r"[\[({<] ?(?:at|AT|@)| @ | (?:at|AT) ")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z")
+#: key words around a candidate, by what they speak for; endings that domains mostly have
+_WORDS = {
+    "mail": re.compile(r"(?i)\b(?:e-?mails?|mail|contact|write|reach|questions?)\b"),
+    "account": re.compile(r"(?i)\b(?:iban|account|konto|transfer|pay|bank)\b"),
+    "person": re.compile(r"(?i)\b(?:ssn|social|security|tax|citizen|personal|patient|employee)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell)\b"),
+    "secret": re.compile(r"(?i)(?:token|key|secret|passw(?:or)?d|passwd|pwd|api|bearer|credentials?|auth)"),
+    "other": re.compile(r"(?i)\b(?:id|uuid|guid|commit|sha\d*|md5|hash|digest|checksum|revision|part|model|lot|item|version|file|path|order|invoice|see|ref)\b"),
+}
+_ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu")
 
 
 def luhn(digits: str) -> bool:
@@ -103,21 +118,30 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that the generators propose; they may overlap each other and base spans."""
     out = []
     for kind, form in _MORE.items():
-        if kind == "obfuscated_email" and not ("@" in text or _SPELLED.search(text)):
+        if kind == "obfuscated_email" and not _AT.search(text):
             continue
         for m in form.finditer(text):
             s = m.group()
             if kind == "secret" and not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
                 continue
-            if kind == "obfuscated_email" and not re.search(r"[\[({<@]", s):
-                continue
             out.append((m.start(), m.end(), kind))
     return out
 
 
 def _iban_valid(s: str) -> bool:
     s = s.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 15 <= len(s) <= 34 and s.isalnum() and s.isascii() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _format_valid(s: str, kind: str) -> bool:
+    """Whether the digits of a candidate can be what its kind says."""
+    if kind == "iban":
+        return _iban_valid(s)
+    if kind == "national_id":
+        area, group, serial = s.split("-")
+        return not (area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000")
+    digits = _digits(s)
+    return kind != "local_phone" or digits[0] > "1" and len(set(digits)) > 2
 
 
 def evidence(text: str, start: int, end: int, kind: str) -> int:
@@ -127,17 +151,18 @@ def evidence(text: str, start: int, end: int, kind: str) -> int:
     if kind == "iban":
         return int(_iban_valid(s))
     if kind == "national_id":
-        area, group, serial = s.split("-")
-        if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000":
+        if not _format_valid(s, kind):
             return 0
         return 1 if re.search(r"(?i)\b(?:ssn|social|security|id)\b", before) else -1
     if kind == "local_phone":
         return 1 if re.search(r"(?i)\b(?:phone|tel|call|fax|mobile)\b", before) else 0 if len(set(_digits(s))) < 3 else -1
     if kind == "secret":
+        if _UUID.match(s):
+            return 0
         if re.search(r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|bearer)\W{1,6}$", before):
             return 1
-        return 0 if "/" in s or s.count("-") + s.count("_") > len(s) // 4 or _entropy(s) < 3.0 else -1
-    return 1 if re.search(r"[\[({<] ?(?:at|AT)", s) or "@" in s else 0
+        return 0 if s.count("/") > 1 or s.count("-") + s.count("_") > len(s) // 4 or _entropy(s) < 3.0 else -1
+    return 1 if re.search(r"[\[({<] ?(?:at|AT|@)", s) else -1
 
 
 def _entropy(s: str) -> float:
@@ -146,16 +171,20 @@ def _entropy(s: str) -> float:
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    """Format of the candidate and what stands around it; not what evidence() decides by."""
+    """Format of the candidate and what stands around it."""
     s = text[start:end]
-    around = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    around = before + " " + after
     n = max(len(s), 1)
-    near = _NAMES.findall(around)
-    switches = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
+    pairs = list(zip(s, s[1:], strict=False))
+    hexes = sum(c in "0123456789abcdefABCDEF" for c in s) / n
     return [
-        float(KINDS.index(kind)), float(n), sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s) / n,
-        len(set(s)) / n, _entropy(s), switches / n, float(len(near)), sum(c.isdigit() for c in around) / max(len(around), 1),
-        float(text[end : end + 1].isspace() or end == len(text)), float(text[max(0, start - 1) : start] in ('"', "'", "`", "=", ":")), float("=" in around or ":" in around),
+        float(KINDS.index(kind)), float(n), sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s) / n, len(set(s)) / n, _entropy(s),
+        sum(a.isdigit() != b.isdigit() for a, b in pairs) / n, sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in pairs) / n, hexes, float(bool(_UUID.match(s))), float(s.count("/")), float(s.count("-") + s.count("_")),
+        float(any(c in s for c in "[({<")), float(s.rsplit(".", 1)[-1].rsplit(" ", 1)[-1].strip("])}>").lower() in _ENDINGS), float(bool(re.search(r"(?i) dot ", s))), float("." in s[: max(len(s) // 2, 1)]),
+        *(float(bool(form.search(before[-24:]))) for form in _WORDS.values()), *(float(bool(form.search(around))) for form in _WORDS.values()),
+        sum(c.isdigit() for c in around) / max(len(around), 1), float(after[:1].isspace() or not after), float(before[-1:] in ('"', "'", "`", "=", ":")), float("=" in before[-4:] or ":" in before[-4:]), float(_format_valid(s, kind)),
+        len(set(_digits(s))) / 10,
     ]
 
 
@@ -165,34 +194,74 @@ def _iban_of(country: str, body: str) -> str:
     return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
 
 
-def made_examples(n: int = 400, seed: int = 5) -> list[tuple[str, int]]:
-    """Texts with one candidate each, and whether it is personal data: n of each kind, half and half."""
+def made_examples(n: int = 900, seed: int = 5) -> list[tuple[str, int]]:
+    """Texts with a candidate each, and whether it is personal data: n of each kind, half of them near misses."""
     rng = np.random.default_rng(seed)
-    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    low, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    every = low + low.upper() + digits
     pick = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
-    word = lambda: pick(letters, int(rng.integers(3, 9)))
+    one = lambda *choices: choices[int(rng.integers(0, len(choices)))]
+    word = lambda: pick(low, int(rng.integers(3, 9)))
     prose = lambda k: " ".join(word() for _ in range(k))
-    number = lambda: f"{rng.integers(200, 999)}{rng.choice(list(' .-'))}{rng.integers(200, 999)}{rng.choice(list(' .-'))}{rng.integers(1000, 9999)}"
-    out = []
-    for i in range(n):
-        yes = i % 2 == 0
-        before, after = prose(5), prose(5)
-        at, dot = rng.choice(["[at]", "(at)", " [at] ", " (at) ", "{at}"]), rng.choice(["[dot]", "(dot)", " [dot] ", "."])
-        mail = f"{word()}.{word()}{at}{word()}{dot}com" if yes else f"{word()} [{word()} at {word()}. {word()}"
-        iban = _iban_of(pick("DEFRGBNL", 2).upper(), pick(digits, int(rng.integers(14, 22))))
-        iban = f"{rng.choice(['iban', 'account', 'to'])} {iban}" if yes else f"{rng.choice(['part', 'model', 'lot', 'see'])} {pick(letters, 2).upper()}{pick(digits, 2)} {pick(letters, 4).upper()} {pick(letters + digits, 4).upper()}"
-        person = f"{rng.choice(['ssn', 'social security', 'id', ''])} {rng.integers(1, 665):03d}-{rng.integers(1, 99):02d}-{rng.integers(1, 9999):04d}" if yes else f"{rng.choice(['part', 'item', 'no', ''])} {rng.choice([0, 666, 900 + int(rng.integers(0, 99))]):03d}-{rng.integers(0, 99):02d}-{rng.integers(1, 9999):04d} {pick(digits, 3)} {pick(digits, 5)}"
-        phone = f"{rng.choice(['phone', 'call', 'tel', 'mobile', ''])} {number()}" if yes else f"{pick(digits, 4)} {pick(digits, 3)} | {rng.choice([111, 222, 100])} {rng.choice([111, 222, 100])} {rng.choice([1111, 1000])} | {pick(digits, 4)} {pick(digits, 6)}"
-        key = pick("0123456789abcdef", int(rng.choice([32, 40, 64]))) if i % 4 else pick(letters + letters.upper() + digits, int(rng.integers(24, 60)))
-        secret = f'{rng.choice(["token", "api_key", "secret", "password"])} {rng.choice(["=", ":"])} "{key}"' if yes else rng.choice([f"{word()}/{word()}/{word()}/{word()}-{pick(digits, 2)}", f"{word()}-{word()}-{word()}-{word()}-{pick(digits, 1)}", f"{word()}_{word()}_{word()}_{word()}_{pick(digits, 2)}", f"{word()}{word()}{word()}{word()}{pick(digits, 1)}"])
-        out += [(f"{before} {x} {after}", int(yes)) for x in (mail, iban, person, phone, secret)]
+    number = lambda: f"{rng.integers(200, 999)}{one(' ', '.', '-')}{rng.integers(200, 999)}{one(' ', '.', '-')}{rng.integers(1000, 9999)}"
+    uuid = lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))
+    mixed = lambda k: pick(digits, 2) + pick(every, k - 4) + pick(low.upper(), 2)
+
+    def mail(yes: bool, i: int) -> str:
+        name = one(f"{word()}.{word()}", word(), f"{word()}{pick(digits, 2)}")
+        if yes:
+            if i % 3:
+                spelled = one("[at]", "(at)", " [at] ", " (at) ", "{at}", " [AT] ", " <at> ")
+                return f"{one('', 'mail', 'contact', 'by', 'from')} {name}{spelled}{word()}{one('[dot]', ' (dot) ', ' [dot] ', '.', ' dot ')}{one(*_ENDINGS)}"
+            return f"{one('mail', 'contact', 'write to', 'write', 'e-mail', 'reach me:')} {name}{one(' at ', ' @ ')}{word()}{one('.', ' dot ')}{one(*_ENDINGS)}"
+        return one(f"{word()} at {word()} dot {word()[:6]}", f"{one('look', 'arrived', 'met', 'works')} at {word()}.{word()[:6].title()}", f"error at {word()}.{one('run', 'call', 'line', 'main')}", f"{word()} at {word()}.{one('js', 'py', 'txt', 'Then', 'It')}", f"{word()} (at {word()}.{word()[:5]}")
+
+    def account(yes: bool, i: int) -> str:
+        own = _iban_of(pick("DEFRGBNL", 2), pick(digits, int(rng.integers(14, 22))))
+        if yes:
+            return f"{one('iban', 'account', 'to', 'pay', '')} {one(own, own.replace(' ', ''))}"
+        return one(f"{one('part', 'model', 'lot', 'see')} {pick(low.upper(), 2)}{pick(digits, 2)} {pick(low.upper(), 4)} {pick(low.upper() + digits, 4)}", f"{one('order', 'ref', 'iban', '')} {own[:2]}{(int(own[2:4]) + 1) % 100:02d}{own[4:]}")
+
+    def person(yes: bool, i: int) -> str:
+        if yes:
+            return f"{one('ssn', 'social security', 'tax', 'patient', 'ssn is', 'security number:')} {rng.integers(1, 665):03d}-{rng.integers(1, 99):02d}-{rng.integers(1, 9999):04d}"
+        return one(f"{one('part', 'item', 'ssn', '')} {one(0, 666, 900 + int(rng.integers(0, 99))):03d}-{rng.integers(0, 99):02d}-{rng.integers(1, 9999):04d}", f"{one('part', 'item', 'model', 'order', 'lot', 'see')} {rng.integers(1, 665):03d}-{rng.integers(1, 99):02d}-{rng.integers(1, 9999):04d}")
+
+    def phone(yes: bool, i: int) -> str:
+        if yes:
+            return f"{one('phone', 'call', 'tel', 'mobile', 'fax:', 'telephone')} {one(number(), '(' + number()[:3] + ') ' + number()[4:])}"
+        return one(f"{pick(digits, 4)} {pick(digits, 3)} | {one(111, 222, 100)} {one(111, 222, 100)} {one(1111, 1000)} | {pick(digits, 4)}", f"{one('version', 'item', 'order', 'part', 'see', 'ref')} {number()}", f"{pick(digits, 3)} {number()} {pick(digits, 2)} {pick(digits, 4)}")
+
+    def secret(yes: bool, i: int) -> str:
+        if yes:
+            name = one("token", "api_key", "secret", "password", "aws_secret_access_key", "access key", "auth token", "Authorization: Bearer", "pwd", "client_secret")
+            key = one(pick(hexes, int(one(32, 40, 64))), mixed(int(rng.integers(18, 60))), f"{mixed(12)}/{mixed(8)}/{mixed(16)}", f"{one('sk', 'pk', 'gh', 'xox')}_{one('live', 'test', 'p')}_{mixed(24)}", pick(low.upper(), 4) + pick(low.upper() + digits, 14) + pick(digits, 2), (word() + pick(digits, 1)) * 3 + pick(low.upper(), 2) + pick(digits, 1), pick(low + low.upper(), 13) + "/" + pick(digits, 1) + pick(low.upper(), 6) + "/" + pick(low + low.upper(), 18), pick(low.upper(), int(rng.integers(9, 14))) + pick(digits, 1) + pick(low.upper(), 7))
+            return f"{name}{one(' = ', ': ', '=', ' ', ' is ')}{one(key, chr(34) + key + chr(34))}"
+        return one(
+            f"{one('id', 'the id is', 'uuid', 'request', 'token', 'see', 'key')} {uuid()}", f"{one('commit', 'sha256', 'md5', 'checksum', 'hash', 'digest:', 'revision')} {pick(hexes, int(one(32, 40, 64)))}", f"{one('part', 'model', 'item', 'order')} {pick(low.upper(), 3)}-{pick(digits, 6)}-{pick(low.upper() + digits, 6)}-{pick(digits, 4)}",
+            f"{one('file', 'path', 'see', '')} {word()}/{word()}/{word()}/{word()}-{pick(digits, 2)}", f"{word()}-{word()}-{word()}-{word()}-{pick(digits, 1)}", f"{word()}_{word()}_{word()}_{word()}_{pick(digits, 2)}", f"{one('key', '')} {word()}{word()}{word()}{word()}{pick(digits, 1)}", f"{pick(digits, 8)}T{pick(digits, 6)}Z{word()}",
+        )
+
+    some = lambda: prose(int(rng.integers(0, 6)))
+    return [(f"{some()} {make(i % 2 == 0, i)} {some()}".strip(), int(i % 2 == 0)) for i in range(n) for make in (mail, account, person, phone, secret)]
+
+
+def _made_rows(n: int = 900, seed: int = 5) -> list[tuple[str, list[float], int]]:
+    """Kind, features and label of each example; a text without a candidate of any kind has none."""
+    return [(c[2], features(text, *c), label) for text, label in made_examples(n, seed) for c in candidates(text)]
+
+
+def held_out_scores(selector: Selector, rows: list[tuple[str, list[float], int]]) -> dict[str, tuple[float, float, int]]:
+    """For each kind: precision and recall of what the selector would add, and the number of rows."""
+    p = selector._probability(selector.trees.score(np.array([r[1] for r in rows])))
+    out = {}
+    for kind in MORE_KINDS:
+        own = np.array([r[0] == kind for r in rows])
+        took, yes = p[own] >= selector.cut[kind], np.array([r[2] for r in rows])[own] == 1
+        out[kind] = (float(yes[took].mean()) if took.any() else 1.0, float(took[yes].mean()), int(own.sum()))
     return out
 
 
-def _made_rows() -> list[tuple[str, list[float], int]]:
-    return [(c[2], features(text, *c), label) for text, label in made_examples() for c in candidates(text)]
-
-
 class Selector:
     """The trees, their calibration and one threshold for each kind."""
 
@@ -216,7 +285,10 @@ class Selector:
         for kind in MORE_KINDS:
             own = kinds[held] == kind
             if own.sum() >= 20:
-                self.cut[kind] = max(0.5, threshold(p[own], y[held][own], self.precision))
+                cut = threshold(p[own], y[held][own], self.precision)
+                # half way to what is left out, so that it doesn't hang on the last one taken
+                below = max((x for x in p[own] if x < cut), default=0.0)
+                self.cut[kind] = max(0.5, (cut + below) / 2) if cut <= 1 else cut
         return self
 
     def _probability(self, score: np.ndarray) -> np.ndarray:
@@ -236,29 +308,34 @@ class Selector:
         return sorted(kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def fit_selector(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Selector:
-    """A selector fitted on the proven candidates of at most about sample_docs documents.
+def fit_selector(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, sample_candidates: int = SAMPLE_CANDIDATES) -> Selector:
+    """A selector fitted on the proven candidates of about sample_docs documents, about sample_candidates different ones a kind.
 
-    The sample is by a hash of the text, so it is the same on every run; it bounds what reaches the
-    driver, which is one small row per candidate. Equal candidates count once.
+    Both samples are by a hash (of the text, of the candidate), so they are the same on every run and take
+    from all places of a text and all kinds alike; they bound what reaches the driver, which is one small
+    row per candidate. Equal candidates count once.
     """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
     sample = docs.where(F.col("text").isNotNull()).where(F.shiftrightunsigned(F.xxhash64("text"), 11) < int(share * (1 << 53))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                for c in candidates(text)[:50]:
+            for text in part.column("text").to_pylist():
+                for c in candidates(text):
                     label = evidence(text, *c)
                     if label >= 0:
                         rows.append((c[2], hashlib.sha256(text[c[0] : c[1]].encode()).hexdigest()[:16], features(text, *c), label))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.int32())], ["kind", "mark", "features", "label"])
 
     found = sample.mapInArrow(run, "kind string, mark string, features array<double>, label int")
-    found = found.groupBy("kind", "mark").agg(F.min(F.struct("label", "features")).alias("r")).orderBy("mark", "kind").limit(20 * sample_docs)
-    rows = [(r["kind"], list(r["r"]["features"]), r["r"]["label"]) for r in found.collect()]
+    found = materialize(found.groupBy("kind", "mark").agg(F.min(F.struct("label", "features")).alias("r")), "candidates")
+    kinds = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = F.lit(False)
+    for kind, k in kinds.items():
+        few = few | ((F.col("kind") == kind) & (F.shiftrightunsigned(F.xxhash64("mark"), 11) < int(min(1.0, sample_candidates / k) * (1 << 53))))
+    rows = [(r["kind"], list(r["r"]["features"]), r["r"]["label"]) for r in found.where(few).orderBy("mark", "kind").collect()]
     return Selector(precision).fit(rows + _made_rows())
 
 
@@ -281,7 +358,8 @@ def personal_data(docs: DataFrame, selector: Selector | None = None, redacted: b
 
     A null text counts as empty and has no spans; its redacted text is null. spans lists kind:start:end
     by start, in code points, end exclusive. Without a selector one is fitted to the documents.
-    keep names columns of docs to return as they are.
+    keep names columns of docs to return as they are; others are not read. Rows without a doc_id or with
+    one that others have are rows like any other, and an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(selector or fit_selector(docs))
 
