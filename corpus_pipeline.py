@@ -21,9 +21,12 @@ from millrace.llm.rules import quality_rules
 from millrace.session import row_key, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: rows that tasks exchange with Python at a time: whole texts are large rows, and a batch is held on both sides
+BATCH_ROWS = "500"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(row_key(*COLUMNS).alias("_row"), *COLUMNS)
 
 
@@ -33,13 +36,20 @@ def _by_key(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules or their host's verdict reject."""
+    """Drop the documents that the quality rules or their host's verdict reject.
+
+    Null and empty texts have no words and go; rows without a doc_id, equal rows and rows that share a
+    doc_id are each judged by what they hold. An empty table gives an empty one, as in all stages.
+    """
     kept = quality_rules(_by_key(docs)).where("kept").select(F.col("doc_id").alias("_row")).distinct()
     return _keyed(docs).join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies (five words, 0.8): that of the least doc_id, if any has one."""
+    """Keep one document of each class of near copies (five words, 0.8): that of the least doc_id, if any has one.
+
+    Texts without words are like nothing and all stay; different texts that share a doc_id are told apart.
+    """
     found = ngram_components(_by_key(docs), n=5, percent=80).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct()
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
     least = found.join(_keyed(docs).select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least"), F.max("n_shingles").alias("n"))
@@ -51,13 +61,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in place of personal data."""
+    """Put a mark in place of personal data; a null text stays null, and no row goes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     clean = personal_data(docs, keep=("lang", "source"))
     return clean.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("bigint").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources have their target weights."""
+    """Repeat or leave out documents so that sources have their target weights; rows without a source are one source."""
     copies = mix_sources(_by_key(docs)).groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     # equal rows are one here, with the copies of all of them
     rows = _keyed(docs).groupBy("_row", "doc_id").agg(F.first(F.struct(*COLUMNS)).alias("d")).join(copies, "_row")
@@ -65,7 +76,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens; a null text is an end id alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return pack(docs, vocabulary(), end_id=0, window=1024)
 
 
