@@ -77,6 +77,16 @@ def test_codec_round_trip(n):
         token_codec.encode(np.array([5], np.uint32), 5)
 
 
+def test_codec_beats_counts_of_ids():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text")
+    ids = TextEncoder.of(vocabulary()).encode(texts)[0][:600_000]
+    block = token_codec.encode(ids, 50257)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert len(block) * 8 / len(ids) < 0.95 * -(share * np.log2(share)).sum() and (token_codec.decode(block) == ids).all()
+
+
 def test_fingerprints(spark, docs, known, empty):
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(known, 16).collect()}
     order = sorted(((r[0], r[1] or "") for r in UNIQUE), reverse=True)
