@@ -6,9 +6,13 @@ of the n-grams, two sets that are similar enough have at least l entries in comm
 prefix and size are one group, every prefix n-gram is counted over all groups, and each group then
 keeps all but the l - 1 most frequent ones of its prefix. Two similar sets still share one of what is
 kept, and for most documents all of that is theirs alone, however often phrases and passages recur.
-Groups that share a kept n-gram form clusters; there the groups expand into their members, which are
-filtered by size and by the places of their common n-grams and verified on the whole sets. Only the
-links that join two classes are kept, so many near copies cost links in proportion to their number.
+Groups that share a kept n-gram form clusters; in one of bounded size the groups expand into their
+members, which are filtered by size and by the places of their common n-grams and verified on the whole
+sets, in one task. A larger cluster is settled in three steps, the last two for members of different
+classes only: parts of it with some hubs that all parts get; pairs of groups that share a kept n-gram
+few have, filtered by size; and, for n-grams that many have, those outside the largest class against
+all. Only links that join two classes are kept, so many near copies cost links in proportion to
+their number.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ FREQUENT_MOST = 1 << 16
 FREQUENT_FROM = 64
 #: bits of the set that tells which texts a later join needs (8 MB)
 FILTER_BITS = 1 << 26
-#: entries that are compared in one task; larger clusters are compared block by block
+#: entries that are compared in one task; larger clusters are settled in steps
 BLOCK = 4096
+#: entries of a large cluster that each part of it is compared with
+HUBS = 8
+#: entries with a kept n-gram up to which pairs of their groups are listed
+BUCKET = 64
 
 
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
@@ -190,19 +198,36 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     classes, links = _Classes(len(sets)), []
     apart = not (side == 2).all()
 
-    def verify(a: int, b: int) -> None:
-        if apart and side[a] == side[b] != 2 or classes.find(a) == classes.find(b):
-            return
+    def verify(a: int, b: int) -> bool:
+        if apart and side[a] == side[b] != 2:
+            return False
         x, y = sets[a], sets[b]
         both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            classes.join(a, b)
-            links.append((a, b))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            return False
+        classes.join(a, b)
+        links.append((a, b))
+        return True
+
+    def by_class(group: list[int]) -> list[list[int]]:
+        parts: dict[int, list[int]] = {}
+        for e in group:
+            parts.setdefault(classes.find(e), []).append(e)
+        return list(parts.values())
+
+    def meet(a: int, parts: list[list[int]]) -> None:
+        """Compare a with the members of each class until one links it to the class."""
+        for part in parts:
+            if classes.find(a) != classes.find(part[0]):
+                any(verify(a, b) for b in part)
 
     for m in members:
-        for i, a in enumerate(m):
-            for b in m[:i]:
-                verify(a, b)
+        parts: list[list[int]] = []
+        for a in m:
+            meet(a, parts)
+            own = [part for part in parts if classes.find(part[0]) == classes.find(a)]
+            parts = [part for part in parts if classes.find(part[0]) != classes.find(a)]
+            parts.append([b for part in own for b in part] + [a])
     # groups by ascending size; each meets the earlier ones that hold one of its prefix n-grams
     order = sorted(range(len(members)), key=lambda g: size[leader[g]])
     index: dict[int, list[tuple[int, int]]] = {}
@@ -219,15 +244,15 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
                 if 100 * most < percent * (n + m - most):
                     continue
                 seen.add(h)
+                parts = by_class(members[h])
                 for a in members[g]:
-                    for b in members[h]:
-                        verify(a, b)
+                    meet(a, parts)
             earlier.append((g, i))
     return links
 
 
 def _verified(blocks: DataFrame, percent: int) -> DataFrame:
-    """src, dst of the links in each block; rows of a block follow one another."""
+    """src, dst of the links in each block (cluster, a, b) of rows node, side, keys."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         rows.sort(key=lambda r: r[0])
@@ -252,20 +277,83 @@ def _verified(blocks: DataFrame, percent: int) -> DataFrame:
             yield out(done)
         yield out(links(rows) if len(rows) > 1 else [])
 
+    blocks = blocks.select("cluster", "a", "b", "node", "side", "keys").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
     return blocks.mapInArrow(run, "src bigint, dst bigint")
 
 
 def _set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """node, cluster, blocks and the whole set, for the row of each entry whose set is the entry's."""
+    """node, cluster and the whole set, for the row of each entry whose set is the entry's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             keys, at = ngram_sets(part.column("text"), n)
             same = (signed(set_hash(keys, at, 1)) == part.column("set1").to_numpy()) & (signed(set_hash(keys, at, 2)) == part.column("set2").to_numpy())
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(keys)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), part.column("blocks"), lists], ["node", "cluster", "blocks", "keys"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), lists], ["node", "cluster", "keys"]).filter(pa.array(same))
+
+    return docs.mapInArrow(run, "node bigint, cluster bigint, keys array<bigint>")
 
-    return docs.mapInArrow(run, "node bigint, cluster bigint, blocks int, keys array<bigint>")
+
+def _pairs_of(own: Column, first: Column, last: Column) -> Column:
+    """The pairs of a part with those from first to last, and on which side of each pair it is."""
+    return F.transform(F.sequence(first, last), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), F.when(own == j, 2).otherwise((own > j).cast("int")).alias("side")))
+
+
+def _large_links(sets: DataFrame, members: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """Links that join the classes of the clusters of more than BLOCK entries.
+
+    sets: node, cluster, keys; members: node, cluster, group, n (entries of the cluster), peers (those of
+    the group); index: group, size, token. Each set is sent to one part, to each small bucket's pairs
+    that are still of two classes, and, outside the largest class of what shares frequent n-grams, to
+    the blocks of all others there. Work is thus in proportion to the cluster, but for entries that
+    share n-grams with more than BUCKET others and link with few: they are compared block by block.
+    """
+    none = F.lit(0)
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    # a group stays together if a part can hold it
+    own = F.pmod(F.when(F.col("peers") > BLOCK, F.xxhash64("node")).otherwise(F.xxhash64("group")), parts).cast("int")
+    members = materialize(members.select("node", "cluster", "group", "peers", parts.alias("parts"), own.alias("own")), "large-members")
+    hubs = members.where(F.col("own") < HUBS).groupBy("cluster", "own", "parts").agg(F.min("node").alias("node"))
+    others = F.filter(F.sequence(none, F.col("parts") - 1), lambda j: j != F.col("own"))
+    spots = members.select("node", "own").union(hubs.select("node", F.explode(others)))
+    first = sets.join(spots, "node").select("cluster", F.col("own").alias("a"), F.col("own").alias("b"), "node", F.lit(2).alias("side"), "keys")
+    links = materialize(_verified(first, percent), "links-of-parts")
+
+    def classed() -> DataFrame:
+        found = members.join(connected_components(links), "node", "left")
+        return materialize(found.select("node", "group", F.coalesce("component", "node").alias("class")), "classes")
+
+    known = classed()
+    groups = members.select("group", "peers").distinct()
+    weighed = index.join(groups, "group")
+    weighed = materialize(weighed.join(weighed.groupBy("token").agg(F.sum("peers").alias("weight")), "token"), "buckets")
+    few = weighed.where(F.col("weight") <= BUCKET).select("token", "group", "size")
+    to = few.select("token", F.col("group").alias("to"), F.col("size").alias("to_size"))
+    near = 100 * F.least("size", "to_size") >= percent * F.greatest("size", "to_size")
+    pairs = few.join(to, "token").where((F.col("group") < F.col("to")) & near).select("group", "to").distinct()
+    ends = known.select(F.col("group").alias("to"), F.col("node").alias("to_node"), F.col("class").alias("to_class"))
+    pairs = materialize(pairs.join(known, "group").join(ends, "to").where("class <> to_class").select("node", "to_node").distinct(), "pairs")
+    stars = pairs.select(F.col("node").alias("centre"), F.col("to_node").alias("node"), F.lit(1).alias("side")).union(pairs.select("node", "node", none).distinct())
+    second = sets.select("node", "keys").join(stars, "node").select(F.col("centre").alias("cluster"), none.alias("a"), none.alias("b"), "node", "side", "keys")
+    links = links.union(materialize(_verified(second, percent), "links-of-pairs"))
+
+    many = weighed.where(F.col("weight") > BUCKET)
+    least = many.groupBy("token").agg(F.min("group").alias("least"))
+    edges = many.join(least, "token").select(F.col("group").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+    families = connected_components(edges).select(F.col("node").alias("group"), "component")
+    hot = many.select("group").union(groups.where(F.col("peers") > BLOCK).select("group")).distinct()
+    hot = hot.join(families, "group", "left").select("group", F.coalesce("component", "group").alias("family"))
+    at = materialize(classed().join(hot, "group").select("node", "class", "family"), "hot-entries")
+    sizes = at.groupBy("family", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    block_count = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = largest.select("family", F.col("main.class").alias("main"), block_count(F.col("n") - F.col("main.n")).alias("rest"), block_count(F.col("main.n")).alias("mains"))
+    at = at.join(largest, "family").withColumn("outside", F.col("class") != F.col("main"))
+    spot = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), "rest")).otherwise(F.col("rest") + F.pmod(F.xxhash64("node"), "mains")).cast("int")
+    last = F.when(F.col("outside"), F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1
+    at = at.withColumn("own", spot).select("node", "family", F.explode(_pairs_of(F.col("own"), none, last)).alias("pair"))
+    third = sets.select("node", "keys").join(at, "node").select(F.col("family").alias("cluster"), "pair.a", "pair.b", "node", "pair.side", "keys")
+    return links.union(materialize(_verified(third, percent), "links-of-blocks"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -296,21 +384,25 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     kept = length(F.col("size")) + extra(F.col("size")) - extra(least_partner)
     alone = length(F.col("size")) + extra(F.col("size")) - F.count(F.lit(1)).over(Window.partitionBy("group"))
     rank = F.row_number().over(Window.partitionBy("group").orderBy("n", "token"))
-    index = shared.withColumn("rank", rank).withColumn("alone", alone).where(F.col("rank") + F.col("alone") <= kept).select("group", "token")
+    index = shared.withColumn("rank", rank).withColumn("alone", alone).where(F.col("rank") + F.col("alone") <= kept).select("group", "size", "token")
     index = materialize(index, "index")
     least = index.groupBy("token").agg(F.min("group").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "least")
     edges = index.join(least, "token").select(F.col("group").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
     clusters = materialize(connected_components(edges), "clusters").select(F.col("node").alias("group"), "component")
-    placed = sets.join(clusters, "group", "left").select("node", "set1", "set2", F.coalesce("component", "group").alias("cluster"))
+    placed = sets.join(clusters, "group", "left").select("node", "set1", "set2", "group", F.coalesce("component", "group").alias("cluster"))
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    needed = materialize(placed.join(sizes, "cluster").select(F.col("node").alias("doc_id"), "set1", "set2", "cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "needed")
-    rows = _set_rows(only_ids(docs, needed).join(needed, "doc_id"), n)
-    # a cluster of one block meets in it; of several, in every pair of blocks
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), F.when(own == j, 2).otherwise((own > j).cast("int")).alias("side")))
-    blocks = rows.withColumn("pair", F.explode(pairs)).select("cluster", "pair.a", "pair.b", "node", "pair.side", "keys")
-    blocks = blocks.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
-    links = materialize(_verified(blocks, percent), "verified")
+    needed = materialize(placed.join(sizes, "cluster").withColumnRenamed("node", "doc_id"), "needed")
+
+    def whole_sets(of: DataFrame) -> DataFrame:
+        return _set_rows(only_ids(docs, of).join(of.select("doc_id", "set1", "set2", "cluster"), "doc_id"), n)
+
+    alone = whole_sets(needed.where(F.col("n") <= BLOCK)).withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(2)})
+    links = materialize(_verified(alone, percent), "verified")
+    large = needed.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        peers = large.groupBy("group").agg(F.count(F.lit(1)).alias("peers"))
+        members = large.join(peers, "group").select(F.col("doc_id").alias("node"), "cluster", "group", "n", "peers")
+        links = links.union(_large_links(materialize(whole_sets(large), "large-sets"), members, index, percent))
     # several sets under one doc_id are one document
     shared = known.select("doc_id", "set1", "set2").join(sets.select("set1", "set2", "node"), ["set1", "set2"])
     shared = shared.where("doc_id <> node").groupBy("doc_id", "node").agg(F.lit(1).alias("_"))

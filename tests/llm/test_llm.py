@@ -202,10 +202,7 @@ def plain_sets(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n, percent, block", [(4, 85, 4096), (5, 80, 4096), (2, 60, 4)])
-def test_ngram_components(known, n, percent, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    sets = plain_sets(UNIQUE, n)
+def plain_components(sets, percent):
     up = {d: d for d in sets}
 
     def find(x):
@@ -219,8 +216,35 @@ def test_ngram_components(known, n, percent, block, monkeypatch):
             if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("n, percent, block, bucket", [(4, 85, 4096, 64), (5, 80, 4096, 64), (2, 60, 4, 64), (2, 60, 4, 2)])
+def test_ngram_components(known, n, percent, block, bucket, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(known, n, percent).collect()}
-    assert got == {d: (len(s), find(d)) for d, s in sets.items()}
+    assert got == plain_components(plain_sets(UNIQUE, n), percent)
+
+
+@pytest.mark.parametrize("bucket", [1, 8, 64])
+def test_large_clusters(spark, bucket, monkeypatch):
+    """Excerpts that slide over one text, a family of near copies, and texts of one form that aren't like each other."""
+    rnd = random.Random(bucket)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(500)]
+    rows = [" ".join(long[i : i + 60]) for i in range(0, 440, 6)]
+    form = [f"f{k}" for k in range(60)]
+    rows += [" ".join(rnd.choice("xyz") if k in (7, 31) else w for k, w in enumerate(form)) for _ in range(60)]
+    rows += [" ".join(f"u{rnd.randrange(40)}" if k % 20 == i % 20 else w for k, w in enumerate(form[20:] + long[:20])) for i in range(60)]
+    rows = [(i * 3, t) for i, t in enumerate(rows)]
+    rnd.shuffle(rows)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 70)
+    want = plain_components(plain_sets(rows, 4), 70)
+    assert len({c for _, c in want.values()}) > 3
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == want
 
 
 def test_ngram_components_of_odd_tables(docs, empty):
