@@ -98,11 +98,11 @@ OP10 = rf"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1) GROUP BY 1),
 ln AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line FROM w),
-dl AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+dl AS (SELECT doc_id, sum(c - 1) AS n, sum(c) AS lines FROM (SELECT doc_id, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(dl.lines, 0) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
 FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dl USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-h AS (SELECT source, count(*) AS d, count_if(base_failed) AS x FROM f GROUP BY 1),
+h AS (SELECT source, count(*) AS d, count_if(base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * word_chars < 200 * n_words) AS x FROM f GROUP BY 1),
 t AS (SELECT sum(d) AS n, sum(x) / sum(d) AS m, count(*) AS k, sum(x * x / d) AS s2 FROM h),
 p AS (SELECT m, least(1e6, greatest(2.0, m * (1 - m) / greatest((s2 - n * m * m - (k - 1) * m * (1 - m)) / greatest(1.0, n - k), 1e-9) - 1)) AS s FROM t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (x + m * s) / (d + s) <= 0.5 AS kept FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p"""

@@ -1,8 +1,10 @@
 """Quality rules with a verdict on each host.
 
-Every text gets counts and a base verdict of its own. Failures are then summed by host, a host's
-rate is shrunk towards the others with a beta prior fitted to all hosts, and the documents of a
-host whose shrunk rate is above `host_rate` go too.
+Every text gets counts and a base verdict of its own. What counts against its host is wider: any
+rule of `failures` that it fails. These are summed by host, a host's rate is shrunk towards the others
+with a beta prior fitted to all hosts, and the documents of a host whose shrunk rate is above
+`host_rate` go too. A text that only the wider rules fail, such as a table or code, stays if its host
+does.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.wordbatch import Words, mix, per_doc, rolling, signed, slices, span_hashes, within
@@ -20,10 +22,15 @@ from millrace.session import materialize
 WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
+#: wider rules: symbols for 100 words, repeated lines of 100 lines, and code points for 100 words. There is
+#: no greatest length of words: scripts without blanks have words of any length.
+SYMBOL_PERCENT = 30
+DUP_LINE_PERCENT = 30
+WORD_CHARS_PERCENT = 200
 HOST_RATE = 0.5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +45,7 @@ def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_counts(column, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """The five counts of each text of a column."""
+    """The counts of each text of a column; n_lines are lines with a word."""
     words = Words(column)
     counts, doc = words.counts, words.doc
     out = {"n_words": counts.astype(np.int64)}
@@ -55,6 +62,7 @@ def text_counts(column, window: int = WINDOW) -> dict[str, np.ndarray]:
     some = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, text = start[some], end[some], text[some]
     _, earlier = _again(mix(span_hashes(words.data, start, end) + mix(text.astype(np.uint64))))
+    out["n_lines"] = np.bincount(text, minlength=words.n_docs).astype(np.int64)
     out["n_dup_lines"] = np.bincount(text[earlier], minlength=words.n_docs).astype(np.int64)
 
     h = rolling(words.hashes(), window)
@@ -68,7 +76,7 @@ def text_counts(column, window: int = WINDOW) -> dict[str, np.ndarray]:
 
 
 def rule_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, source and the five counts of every row of docs, without a shuffle.
+    """doc_id, source and the counts of every row of docs, without a shuffle.
 
     A null text counts as empty; other columns of docs are not read. Rows with the same doc_id or
     text each keep their own row. An empty table gives an empty one.
@@ -83,14 +91,21 @@ def rule_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, "doc_id bigint, source string, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
+def failures() -> Column:
+    """Whether a row of counts fails any rule; one without words fails by its base verdict."""
+    symbols = 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words")
+    lines = 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines")
+    return F.col("base_failed") | symbols | lines | (100 * F.col("word_chars") < WORD_CHARS_PERCENT * F.col("n_words"))
+
+
 def host_rates(counted: DataFrame) -> DataFrame:
-    """source, docs, failures and the shrunk failure rate of each host.
+    """source, docs, failures (of any rule) and the shrunk failure rate of each host.
 
     The prior is Beta(m k, (1 - m) k): m is the share of all documents that fail and k follows from
     how much the hosts' rates differ beyond chance (method of moments, weighted by documents). A
     host of few documents stays near m. Documents without a source form one host.
     """
-    hosts = counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("bigint")).alias("failures"))
+    hosts = counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(failures().cast("bigint")).alias("failures"))
     one = hosts.agg(F.sum("docs").alias("n"), F.sum("failures").alias("f"), F.count(F.lit(1)).alias("k"), F.sum(F.pow(F.col("failures"), F.lit(2)) / F.col("docs")).alias("s2")).first()
     n, k = one["n"] or 1, one["k"]
     mean = (one["f"] or 0) / n
