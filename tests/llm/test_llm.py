@@ -509,7 +509,7 @@ def test_hosts_are_judged(spark):
 
 def test_wider_rules_count_against_hosts(spark):
     good = "plain words that never come twice in here at all today ok"
-    junk = {"symbols": good + " ## $$ || << >>", "lines": "\n".join([good + " one", good[6:]] + ["x y"] * 3), "letters": "a b c d e f g h i j k l"}
+    junk = {"symbols": good + " ## $$ || << >>", "lines": "\n".join(["one two three", "x y", "four five six", "x y", "seven eight nine", "x y"]), "letters": "a b c d e f g h i j k l"}
     rows = [(k * 100 + i, text if i < 90 else good, "en", host, 0) for k, (host, text) in enumerate(junk.items()) for i in range(100)]
     rows += [(1000 + i, junk["symbols"] if i == 0 else good, "en", "fine", 0) for i in range(300)]
     found = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
