@@ -15,9 +15,12 @@ from millrace.llm.ngram_join import ngram_components
 from millrace.llm.packing import pack
 from millrace.llm.pii import personal_data
 from millrace.llm.rules import quality_rules
+from millrace.llm.runs import periodic_runs, with_looped_tails
+from millrace.llm.simhash import near_copies
 from millrace.llm.substring import remove_repeats
 from millrace.llm.token_files import read_token_files, write_token_files
 from millrace.llm.toxicity import fit_scorer, toxicity
+from millrace.llm.whitening import whiten
 from millrace.session import shared_dir, table
 
 
@@ -73,6 +76,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"), most=8)
+    # beyond a long there is no exact deviation to return as one
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_looped_tails(table(spark, sf_dir, "documents")), least=6, times=4, whole=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), words=3, radius=2, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
