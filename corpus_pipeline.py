@@ -8,6 +8,8 @@ shared; rows with one key are equal in every column.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +20,26 @@ from millrace.llm.packing import pack
 from millrace.llm.pii import personal_data
 from millrace.llm.queries import vocabulary
 from millrace.llm.rules import quality_rules
-from millrace.session import row_key, shared_dir, table
+from millrace.session import materialize, row_key, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: rows that tasks exchange with Python at a time: whole texts are large rows, and a batch is held on both sides
 BATCH_ROWS = "500"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside exchanges small batches; the session's setting is as before afterwards."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(row_key(*COLUMNS).alias("_row"), *COLUMNS)
 
 
@@ -41,7 +54,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and go; rows without a doc_id, equal rows and rows that share a
     doc_id are each judged by what they hold. An empty table gives an empty one, as in all stages.
     """
-    kept = quality_rules(_by_key(docs)).where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    with small_batches(spark):
+        kept = materialize(quality_rules(_by_key(docs)).where("kept").select(F.col("doc_id").alias("_row")).distinct(), "kept")
     return _keyed(docs).join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
@@ -50,7 +64,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are like nothing and all stay; different texts that share a doc_id are told apart.
     """
-    found = ngram_components(_by_key(docs), n=5, percent=80).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct()
+    with small_batches(spark):
+        found = materialize(ngram_components(_by_key(docs), n=5, percent=80).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct(), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
     least = found.join(_keyed(docs).select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least"), F.max("n_shingles").alias("n"))
     kept = least.select("least._row", "n")
@@ -62,8 +77,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of personal data; a null text stays null, and no row goes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    clean = personal_data(docs, keep=("lang", "source"))
+    with small_batches(spark):
+        clean = materialize(personal_data(docs, keep=("lang", "source")).select("doc_id", "redacted", "lang", "source"), "redacted")
     return clean.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("bigint").alias("n_chars"))
 
 
@@ -77,8 +92,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens; a null text is an end id alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return pack(docs, vocabulary(), end_id=0, window=1024)
+    with small_batches(spark):
+        return materialize(pack(docs, vocabulary(), end_id=0, window=1024), "packed")
 
 
 STAGES = [
