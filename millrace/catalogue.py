@@ -33,7 +33,7 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from millrace import catalogue_artifacts  # noqa: F401  (it registers its queries)
+    from millrace import catalogue_artifacts, catalogue_store  # noqa: F401  (they register their queries)
 
     return dict(_QUERIES)
 
@@ -354,7 +354,8 @@ def lexical_search(spark, sf_dir):
 
 @query(f"WITH {BM} SELECT chunk_id, round(score, 6) AS score FROM lex ORDER BY round(lex.score, 9) DESC, chunk_id LIMIT 10")
 def indexed_search(spark, sf_dir):
-    return lexical.search_index(spark, _index(spark, sf_dir).path, ASKED).select("chunk_id", F.round("score", 6).alias("score"))
+    found = _index(spark, sf_dir).scored(ASKED).orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(10)
+    return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM} SELECT source_relpath, chunk_id, round(score, 6) AS score FROM lex WHERE source_relpath LIKE 'src1/%' ORDER BY round(lex.score, 9) DESC, source_relpath, chunk_id LIMIT 10")
@@ -646,10 +647,10 @@ def root_overview(spark, sf_dir):
 
 
 @query(f"""WITH {COLL}, r AS (SELECT collection_id, file_id, row_number() OVER (PARTITION BY collection_id ORDER BY created, file_id) AS k, count(*) OVER (PARTITION BY collection_id) AS n FROM members)
-SELECT collection_id AS scope_id, (k - 1) // 100 AS page, CASE WHEN (k - 1) // 100 = 0 THEN E'# OSII Wiki\n\nThis local baseline describes a **collection** scope containing **' || any_value(n) || E'** objects.\n\n## Members\n\n' ELSE '' END || string_agg('- `' || file_id || '`', E'\n' ORDER BY k) || E'\n' AS markdown FROM r GROUP BY 1, 2""")
+SELECT collection_id AS scope_id, (k - 1) // 100 AS page, CASE WHEN (k - 1) // 100 = 0 THEN E'# Corpus Wiki\n\nThis local baseline describes a **collection** scope containing **' || any_value(n) || E'** objects.\n\n## Members\n\n' ELSE '' END || string_agg('- `' || file_id || '`', E'\n' ORDER BY k) || E'\n' AS markdown FROM r GROUP BY 1, 2""")
 def wiki_members(spark, sf_dir):
     members = corpus.collections(_docs(spark, sf_dir), _t(spark, sf_dir, "labels"))[1]
-    return overviews.wiki_pages(members.withColumnRenamed("collection_id", "scope_id"), per_page=100)
+    return overviews.wiki_pages(members.withColumnRenamed("collection_id", "scope_id"), "Corpus Wiki", per_page=100)
 
 
 @query(f"""WITH {FOLDERS} SELECT 'root' AS scope_type, 'root' AS scope_id, 'root' AS label UNION ALL SELECT 'folder', path, CASE WHEN path = '' THEN 'root-folder' ELSE path END FROM allp

@@ -70,3 +70,14 @@ def chunks(texts: DataFrame, method: str = "paragraph", size: int = 1200, overla
     else:
         rows = windows(some, size, overlap)
     return rows.select(*rest, F.format_string("chunk-%s-%06d", F.col(key).cast("string"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "char_start", "char_end", "text")
+
+
+def chunk_records(files: DataFrame, preferred: DataFrame, method: str = "paragraph", size: int = 1200, overlap: int = 200, key: str = "file_id") -> DataFrame:
+    """The chunks of the preferred texts of files, with what they were cut from: the rows that an index is built of.
+
+    files holds key and source_relpath; preferred key, representation, kind and text. The columns are those
+    of chunks, source_relpath, source_text_representation, source_text_kind and chunk_method. Files without a
+    preferred text, and blank texts, have no chunks.
+    """
+    texts = files.select(key, "source_relpath").join(preferred.select(key, F.col("representation").alias("source_text_representation"), F.col("kind").alias("source_text_kind"), "text"), key)
+    return chunks(texts, method, size, overlap, key).withColumn("chunk_method", F.lit(method))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.functions.text import search_tokens
 from millrace.session import materialize
@@ -66,32 +67,59 @@ def bm25(chunks: DataFrame, query: str, top_k: int | None = 10, key: str = "chun
     return met.orderBy(F.desc(F.round("score", 9)), key) if top_k else met
 
 
-def build_index(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Write the index: postings sorted by term, so that a query reads few row groups, and statistics.
+def write_part(chunks: DataFrame, path: str, key: str = "chunk_id", shards: int = 16) -> tuple[int, float]:
+    """Write chunks (key, text and more), what is known of them, and their postings; how many there are, and their tokens.
 
-    Postings carry the other columns of chunks but text: a scope is a filter or a semi-join of them.
+    Texts lie in folders by hash of the key, sorted by it, so the few that a search returns are found without
+    a scan. Postings carry the other columns of chunks but text, for scopes are filters of them. They lie in
+    ranges of term and key: a query reads few row groups, and a frequent term is many files, not one task.
+    Texts are tokenized once; the counts are written before they are dealt into ranges.
     """
-    counts = materialize(postings(chunks, key), "term-counts")
-    lengths_ = counts.groupBy(key).agg(F.sum("tf").cast("double").alias("dl"))
-    about = chunks.drop("text").join(lengths_, key)
-    counts.select("term", key, F.col("tf").cast("double").alias("tf")).join(about, key).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    corpus_stats(chunks, key).write.parquet(f"{path}/stats")
+    spark = chunks.sparkSession
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    chunks.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(f"{path}/chunks")
+    own = spark.read.schema(StructType([*chunks.schema.fields, StructField("shard", IntegerType())])).parquet(f"{path}/chunks").drop("shard")
+    rest = [c for c in own.columns if c != "text"]
+    tokens = own.select(*rest, search_tokens(F.col("text")).alias("_t")).select(*rest, F.size("_t").cast("double").alias("dl"), F.explode_outer("_t").alias("term"))
+    counts = materialize(tokens.groupBy("term", *rest, "dl").agg(F.count("term").cast("double").alias("tf")), "term-counts")
+    # a chunk without tokens has one row, without a term
+    about = counts.groupBy(*rest).agg(F.first("dl").alias("dl"))
+    about.write.parquet(f"{path}/about")
+    counts.where("term IS NOT NULL").select("term", key, "tf", "dl", *[c for c in rest if c != key]).repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
+    found = spark.read.parquet(f"{path}/about").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0.0)).alias("total")).first()
+    return found["n"], found["total"]
 
 
-def scored_postings(spark: SparkSession, path: str, query: str, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+def build_index(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """Write an index of chunks: a part (see write_part) and its statistics."""
+    n, total = write_part(chunks, path, key)
+    chunks.sparkSession.createDataFrame([(n, total / n if n else None)], "n_chunks bigint, avgdl double").coalesce(1).write.parquet(f"{path}/stats")
+
+
+def scored(postings_: DataFrame, query: str, n: int, avgdl: float | None, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
     """key, the columns that postings carry, and score of every chunk that has a term of the query."""
-    wanted = _wanted(spark, query)
-    stats = spark.read.parquet(f"{path}/stats").first()
-    found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*wanted))
+    wanted = _wanted(postings_.sparkSession, query)
+    found = postings_.where(F.col("term").isin(*wanted))
     rest = [c for c in found.columns if c not in ("term", key, "tf", "dl")]
-    df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()} if wanted else {}
     if not df:
         return found.select(key, *rest, F.lit(0.0).alias("score")).limit(0)
-    per_term = F.create_map(*[x for t, n in df.items() for x in (F.lit(t), F.struct(F.lit(n).alias("df"), F.lit(wanted[t]).alias("times")))])[F.col("term")]
-    gain = per_term["times"] * _gain(stats["n_chunks"], stats["avgdl"] or 1.0, per_term["df"], F.col("tf"), F.col("dl"), k1, b)
+    per_term = F.create_map(*[x for t, m in df.items() for x in (F.lit(t), F.struct(F.lit(m).alias("df"), F.lit(wanted[t]).alias("times")))])[F.col("term")]
+    gain = per_term["times"] * _gain(n, avgdl or 1.0, per_term["df"], F.col("tf"), F.col("dl"), k1, b)
     return found.groupBy(key).agg(F.sum(gain).alias("score"), *[F.first(c).alias(c) for c in rest])
 
 
+def asks_something(spark: SparkSession, query: str) -> bool:
+    """Whether a query has any term."""
+    return bool(_wanted(spark, query))
+
+
+def scored_postings(spark: SparkSession, path: str, query: str, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """key, the columns that postings carry, and score of every chunk of a built index that has a term of the query."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    return scored(spark.read.parquet(f"{path}/postings"), query, stats["n_chunks"], stats["avgdl"], key, k1, b)
+
+
 def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
-    """key and score of the best chunks of an index; the terms are a filter of the scan of postings."""
+    """key and score of the best chunks of a built index; the terms are a filter of the scan of postings."""
     return scored_postings(spark, path, query, key, k1, b).select(key, "score").orderBy(F.desc(F.round("score", 9)), key).limit(top_k)

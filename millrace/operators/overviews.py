@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
 from millrace.functions.text import ordered_text, snippet
+from millrace.operators.ranks import placed
 
 
 def object_summaries(objects: DataFrame, members: DataFrame, segments: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -22,19 +21,8 @@ def object_summaries(objects: DataFrame, members: DataFrame, segments: DataFrame
 
 
 def paged(rows: DataFrame, scope: list[str], order: list[str], size: int = 1000) -> DataFrame:
-    """The rows with their place in their scope (rank, from 1) and page, without a sort of a whole scope.
-
-    Rows are dealt into ranges by a hash-free key, the first of `order` cut to its first characters;
-    counts of the ranges give where each begins, and a window orders a range.
-    """
-    head = F.left(F.col(order[0]).cast("string"), F.lit(12))
-    dealt = rows.withColumn("_head", head)
-    counts = dealt.groupBy(*scope, "_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*scope).orderBy("_head")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*scope, "_head").orderBy(*order)) + F.col("_before")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*scope, "_head"]]
-    met = dealt.alias("r").join(before.alias("b"), reduce(lambda x, y: x & y, same)).select("r.*", "_before")
-    return met.withColumn("rank", rank.cast("bigint")).withColumn("page", F.floor((F.col("rank") - 1) / size).cast("bigint")).drop("_head", "_before")
+    """The rows with their place in their scope (rank, from 1) and page (from 0); no task sorts a whole scope."""
+    return placed(rows, scope, order).withColumn("page", F.floor((F.col("rank") - 1) / size).cast("bigint"))
 
 
 def folder_overview(objects: DataFrame, syntheses: DataFrame, tree: DataFrame, folder_syntheses: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,8 +46,8 @@ def root_overview(tree: DataFrame, folder_syntheses: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(n)).select("path", "synthesis", F.lit("folder").alias("kind"), F.lit("default").alias("quality"), "folder_count")
 
 
-def wiki_pages(members: DataFrame, kind: str = "collection", title: str = "OSII Wiki", per_page: int = 1000) -> DataFrame:
-    """scope_id, page, markdown: a wiki page of the members (scope_id, file_id, created) of each scope, in order.
+def wiki_pages(members: DataFrame, title: str, kind: str = "collection", per_page: int = 1000) -> DataFrame:
+    """scope_id, page, markdown: a wiki page of the members (scope_id, file_id, created) of each scope, in order, under a title.
 
     Scopes of more than per_page members have several pages, of which only the first has the heading.
     """

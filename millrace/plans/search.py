@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import basename
 from millrace.functions.text import snippet
 from millrace.operators.catalog import collections_of_files
-from millrace.operators.lexical import bm25, build_index, scored_postings
+from millrace.operators.lexical import asks_something, bm25
 from millrace.operators.scopes import Scope, in_scope
 from millrace.operators.vector import scored_vectors
+from millrace.plans.index import Index, build  # noqa: F401  (an index is built and searched from here)
 from millrace.session import materialize
 
 RRF_K = 60
@@ -38,32 +37,12 @@ def best_per_file(hits: DataFrame, top_k: int) -> DataFrame:
     return best.select("file_id", "h.*").orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id").limit(top_k)
 
 
-@dataclass(frozen=True)
-class Index:
-    """A written index of chunks: the chunks themselves, sorted by id, their postings and statistics, and vectors if there are any."""
-
-    spark: SparkSession
-    path: str
-
-    def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
-
-    def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
-
-
-def build(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> Index:
-    """Write the index of chunks (and vectors: chunk_id, embedding) to a new folder; queries read it as often as they like.
-
-    Vectors carry the names of their chunks, so that a search needs no chunk but those it returns.
-    """
-    spark = chunks.sparkSession
-    chunks.write.parquet(f"{path}/chunks")
-    own = spark.read.parquet(f"{path}/chunks")
-    build_index(own, path)
-    if vectors is not None:
-        vectors.select("chunk_id", "embedding").join(own.drop("text"), "chunk_id").write.parquet(f"{path}/vectors")
-    return Index(spark, path)
+def indexed_scores(index: Index, query: str, include_zero: bool = False) -> DataFrame:
+    """The scores of an index; with include_zero those of all chunks, 0 where no term of the query is. A query without terms has no hits."""
+    found = index.scored(query)
+    if not include_zero or not asks_something(index.spark, query):
+        return found
+    return index.about().drop("dl").join(found.select("chunk_id", "score"), "chunk_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k: int = 10, scope: Scope | None = None, members: DataFrame | None = None, group_by: str | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, overfetch: int | None = None, include_zero: bool = False) -> DataFrame:
@@ -74,7 +53,7 @@ def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k:
     applied before the cut, so narrow scopes lose nothing; overfetch=5 cuts to 5 * top_k of the whole corpus
     first. Scores are of the whole corpus either way. The texts of hits are fetched after the cut. Without
     vectors a semantic or hybrid search is a lexical one. group_by='file' keeps the best chunk of each
-    file among the top_k. include_zero lets chunks without a term of the query fill up the hits (scans only).
+    file among the top_k. include_zero lets chunks without a term of the query fill up the hits, by path and chunk.
     """
     if mode not in MODES:
         raise ValueError(f"unknown search mode {mode!r}")
@@ -83,7 +62,7 @@ def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k:
         mode = "lexical"
     scope = scope or Scope()
     order = (F.desc(F.round("score", 9)), "source_relpath", "chunk_id")
-    chunks = source.chunks() if indexed else source
+    chunks = None if indexed else source
 
     def cut(scored: DataFrame) -> DataFrame:
         if overfetch:
@@ -92,9 +71,9 @@ def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k:
 
     lists = []
     if mode in ("lexical", "hybrid"):
-        lists.append(cut(scored_postings(source.spark, source.path, query) if indexed else bm25(chunks, query, top_k=None, include_zero=include_zero)))
+        lists.append(cut(indexed_scores(source, query, include_zero) if indexed else bm25(chunks, query, top_k=None, include_zero=include_zero)))
     if mode in ("semantic", "hybrid"):
-        rows = source.vectors() if vectors is None else vectors.join(chunks.drop("text"), "chunk_id")
+        rows = source.vectors() if vectors is None else vectors.join(source.about().drop("dl") if indexed else chunks.drop("text"), "chunk_id")
         lists.insert(0, cut(scored_vectors(rows, query_vector)))
     if mode == "hybrid":
         # both lists are at most top_k rows: written, so that neither is searched again for the texts
@@ -102,8 +81,11 @@ def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k:
     else:
         few = lists[0]
     few = materialize(few, "hits")
-    # at most top_k rows are sent to the scan of chunks
+    # at most top_k ids: of an index, they name the files to read
+    chunks = source.by_ids([r["chunk_id"] for r in few.select("chunk_id").collect()]) if indexed else chunks
     hits = chunks.join(F.broadcast(few.select("chunk_id", "score")), "chunk_id")
+    if {"char_start", "char_end"} <= set(hits.columns):
+        hits = hits.withColumn("source_origin", F.struct(F.lit("text_span").alias("grounding_type"), "char_start", "char_end"))
     hits = hits.withColumn("snippet", snippet(F.col("text"))).withColumn("filename", basename(F.col("source_relpath"))).withColumn("match_type", F.lit(mode))
     if members is not None and "name" in members.columns:
         hits = hits.join(collections_of_files(members.join(F.broadcast(few.select("file_id").distinct()), "file_id")), "file_id", "left")
