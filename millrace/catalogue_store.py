@@ -13,6 +13,7 @@ from millrace.plans import search as plans
 from millrace.plans.store import CorpusStore
 from millrace.session import shared_dir
 from millrace.sources import corpus
+from millrace.streaming import runs
 
 _STORES: dict[tuple[str, str, str], object] = {}
 
@@ -168,3 +169,51 @@ def stored_texts(spark, sf_dir):
     store, _ = _edited(spark, sf_dir)
     gone = _docs(spark, sf_dir).where("doc_id % 13 = 5").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"))
     return store.preferred().join(gone, "file_id", "left_anti")
+
+
+# runs --------------------------------------------------------------------------------------------
+
+#: a run that is taken and says nothing for so many seconds is lost
+LEASE = 86_400
+KINDS = {"signup": "queued", "click": "claimed", "view": "item", "purchase": "done", "error": "error"}
+
+
+def _run_log(spark, sf_dir) -> DataFrame:
+    """Events as those of runs, streamed from their files into a log that is only added to."""
+
+    def make(path: str) -> str:
+        schema = _t(spark, sf_dir, "events").schema
+        kind = F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.col("event_type"))
+        events = runs.events_of(spark, f"{sf_dir}/[e]vents.parquet", schema)  # a pattern: the table may be one file
+        events = events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("event"), F.format_string("%s %d", F.col("event_type"), F.col("event_id")).alias("message"))
+        runs.publish_runs(events, f"{path}/log", f"{path}/mark", LEASE).awaitTermination()
+        return f"{path}/log"
+
+    return spark.read.parquet(_once(spark, sf_dir, "run-log", make))
+
+
+RUN_LOG = f"""RECURSIVE e AS (SELECT user_id::VARCHAR AS run_id, epoch_us(ts) AS us, event_type || ' ' || event_id AS message, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'item' WHEN 'purchase' THEN 'done' ELSE 'error' END AS event,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT DISTINCT run_id, 0::BIGINT AS k, 0::BIGINT AS n, NULL::BIGINT AS us, NULL::VARCHAR AS event, NULL::VARCHAR AS message, false AS lost, NULL::BIGINT AS lost_at, NULL::VARCHAR AS status, false AS accepted, 0::BIGINT AS completed, 0::BIGINT AS before, NULL::BIGINT AS deadline, NULL::BIGINT AS created FROM e
+ UNION ALL SELECT run_id, k, n + 1 + lost::BIGINT, us, event, message, lost, lost_at, coalesce(new, p), new IS NOT NULL, CASE WHEN new IS NULL THEN completed WHEN event = 'queued' THEN 0 WHEN event = 'item' THEN completed + 1 ELSE completed END, completed,
+  CASE WHEN coalesce(new, p) <> 'running' OR coalesce(new, p) IS NULL THEN NULL WHEN new IS NULL THEN deadline ELSE us // 1000 + {LEASE * 1000} END, CASE WHEN new = 'pending' THEN us ELSE created END
+ FROM (SELECT *, CASE WHEN event = 'queued' AND (p IS NULL OR p IN ('done', 'error')) THEN 'pending' WHEN event = 'claimed' AND p = 'pending' THEN 'running' WHEN event = 'item' AND p = 'running' THEN 'running' WHEN event = 'done' AND p = 'running' THEN 'done' WHEN event = 'error' AND p IN ('pending', 'running') THEN 'error' END AS new
+  FROM (SELECT e.run_id, e.k, f.n, e.us, e.event, e.message, f.completed, f.created, f.deadline, coalesce(f.deadline < e.us // 1000, false) AS lost, CASE WHEN f.deadline < e.us // 1000 THEN f.deadline * 1000 END AS lost_at, CASE WHEN f.deadline < e.us // 1000 THEN 'error' ELSE f.status END AS p FROM f JOIN e ON e.run_id = f.run_id AND e.k = f.k + 1))),
+fin AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY k DESC) = 1),
+log AS (SELECT run_id, n, us, event, accepted, status, completed, message, created FROM f WHERE k > 0 UNION ALL SELECT run_id, n - 1, lost_at, 'lost', true, 'error', before, 'no sign of its worker', created FROM f WHERE lost
+ UNION ALL SELECT run_id, n + 1, deadline * 1000, 'lost', true, 'error', completed, 'no sign of its worker', created FROM fin WHERE deadline <= (SELECT max(us) // 1000 FROM e))"""
+
+
+@query(f"WITH {RUN_LOG} SELECT run_id, n, us, event, accepted, status, completed, message FROM log")
+def run_log(spark, sf_dir):
+    return _run_log(spark, sf_dir).select("run_id", "n", F.unix_micros("at").alias("us"), "event", "accepted", "status", "completed", "message")
+
+
+@query(f"WITH {RUN_LOG} SELECT run_id, arg_max(status, n) AS status, arg_max(completed, n) AS completed, max(n) AS n_log, CASE WHEN arg_max(status, n) = 'error' THEN arg_max(message, CASE WHEN accepted AND event IN ('error', 'lost') THEN n END) END AS message FROM log GROUP BY 1")
+def run_states(spark, sf_dir):
+    return runs.runs(_run_log(spark, sf_dir)).select("run_id", "status", "completed", "n_log", "message")
+
+
+@query(f"WITH {RUN_LOG} SELECT run_id, us FROM (SELECT run_id, arg_max(status, n) AS status, max(CASE WHEN accepted AND event = 'queued' THEN us END) AS us FROM log GROUP BY 1) WHERE status = 'pending' ORDER BY us, run_id LIMIT 1")
+def run_next(spark, sf_dir):
+    return runs.next_run(_run_log(spark, sf_dir)).select("run_id", F.unix_micros("created_at").alias("us"))
