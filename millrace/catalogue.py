@@ -198,10 +198,10 @@ def span_slice(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.span(F.col("text"), a, a + 30).alias("part"))
 
 
-@query("""SELECT doc_id, substr(text, greatest(0, 250 - 200) + 1, 200) AS before, substr(text, 251, 50) AS "match", substr(text, 301, 200) AS after, least(length(text), 500)::BIGINT AS window_end FROM documents WHERE length(text) >= 300""")
+@query("""SELECT doc_id, CASE WHEN length(text) >= 50 THEN substr(text, 51, 200) END AS before, CASE WHEN length(text) >= 250 THEN substr(text, 251, 50) END AS "match", CASE WHEN length(text) >= 300 THEN substr(text, 301, 200) END AS after, least(length(text), 500)::BIGINT AS window_end FROM documents""")
 def span_context(spark, sf_dir):
     c = text.context(F.col("text"), F.lit(250).cast("bigint"), F.lit(300).cast("bigint"))
-    return _docs(spark, sf_dir).where(F.length("text") >= 300).select("doc_id", c.alias("c")).select("doc_id", "c.before", "c.match", "c.after", "c.window_end")
+    return _docs(spark, sf_dir).select("doc_id", c.alias("c")).select("doc_id", "c.before", "c.match", "c.after", "c.window_end")
 
 
 @query(r"SELECT doc_id, CASE WHEN length(text) > 0 THEN trim(left(text, 400), E' \t\n\r\x0b\x0c') END AS snippet, trim(left(text, 240), E' \t\n\r\x0b\x0c') AS preview FROM documents")
@@ -328,7 +328,7 @@ def folded_summary(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("scope_id"), F.col("doc_id").alias("ord"), "text")
     # a stand-in for a model: what it writes is short and depends on all that it reads
     stand_in = lambda d: d.withColumn("text", F.concat(F.lit("summary "), F.left(F.sha2("text", 256), F.lit(16))))
-    return enrich.folded(stand_in(rows), 8, stand_in)
+    return enrich.folded(rows, 8, stand_in)
 
 
 # search --------------------------------------------------------------------------------------

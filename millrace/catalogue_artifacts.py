@@ -325,7 +325,9 @@ def chat_history(spark, sf_dir):
     return c.groupBy("conv_id").agg(text.ordered_text(F.col("turn"), line, "\n").alias("history"), F.count(F.lit(1)).alias("turns"))
 
 
-@query(f"WITH {WIN} SELECT chunk_id, 'done' AS status, round(sqrt(list_sum(list_transform(range(0, 8), lambda i: 1.0))), 6)::DOUBLE / round(sqrt(8.0), 6)::DOUBLE AS norm FROM named")
+@query(rf"""WITH {WIN}, cut AS (SELECT chunk_id, CASE WHEN length(text) > 1024 THEN rtrim(left(text, 1024), E' \t\n\r\x0b\x0c') ELSE text END AS t FROM named),
+v AS (SELECT chunk_id, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256(t), (2 * i + 1)::INT, 2))::INT - 127.5) AS v FROM cut)
+SELECT chunk_id, 'done' AS status, {", ".join(f"round(v[{i + 1}] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6)::DOUBLE AS e{i}" for i in range(8))} FROM v""")
 def embedded_chunks(spark, sf_dir):
     e = embedding.embed(_windows(spark, sf_dir), embedding.toy_client)
-    return e.select("chunk_id", "status", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+    return e.select("chunk_id", "status", *[F.round(F.get("embedding", F.lit(i)), 6).alias(f"e{i}") for i in range(8)])

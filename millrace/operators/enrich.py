@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import SPACE, keyword_tokens, light_clean, ordered_text, strip
+from millrace.operators.ranks import placed
 from millrace.session import materialize
 
 #: fixed values: words that are no keywords
@@ -129,9 +132,10 @@ def inventory_sentence(tree: DataFrame, name: str) -> DataFrame:
 def folded(texts: DataFrame, group: int, combine: Callable[[DataFrame], DataFrame] | None = None, key: str = "scope_id", order: str = "ord") -> DataFrame:
     """Fold the texts of each key, `group` neighbours at a time, until one is left: ceil(log n) rounds.
 
-    combine maps (key, ord, text) rows of one round to shorter ones, such as a model's summaries.
+    combine maps (key, ord, text) rows of one round to shorter ones, such as a model's summaries. No task
+    orders a whole key; a round joins the texts of `group` neighbours.
     """
-    rows = texts.select(key, F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("ord"), "text")
+    rows = placed(texts.select(key, order, "text"), [key], [order]).select(key, F.col("rank").alias("ord"), "text")
     most = rows.groupBy(key).agg(F.max("ord").alias("n")).agg(F.max("n")).first()[0] or 0
     while most > 1:
         rows = rows.groupBy(key, F.floor((F.col("ord") - 1) / group).cast("int").alias("g")).agg(ordered_text(F.col("ord"), F.col("text")).alias("text")).select(key, (F.col("g") + 1).alias("ord"), "text")
@@ -140,31 +144,40 @@ def folded(texts: DataFrame, group: int, combine: Callable[[DataFrame], DataFram
     return rows.select(key, "text")
 
 
-def _filled(pieces: list[str], between: str, target: int, most: int) -> Iterator[str]:
-    """Neighbours joined while they fit the target; what is longer than most is cut there."""
-    held = ""
-    for piece in pieces:
-        joined = held + between + piece if held else piece
-        if held and len(joined) > target:
-            yield held.strip()
-            joined = piece
-        held = joined
-        while len(held) > most:
-            yield held[:most].strip()
-            held = held[most:].strip()
-    if held.strip():
-        yield held.strip()
+#: fixed values: where texts are cut, strongest first
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def cut_places(text: str, between: str, target: int, most: int) -> list[tuple[int, int]]:
+    """Start and end of the parts of a text: each ends at the last separator within target, or at the first one after it, and none is longer than most."""
+    stops = [m.start() for m in re.finditer(re.escape(between), text)] + [len(text)]
+    spans, start = [], 0
+    while start < len(text):
+        while text.startswith(between, start):
+            start += len(between)
+        within = bisect_right(stops, start + target) - 1
+        end = stops[max(within, bisect_right(stops, start))] if start < len(text) else start
+        if end - start > most:
+            # no separator in reach: the part is cut where it is full, and what is left begins at its next word
+            end = start + most
+            follow = len(text) - len(text[end:].lstrip())
+        else:
+            follow = end + len(between)
+        spans.append((start, end))
+        start = follow
+    return spans
 
 
 def split_to_fit(text: str, target: int, most: int) -> list[str]:
-    """Parts of at most `most` characters, packed up to `target`, cut at the strongest separator that yields more than one part."""
+    """Parts of at most `most` characters, filled up to `target`, cut at the strongest separator that yields more than one part."""
     text = text.strip()
     if len(text) <= most:
         return [text] if text else []
-    for between in ("\n\n", "\n", ". ", " "):
-        parts = list(_filled(text.split(between), between, target, most)) if between in text else []
-        if len(parts) > 1:
-            return [x for p in parts for x in (split_to_fit(p, target, most) if len(p) > most else [p])]
+    for between in SEPARATORS:
+        if between in text:
+            parts = [part for a, b in cut_places(text, between, target, most) if (part := text[a:b].strip())]
+            if len(parts) > 1:
+                return parts
     return [text[i : i + most].strip() for i in range(0, len(text), most)]
 
 
