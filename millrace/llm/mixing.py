@@ -21,6 +21,8 @@ SHARE = 1.5
 MOST_COPIES = 2.0
 #: fractions that meet in one bucket, on average
 BUCKET = 32
+#: equal rows that are written out by one task
+PIECE = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,18 +83,32 @@ def _meet(seed: int, level: int) -> Column:
     return F.aggregate(F.array_sort("items"), start, step)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows and number: equal rows have different ones, from 1.
+
+    Rows are counted by what they hold, which is added up before it is shuffled, and written out again as often as
+    they came, in pieces: however many are equal, no task gets them all.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = counted.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"), F.lit(PIECE).cast("bigint"))))
+    # a row is one piece; those of many equal rows are dealt out
+    dealt = pieces.repartition(*names, "_first")
+    return dealt.select(*names, F.explode(F.sequence("_first", F.least(F.col("_n"), F.col("_first") + PIECE - 1))).alias("number"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row of docs.
 
     size is the number of words of the text (null: 0); taken = copies * size. Copies are floor or
     ceiling of the source's target over its size, so never more than `most` where that is whole.
-    Rows with the same doc_id are told apart by their place among the rows of that id ordered by
-    text hash; equal rows may swap places without any change to the result. Documents of size 0 get
+    Equal rows are told apart by numbers, which they may swap without any change to the result; other rows
+    that share a doc_id differ by text hash or source. Documents of size 0 get
     the whole copies of their source. The same rows always give the same result.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("mark"))
-    own = materialize(own, "sizes")
+    own = materialize(numbered(own), "sizes")
     sources = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     counts = sources.select("source", "source_docs")
     targets = source_targets(sources.select("source", "source_size"), weights, share, most).join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
@@ -103,9 +119,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rows = own.join(keyed, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("x", F.col("size") * (ratio - F.col("whole")))
-    twin = Window.partitionBy("doc_id", "mark", "size").orderBy("source")
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "mark", F.row_number().over(twin)))
-    rows = materialize(rows, "fractions")
+    rows = materialize(rows.withColumn("row", F.xxhash64("doc_id", "mark", "source", "number")), "fractions")
 
     open_ = rows.where((F.col("x") > 0) & (F.col("x") < F.col("size"))).select("source", "source_docs", "row", "size", "x")
     done, width, level = [], BUCKET, 0
@@ -114,20 +128,22 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         buckets = F.lit(0) if last else F.pmod(F.xxhash64(F.lit(seed), "row"), F.greatest(F.lit(1), F.ceil(F.col("source_docs") / width)))
         met = open_.groupBy("source", "source_docs", buckets.alias("bucket")).agg(F.collect_list(F.struct("row", "size", "x")).alias("items"))
         met = materialize(met.select("source", "source_docs", _meet(seed, level).alias("m")), "met")
-        done.append(met.select(F.explode("m.done").alias("d")).select("d.row", "d.x", "d.size"))
+        done.append(met.select("source", F.explode("m.done").alias("d")).select("source", "d.row", "d.x", "d.size"))
         left = met.select("source", "source_docs", "m.open.row", "m.open.size", "m.open.x")
         ended = (F.col("x") <= 0) | (F.col("x") >= F.col("size"))
         if last:
-            done.append(left.select("row", F.when(F.col("x") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("double").alias("x"), "size"))
+            done.append(left.select("source", "row", F.when(F.col("x") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("double").alias("x"), "size"))
             break
-        done.append(left.where(ended).select("row", "x", "size"))
+        done.append(left.where(ended).select("source", "row", "x", "size"))
         open_ = left.where(~ended)
         width *= BUCKET
         level += 1
     chosen = done[0]
     for d in done[1:]:
         chosen = chosen.unionByName(d)
-    extra = chosen.where(F.col("x") * 2 >= F.col("size")).select("row", F.lit(1).alias("extra"))
-    return rows.join(extra, "row", "left").select(
+    # two rows of one hash in a source would also have to be of one size to be taken for each other
+    extra = chosen.where(F.col("x") * 2 >= F.col("size")).groupBy(F.col("row").alias("_row"), F.col("size").alias("_size"), F.col("source").alias("_source")).agg(F.lit(1).alias("extra"))
+    same = (F.col("row") == F.col("_row")) & (F.col("size") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
+    return rows.join(extra, same, "left").select(
         "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("bigint").alias("copies"), ((F.col("whole") + F.coalesce("extra", F.lit(0))) * F.col("size")).cast("bigint").alias("taken"), "source", "mark"
     )

@@ -374,9 +374,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     # n-grams of the groups' prefixes that more than one group has
     groups = _entries(docs, n, percent, frequent, True).where("doc_id IS NOT NULL AND size > 0").groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     tokens = groups.select("group", "size", F.posexplode("prefix").alias("place", "token"))
-    # the place tells which are the frequent ones at the end; their count is not what orders them
-    shared = tokens.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    shared = materialize(shared.select("group", "size", "token", "n"), "shared-ngrams")
+    tokens = materialize(tokens.select("group", "size", "token"), "prefix-ngrams")
+    # counted before they are shuffled; the join back is one that adaptive execution may split
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(tokens.join(often, "token").select("group", "size", "token", "n"), "shared-ngrams")
     length = lambda size: size - F.floor((size * percent + 99) / 100) + 1
     extra = lambda size: F.floor((length(size) - 1) / 2)
     # a partner may be smaller, so its prefix promises less: drop what the smallest one allows

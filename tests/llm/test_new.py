@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import queries, runs, simhash, whitening
+from millrace.llm import mixing, queries, runs, simhash, whitening
 from tests.llm.test_llm import KIND, ROWS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -236,3 +236,37 @@ def test_cells_of_linked_fingerprints_meet(spark):
 def test_forest_of_dense_tiles():
     a = np.arange(300, dtype=np.uint64)
     assert simhash.forest(600, ((i, j + 300) for i, j in simhash.close_pairs(a, a, 9))).max() == 0
+
+
+# hot groups of earlier operators ---------------------------------------------------------------
+
+
+def test_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 64)
+    rows = [(None, "a", "one text")] * 1000 + [(1, None, "one text")] * 3 + [(1, "a", "one text"), (2, "b", None)]
+    got = mixing.numbered(spark.createDataFrame(rows, "doc_id bigint, source string, mark string").repartition(4)).collect()
+    want = {}
+    for r in rows:
+        want[r] = want.get(r, 0) + 1
+    assert sorted((r.doc_id is None, str(r.doc_id), str(r.source), r.number) for r in got) == sorted((k[0] is None, str(k[0]), str(k[1]), i) for k, n in want.items() for i in range(1, n + 1))
+    assert mixing.numbered(spark.createDataFrame([], "doc_id bigint, source string")).count() == 0
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from pyspark.sql import functions as F
+
+        spread = mixing.numbered(spark.createDataFrame(rows, "doc_id bigint, source string, mark string")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(r["count"] for r in spread) < 700
+
+
+def test_mixing_many_equal_rows(spark):
+    text = " ".join(["word"] * 10)
+    table = spark.createDataFrame([(None, text, "a")] * 400 + [(i, text + " x" * (i % 5), "b") for i in range(300)], "doc_id bigint, text string, source string").repartition(4)
+    a, b = (sorted(map(tuple, mixing.mix_sources(t).select("doc_id", "source", "size", "target", "taken").collect()), key=repr) for t in (table, table.repartition(7)))
+    assert a == b
+    assert len(a) == 700
+    for source in "ab":
+        taken, target = sum(r[4] for r in a if r[1] == source), next(r[3] for r in a if r[1] == source)
+        assert abs(taken - target) <= 7
