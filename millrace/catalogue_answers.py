@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.catalogue import SEG, WIN, _docs, _index, _t, query
-from millrace.operators import contract, enrich, grams, pages
+from millrace.catalogue import FOLDERS, SEG, WIN, _docs, _index, _objects, _t, query
+from millrace.operators import catalog, contract, enrich, grams, manifests, pages
 from millrace.operators.scopes import Scope
 from millrace.plans import batch
 from millrace.plans.store import CorpusStore
 from millrace.session import shared_dir
+from millrace.sources import bundles
 
 # pages -------------------------------------------------------------------------------------------
 
@@ -131,3 +132,40 @@ QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(hit.score, 9)
 def questions_with_fallback(spark, sf_dir):
     found = batch.search_with_fallback(_index(spark, sf_dir), _questions(spark, sf_dir), Scope("folder", "src1/de"), Scope(), 3)
     return found.select("question_id", "chunk_id", F.round("score", 6).alias("score"), "used")
+
+
+# manifests and records ---------------------------------------------------------------------------
+
+MANIFESTS = f"""{FOLDERS}, ids AS (SELECT path, CASE WHEN contains(path, 'src1') THEN 'known-' || path ELSE 'folder-' || left(sha256(path), 12) END AS folder_id FROM allp),
+d AS (SELECT source || '/' || lang AS path, file_id AS id, source_relpath AS item, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY lower('doc-' || doc_id || '.txt'), source_relpath, file_id) AS r FROM objects),
+s AS (SELECT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS path, folder_id AS id, path AS item, row_number() OVER (PARTITION BY CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END ORDER BY lower(string_split(path, '/')[-1]), path) AS r FROM ids WHERE path <> '')"""
+
+
+def _dated(spark, sf_dir):
+    o = _objects(spark, sf_dir)
+    known = catalog.folder_tree(o).where(F.contains("path", F.lit("src1"))).select("path", F.concat(F.lit("known-"), F.col("path")).alias("folder_id"))
+    return o.withColumn("mtime_utc", F.timestamp_seconds(F.col("doc_id") * 60)), known
+
+
+@query(f"""WITH {MANIFESTS}, p AS (SELECT path, 'docs' AS part, id, item, r FROM d UNION ALL SELECT path, 'subfolders', id, item, r FROM s)
+SELECT folder_id, path AS path_hint, part, (r - 1) // 20 AS page, string_agg(id || ' ' || item, ',' ORDER BY r) AS items FROM p JOIN ids USING (path) GROUP BY 1, 2, 3, 4""")
+def folder_manifests(spark, sf_dir):
+    found = manifests.folder_pages(*_dated(spark, sf_dir), 20)
+    return found.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat_ws(" ", x["id"], x["path"])), ","))
+
+
+@query(f"""WITH {MANIFESTS}, f AS (SELECT path, strftime(make_timestamp(max(doc_id) * 60000000), '%Y-%m-%d %H:%M') AS latest, string_agg(id, ',' ORDER BY r) FILTER (r <= 3) AS first FROM d GROUP BY 1)
+SELECT folder_id, path AS path_hint, coalesce(file_count, 0)::BIGINT AS file_count, coalesce(n, 0)::BIGINT AS subfolder_count, coalesce(total_bytes, 0)::BIGINT AS total_bytes, latest AS latest_mtime_utc, first AS recommended_file_ids FROM ids LEFT JOIN direct USING (path) LEFT JOIN kids USING (path) LEFT JOIN f USING (path)""")
+def folder_figures(spark, sf_dir):
+    found = manifests.folder_figures(*_dated(spark, sf_dir))
+    return found.withColumn("latest_mtime_utc", F.date_format("latest_mtime_utc", "yyyy-MM-dd HH:mm")).withColumn("recommended_file_ids", F.array_join("recommended_file_ids", ","))
+
+
+@query(r"""WITH a AS (SELECT doc_id, doc_id % 4 AS m, trim('It says: ' || text, E' \t\n\r\x0b\x0c') AS t FROM documents)
+SELECT doc_id, CASE WHEN m < 2 THEN 'text ' || doc_id WHEN m = 2 THEN trim(left(t, 300), E' \t\n\r\x0b\x0c') END AS synthesis, CASE WHEN m = 0 THEN 'report' WHEN m = 1 THEN 'letter' WHEN m = 2 THEN 'unknown' END AS doc_type, CASE WHEN m < 2 THEN 'high' WHEN m = 2 THEN 'low' END AS quality, sha256(CASE WHEN m < 2 THEN 'about ' || doc_id WHEN m = 2 THEN t END) AS description, m = 2 AS fallback FROM a""")
+def answer_records(spark, sf_dir):
+    k = F.col("doc_id").cast("string")
+    toml = lambda kind: F.concat(F.lit('[synthesis]\nsynthesis = "text '), k, F.lit(f'"\ndoc_type = "{kind}"\nquality = "high"\n[details]\ndescription = "about '), k, F.lit('"\n'))
+    m = F.col("doc_id") % 4
+    raw = F.when(m == 0, toml("report")).when(m == 1, F.concat(F.lit("```toml\n"), toml("letter"), F.lit("```"))).when(m == 2, F.concat(F.lit("It says: "), F.col("text")))
+    return bundles.answers_as_records(_docs(spark, sf_dir).select("doc_id", raw.alias("raw")), "doc_id").withColumn("description", F.sha2("description", 256))
