@@ -33,7 +33,7 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from millrace import catalogue_answers, catalogue_artifacts, catalogue_store  # noqa: F401  (they register their queries)
+    from millrace import catalogue_answers, catalogue_artifacts, catalogue_records, catalogue_store  # noqa: F401  (they register their queries)
 
     return dict(_QUERIES)
 

@@ -15,7 +15,7 @@ def route_problems(routes: DataFrame, extractors: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy(F.lit(0)).orderBy("ord")
     lowered = F.transform(F.filter("extensions", lambda e: strip(e) != ""), lambda e: F.lower(strip(e)))
-    r = routes.join(extractors.select(F.col("id").alias("extractor"), "enabled"), "extractor", "left").withColumn("exts", F.coalesce(lowered, F.array().cast("array<string>")))
+    r = routes.join(extractors.select(F.col("id").alias("extractor"), F.coalesce("enabled", F.lit(False)).alias("enabled")), "extractor", "left").withColumn("exts", F.coalesce(lowered, F.array().cast("array<string>")))
     r = r.withColumn("_all", F.array_contains("exts", "*")).withColumn("_named", F.coalesce("name", F.lit("")) != "")
     r = r.withColumn("_twin", F.row_number().over(Window.partitionBy("name").orderBy("ord")) > 1)
     r = r.withColumn("_all_before", F.coalesce(F.max(F.col("_all").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1).withColumn("_last", F.lead("ord").over(order).isNull())
