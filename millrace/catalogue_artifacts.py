@@ -61,10 +61,10 @@ def point_lookups(spark, sf_dir):
     b = _t(spark, sf_dir, "benchmark").select("item_id")
     known = o.select(F.col("doc_id").alias("item_id"), "source_relpath")
     typed = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" /"), F.replace("source_relpath", F.lit("/"), F.lit("\\"))))
-    asked = b.join(known, "item_id", "left").select("item_id", paths.normalize(typed).alias("p"), F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("top"))
-    first = catalog.first_seen(o.select(F.col("source_relpath").alias("p"), F.col("file_id").alias("by_path")), ["p"], ["by_path"])
+    asked = b.join(known, "item_id", "left").select("item_id", typed.alias("p"), F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("top"))
+    asked = catalog.found_by_path(asked, o, "p").withColumnRenamed("file_id", "by_path")
     n = o.groupBy(F.element_at(F.split("source_relpath", "/"), 1).alias("top")).agg(F.count(F.lit(1)).alias("beside"))
-    return asked.join(first, "p", "left").join(n, "top", "left").select("item_id", "by_path", F.coalesce("beside", F.lit(0)).alias("beside"))
+    return asked.join(n, "top", "left").select("item_id", "by_path", F.coalesce("beside", F.lit(0)).alias("beside"))
 
 
 @query(f"""WITH {FOLDERS}, done AS (SELECT DISTINCT doc_id FROM labels), e AS (SELECT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS path, 0 AS is_file, string_split(path, '/')[-1] AS name, NULL::BOOLEAN AS processed FROM allp WHERE path <> ''
@@ -72,12 +72,9 @@ UNION ALL SELECT source || '/' || lang, 1, 'doc-' || o.doc_id || '.txt', done.do
 SELECT path, is_file, name, processed, row_number() OVER (PARTITION BY path ORDER BY is_file, lower(name), name) AS rank FROM e WHERE contains(lower(name), 'c-1') OR is_file = 0""")
 def folder_listing(spark, sf_dir):
     o = _objects(spark, sf_dir)
-    done = _t(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_d", F.lit(True))
-    p = F.col("source_relpath")
-    files = o.join(done, "doc_id", "left").select(paths.parent(p).alias("path"), F.lit(1).alias("is_file"), paths.basename(p).alias("name"), F.coalesce("_d", F.lit(False)).alias("processed"))
-    kids = catalog.folder_tree(o).where("path <> ''").select(F.col("parent_path").alias("path"), F.lit(0).alias("is_file"), paths.basename(F.col("path")).alias("name"), F.lit(None).cast("boolean").alias("processed"))
-    rows = files.where(F.lower("name").contains("c-1")).unionByName(kids).withColumn("_o", F.concat(F.col("is_file").cast("string"), F.lower("name")))
-    return overviews.paged(rows, ["path"], ["_o", "name"]).select("path", "is_file", "name", "processed", "rank")
+    done = _t(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("processed", F.lit(True))
+    rows = catalog.folder_listing(o.join(done, "doc_id", "left"), "C-1")
+    return overviews.paged(rows, ["path"], ["sort", "name"]).select("path", "is_file", "name", "processed", "rank")
 
 
 @query(f"WITH {WIN} SELECT file_id, 'window' AS chunk_method, count(*) AS n_chunks, count_if(length(text) > 1024) AS n_truncated FROM named GROUP BY 1")
@@ -97,8 +94,7 @@ SELECT name, CASE WHEN up IS NULL OR up = 99 THEN 'root' ELSE 'child' END AS pla
 def orphan_roots(spark, sf_dir):
     k = F.col("n_nationkey")
     n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), k.alias("id"), F.when(k % 6 == 0, None).when(k % 6 == 1, 99).otherwise(k - k % 6).alias("up"))
-    ups = n.select(F.col("id").alias("up"), F.lit(True).alias("_k"))
-    return n.join(ups, "up", "left").select("name", F.when(F.col("_k").isNull(), "root").otherwise("child").alias("place"))
+    return catalog.top_nodes(n, "id", "up").select("name", F.when(F.col("is_top"), "root").otherwise("child").alias("place"))
 
 
 @query("""WITH u AS (SELECT 'http://' || lower(r_name) || '/' AS url, r_regionkey AS ord, 'env' AS origin FROM region UNION ALL SELECT 'http://' || lower(r_name), 100 + n_nationkey, 'registry' FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'http://' || lower(n_name) || '//', 200 + n_nationkey, 'registry' FROM nation WHERE n_nationkey % 2 = 0),
@@ -106,11 +102,10 @@ c AS (SELECT rtrim(url, '/') AS url, ord, origin FROM u) SELECT url, min(ord) AS
 def merged_registries(spark, sf_dir):
     r, n = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
     url = lambda c, end="": F.concat(F.lit("http://"), F.lower(c), F.lit(end))
-    env = r.select(url("r_name", "/").alias("url"), F.col("r_regionkey").cast("bigint").alias("ord"), F.lit("env").alias("origin"))
-    known = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(url("r_name").alias("url"), (F.col("n_nationkey") + 100).cast("bigint").alias("ord"), F.lit("registry").alias("origin"))
-    own = n.where("n_nationkey % 2 = 0").select(url("n_name", "//").alias("url"), (F.col("n_nationkey") + 200).cast("bigint").alias("ord"), F.lit("registry").alias("origin"))
-    rows = env.unionByName(known).unionByName(own).withColumn("url", F.rtrim("url", F.lit("/")))
-    return catalog.first_seen(rows, ["url"], ["ord"])
+    env = r.select(url("r_name", "/").alias("url"), F.col("r_regionkey").alias("ord"))
+    known = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(url("r_name").alias("url"), (F.col("n_nationkey") + 100).alias("ord"), F.lit(None).cast("boolean").alias("enabled"))
+    own = n.select(url("n_name", "//").alias("url"), (F.col("n_nationkey") + 200).alias("ord"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    return catalog.merged_registry([("env", env), ("registry", known.unionByName(own))])
 
 
 # scopes ---------------------------------------------------------------------------------------
@@ -144,7 +139,7 @@ def scope_member_texts(spark, sf_dir):
     o, members = _scoped(spark, sf_dir)
     one = catalog.first_seen(o, ["file_id"], ["doc_id"])
     edited = one.where("doc_id % 10 = 0").select("file_id", F.concat(F.lit("edited "), F.col("text")).alias("text"))
-    return members.select("scope", "file_id").join(enrich.preferred_texts(one, edited, "file_id"), "file_id").select("scope", "file_id", "representation", "text")
+    return scopes.member_texts(members.select("scope", "file_id"), enrich.preferred_texts(one, edited, "file_id")).select("scope", "file_id", "representation", "text")
 
 
 # variants -------------------------------------------------------------------------------------

@@ -48,6 +48,47 @@ def with_folder_ids(tree: DataFrame, registry: DataFrame | None = None) -> DataF
     return tree.join(registry.select("path", F.col("folder_id").alias("_known")), "path", "left").withColumn("folder_id", F.coalesce("_known", own)).drop("_known")
 
 
+def found_by_path(asked: DataFrame, objects: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of asked with file_id: the object at a typed path (back slashes, blanks and slashes around it don't count), null where none is."""
+    known = first_seen(objects.select(F.col("source_relpath").alias("_path"), "file_id"), ["_path"], ["file_id"])
+    return asked.withColumn("_path", paths.normalize(F.col(path))).join(known, "_path", "left").drop("_path")
+
+
+def folder_listing(objects: DataFrame, search: str = "") -> DataFrame:
+    """path, is_file, name, processed, and sort: what a folder shows, subfolders before files, by name whatever its case.
+
+    objects holds source_relpath and processed. search keeps the files whose name has it; subfolders are always shown.
+    sort is the order in a folder, for overviews.paged.
+    """
+    p = F.col("source_relpath")
+    files = objects.select(paths.parent(p).alias("path"), F.lit(1).alias("is_file"), paths.basename(p).alias("name"), F.coalesce("processed", F.lit(False)).alias("processed"))
+    files = files.where(F.contains(F.lower("name"), F.lower(F.lit(search))))
+    parent = objects.select(paths.parent(p).alias("path")).distinct()
+    every = parent.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct().where("path <> ''")
+    kids = every.select(paths.parent(F.col("path")).alias("path"), F.lit(0).alias("is_file"), paths.basename(F.col("path")).alias("name"), F.lit(None).cast("boolean").alias("processed"))
+    return files.unionByName(kids).withColumn("sort", F.concat(F.col("is_file").cast("string"), F.lower("name")))
+
+
+def top_nodes(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """The rows of nodes and is_top: without a parent, or with one that isn't among them (an orphan is shown at the top)."""
+    known = nodes.select(F.col(node).alias("_parent")).distinct().withColumn("_known", F.lit(True))
+    return nodes.join(known, F.col(parent) == F.col("_parent"), "left").withColumn("is_top", F.col("_known").isNull()).drop("_parent", "_known")
+
+
+def merged_registry(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """url, ord, origin of the services of several registries (url, ord, and enabled if it has one), the first registry first.
+
+    Slashes at the end of a url don't count; of the same url the first registry's least ord holds. Entries that aren't
+    enabled are left out; a null or missing flag is enabled.
+    """
+    out = None
+    for i, (origin, rows) in enumerate(sources):
+        on = rows.where(F.coalesce("enabled", F.lit(True))) if "enabled" in rows.columns else rows
+        part = on.select(F.rtrim("url", F.lit("/")).alias("url"), F.col("ord").cast("bigint").alias("ord"), F.lit(origin).alias("origin"), F.lit(i).alias("_i"))
+        out = part if out is None else out.unionByName(part)
+    return first_seen(out, ["url"], ["_i", "ord"]).drop("_i")
+
+
 def breadcrumbs(tree: DataFrame) -> DataFrame:
     """path, position, crumb: every ancestor of every folder, from the root."""
     return tree.select("path", F.posexplode(paths.ancestors(F.col("path"))).alias("position", "crumb"))

@@ -63,3 +63,13 @@ def scope_members(objects: DataFrame, scope: Scope, members: DataFrame | None =
 def scope_texts(objects: DataFrame, scope: Scope, members: DataFrame | None = None) -> DataFrame:
     """n_members and total_chars of a scope: one row."""
     return in_scope(objects, scope, members).agg(F.count(F.lit(1)).alias("n_members"), F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)).alias("total_chars"))
+
+
+def member_texts(members: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The members of scopes (file_id and what names their scope) with representation and text; members without a text are left out."""
+    return members.join(preferred.select("file_id", "representation", "text"), "file_id")
+
+
+def total_chars(texts: DataFrame, scope: str = "scope") -> DataFrame:
+    """scope, n_texts, total_chars of the texts of members."""
+    return texts.groupBy(scope).agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text").cast("bigint")).alias("total_chars"))
