@@ -19,6 +19,7 @@ def scored_many(index: Index, questions: DataFrame, question: str = "question_id
     Terms are joined with postings and added up by question and chunk. A term of very many chunks that very many
     questions ask for is a skewed join, which adaptive execution splits on both sides.
     """
+    index = index.pinned()
     asked = questions.select(question, F.explode(search_tokens(F.col("text"))).alias("term")).groupBy(question, "term").agg(F.count(F.lit(1)).alias("_times"))
     asked = materialize(asked, "question-terms")
     postings = index.postings().select("term", "chunk_id", "file_id", "source_relpath", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi")
@@ -37,6 +38,7 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 10, scope: Scop
     before they are shuffled, so no task sees all hits of one. Questions without hits have no rows; equal
     question ids are one question.
     """
+    index = index.pinned()
     found = in_scope(scored_many(index, questions, question), scope or Scope(), members)
     place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id"))
     hits = found.withColumn("rank", place).where(F.col("rank") <= top_k)
@@ -49,6 +51,7 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 10, scope: Scop
 
 def search_with_fallback(index: Index, questions: DataFrame, preferred: Scope, fallback: Scope, top_k: int = 10, members: DataFrame | None = None, question: str = "question_id", texts: bool = True) -> DataFrame:
     """The hits of search_many in the preferred scope, and in the fallback scope for questions that have none there; used says which."""
+    index = index.pinned()
     first = search_many(index, questions, top_k, preferred, members, question, texts=False)
     first = materialize(first, "preferred-hits")
     left = questions.join(first.select(question).distinct(), question, "left_anti")

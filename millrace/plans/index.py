@@ -10,7 +10,7 @@ before or after an update.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,21 @@ class Index:
     spark: SparkSession
     path: str
     shards: int = 16
+    #: what pinned() has read
+    view: tuple[DataFrame, list] | None = field(default=None, compare=False, repr=False)
+
+    def pinned(self) -> Index:
+        """The index as it is now: whatever is read from it belongs to one version, whose list is read once."""
+        return self if self.view else replace(self, view=self._view())
+
+    def _view(self) -> tuple[DataFrame, list]:
+        """The log, and a row for each part and one for all dead objects together."""
+        if self.view:
+            return self.view
+        log = self.log.read()
+        part = F.when(F.col("what") == "part", F.col("id"))
+        rows = log.groupBy("what", part.alias("id")).agg(F.max("seq").alias("seq"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.first("vectors").alias("vectors")).collect()
+        return log, rows
 
     @property
     def log(self) -> SnapshotTable:
@@ -38,20 +53,23 @@ class Index:
 
     def parts(self) -> list[tuple[str, int, bool, int]]:
         """Folder, place, whether it has vectors and how many chunks, of each part: a few rows."""
-        return [(r["id"], r["seq"], r["vectors"], r["n"]) for r in self.log.read().where("what = 'part'").orderBy("seq").collect()]
+        return sorted(((r["id"], r["seq"], r["vectors"], r["n"]) for r in self._view()[1] if r["what"] == "part"), key=lambda p: p[1])
 
     def dead(self) -> DataFrame:
         """file_id, before: the parts before this place hold an old version of the file."""
-        return self.log.read().where("what = 'dead'").select(F.col("id").alias("file_id"), F.col("seq").alias("before"))
+        return self._view()[0].where("what = 'dead'").select(F.col("id").alias("file_id"), F.col("seq").alias("before"))
 
     def stats(self) -> tuple[int, float | None]:
         """How many live chunks there are, and their mean length in tokens."""
-        sign = F.when(F.col("what") == "part", 1).otherwise(-1)
-        r = self.log.read().agg(F.sum(sign * F.col("n")).alias("n"), F.sum(sign * F.col("total")).alias("total")).first()
-        return (r["n"], r["total"] / r["n"]) if r["n"] else (0, None)
+        sign = lambda r: 1 if r["what"] == "part" else -1
+        rows = self._view()[1]
+        n, total = sum(sign(r) * r["n"] for r in rows), sum(sign(r) * r["total"] for r in rows)
+        return (n, total / n) if n else (0, None)
 
     def _live(self, what: str, only: list[str] | None = None) -> DataFrame | None:
         """The live rows of chunks, about, postings or vectors over all parts."""
+        if not self.view:
+            return self.pinned()._live(what)
         parts = [p for p in self.parts() if what != "vectors" or p[2]]
         if not parts:
             return None
@@ -63,7 +81,7 @@ class Index:
         frames = [self.spark.read.parquet(f"{self.path}/parts/{name}/{what}").withColumn("_seq", F.lit(seq)) for name, seq, _, _ in parts]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
         if len(parts) == 1:
-            return rows.drop("_seq") if self.log.read().where("what = 'dead'").isEmpty() else self._without_dead(rows)
+            return self._without_dead(rows) if any(r["what"] == "dead" for r in self.view[1]) else rows.drop("_seq")
         return self._without_dead(rows)
 
     def _without_dead(self, rows: DataFrame) -> DataFrame:
@@ -93,7 +111,8 @@ class Index:
 
     def scored(self, query: str) -> DataFrame:
         """chunk_id, the columns that postings carry and the BM25 score of every live chunk that has a term of the query."""
-        return scored(self.postings(), query, *self.stats())
+        now = self.pinned()
+        return scored(now.postings(), query, *now.stats())
 
     # writing -----------------------------------------------------------------------------------
 

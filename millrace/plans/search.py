@@ -58,6 +58,8 @@ def search(source: DataFrame | Index, query: str, mode: str = "lexical", top_k:
     if mode not in MODES:
         raise ValueError(f"unknown search mode {mode!r}")
     indexed = isinstance(source, Index)
+    # one search sees one version of an index
+    source = source.pinned() if indexed else source
     if query_vector is None or (vectors is None and not indexed):
         mode = "lexical"
     scope = scope or Scope()

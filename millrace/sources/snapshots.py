@@ -63,25 +63,30 @@ class SnapshotTable:
             rows = _semi(rows, scopes, self.scope, "left_semi")
         return rows if only is None else rows.where(only)
 
-    def _listed(self) -> DataFrame:
+    def _found(self) -> DataFrame:
+        """What all commits have listed; empty before the first."""
         try:
-            found = self.spark.read.schema(f"{LISTED}, version bigint").parquet(f"{self.path}/versions")
+            return self.spark.read.schema(f"{LISTED}, version bigint").parquet(f"{self.path}/versions")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e.getCondition() or e):
                 raise
-            found = self.spark.createDataFrame([], f"{LISTED}, version bigint")
+            return self.spark.createDataFrame([], f"{LISTED}, version bigint")
+
+    def _listed(self) -> DataFrame:
+        found = self._found()
         # of two commits that made the same version, the one with the least name holds
         first = found.groupBy("version").agg(F.min("commit").alias("_c"))
         return found.join(F.broadcast(first), "version").where("commit = _c").drop("_c")
 
     def _list(self, version: int | None) -> tuple[int, dict[int, str], StructType | None]:
         """At most a row for each bucket comes to the driver."""
-        listed = self._listed()
-        if version is None:
-            version = listed.agg(F.max("version")).first()[0] or 0
-        elif listed.where(F.col("version") == version).isEmpty():
+        found = self._found()
+        newest = found.agg(F.max("version")).first()[0] or 0 if version is None else version
+        rows = found.where(F.col("version") == newest).collect()
+        if version is not None and not rows:
             raise ValueError(f"{self.path} has no version {version}")
-        rows = listed.where(F.col("version") == version).collect()
+        version, holds = newest, min((r["commit"] for r in rows), default=None)
+        rows = [r for r in rows if r["commit"] == holds]
         schema = StructType.fromJson(json.loads(rows[0]["schema"])) if rows else None
         return version, {r["bucket"]: r["folder"] for r in rows if r["folder"]}, schema
 
