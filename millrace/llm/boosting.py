@@ -84,8 +84,8 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least probability from which on the given share of rows is right; above 1 if there is none."""
+    """The least probability of a positive row from which on the given share of rows is right; above 1 if there is none."""
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    good = np.flatnonzero((right >= precision) & np.append(p[order][1:] != p[order][:-1], True))
+    good = np.flatnonzero((right >= precision) & np.append(p[order][1:] != p[order][:-1], True) & (p[order] >= p[y == 1].min(initial=np.inf)))
     return float(p[order][good[-1]]) if len(good) else 1.1
