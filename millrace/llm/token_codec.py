@@ -25,15 +25,15 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"MRC3"
+MAGIC = b"MRC2"
 HEAD = 24
 BITS = 28
 TOTAL = 1 << BITS
 STRIPS = 4096
 STRIP_IDS = 64
-TABLE_BITS = 20
+TABLE_BITS = 18
 #: ids that follow an id, as far as order 1 remembers them
-NEXT = 4
+NEXT = 2
 MOST = 252
 #: what a count gains when its id comes, and loses when one comes that has no count
 GAIN, LOSE = 4, 1
