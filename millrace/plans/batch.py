@@ -2,44 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.functions.paths import basename
 from millrace.functions.text import search_tokens, snippet
-from millrace.operators.lexical import K1, B
+from millrace.operators.lexical import BLOCK, K1, B
 from millrace.operators.scopes import Scope, in_scope
 from millrace.plans.index import Index
 from millrace.session import materialize
 
 
-def scored_many(index: Index, questions: DataFrame, question: str = "question_id", k1: float = K1, b: float = B) -> DataFrame:
-    """question, chunk_id, file_id, source_relpath and the BM25 score of every chunk that has a term of a question (question, text).
+#: questions that one task scores at a time
+TOGETHER = 256
 
-    Terms are joined with postings and added up by question and chunk. A term of very many chunks that very many
-    questions ask for is a skewed join, which adaptive execution splits on both sides.
+
+def best_many(index: Index, questions: DataFrame, top_k: int, scope: Scope | None = None, members: DataFrame | None = None, question: str = "question_id", k1: float = K1, b: float = B) -> DataFrame:
+    """question, chunk_id, file_id, source_relpath and the BM25 score of the top_k chunks in the scope of each question (question, text) and block of the index.
+
+    The lists of a block meet the chunks that it has in the scope, and are added up there for many questions, so hits that
+    another chunk of their block beats are never rows. A block is of bounded size, and so are the questions of a task.
     """
     index = index.pinned()
     asked = questions.select(question, F.explode(search_tokens(F.col("text"))).alias("term")).groupBy(question, "term").agg(F.count(F.lit(1)).alias("_times"))
     asked = materialize(asked, "question-terms")
-    postings = index.postings().select("term", "chunk_id", "file_id", "source_relpath", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    groups = max(1, -(-asked.select(question).distinct().count() // TOGETHER))
+    lists = index.lists().join(asked.select("term").distinct(), "term", "left_semi")
+    df = index.postings().join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df")) if index.has_dead() else lists.groupBy("term").agg(F.sum(F.size("places")).alias("_df"))
     n, avgdl = index.stats()
     gain = F.ln(1.0 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) * F.col("_times")
-    weights = asked.join(df, "term").select(question, "term", gain.alias("_w"))
-    score = F.sum(F.col("_w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))))
-    return postings.join(weights, "term").groupBy(question, "chunk_id").agg(score.alias("score"), F.first("file_id").alias("file_id"), F.first("source_relpath").alias("source_relpath"))
+    asks = asked.join(df, "term").withColumn("_group", F.pmod(F.xxhash64(question), F.lit(groups))).groupBy("term", "_group").agg(F.collect_list(F.struct(F.col(question).alias("q"), gain.alias("w"))).alias("_asks"))
+    keys = ["_group", "_seq", "block"]
+    left = lists.join(asks, "term").select(*keys, "places", "tfs", "dls", F.col("_asks.q").alias("q"), F.col("_asks.w").alias("w"))
+    right = in_scope(index.numbered(), scope or Scope(), members).crossJoin(index.spark.range(groups).select(F.col("id").alias("_group")))
+    right = right.select("_group", "_seq", F.floor(F.col("_num") / BLOCK).alias("block"), (F.col("_num") % BLOCK).cast("int").alias("place"), "chunk_id", "file_id", "source_relpath")
+    mean = avgdl or 1.0
+
+    def best(lists: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        scores: dict = {}
+        for places, tfs, dls, qs, ws in zip(lists["places"], lists["tfs"], lists["dls"], lists["q"], lists["w"], strict=True):
+            part = tfs / (tfs + k1 * (1 - b + b * dls / mean))
+            for q, w in zip(qs, ws, strict=True):
+                q = None if q != q else q
+                if q not in scores:
+                    scores[q] = np.zeros(BLOCK)
+                scores[q][places] += w * part
+        out, place = [chunks.iloc[:0].assign(q=None, score=0.0)], chunks["place"].to_numpy()
+        for q, of_place in scores.items():
+            own = np.round(of_place[place], 9)
+            some = np.flatnonzero(of_place[place] > 0)
+            if len(some) > top_k:
+                some = some[own[some] >= np.partition(own[some], len(some) - top_k)[len(some) - top_k]]
+            few = chunks.iloc[some].assign(q=q, score=of_place[place[some]], own=-own[some])
+            out.append(few.sort_values(["own", "source_relpath", "chunk_id"]).head(top_k))
+        return pd.concat([x for x in out if len(x)] or out).rename(columns={"q": question})[[question, "chunk_id", "file_id", "source_relpath", "score"]]
+
+    kind = StructType([questions.schema[question], *[index.numbered().schema[c] for c in ("chunk_id", "file_id", "source_relpath")], StructField("score", DoubleType())])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, kind)
 
 
 def search_many(index: Index, questions: DataFrame, top_k: int = 10, scope: Scope | None = None, members: DataFrame | None = None, question: str = "question_id", texts: bool = True) -> DataFrame:
     """The top_k hits of each question, with their rank; with `texts` their text, snippet and filename.
 
-    They are those of a search for each question by itself. Each task keeps at most top_k hits of a question
-    before they are shuffled, so no task sees all hits of one. Questions without hits have no rows; equal
+    They are those of a search for each question by itself. Each block of the index leaves at most top_k hits of a
+    question, so no task sees all hits of one. Questions without hits have no rows; equal
     question ids are one question.
     """
     index = index.pinned()
-    found = in_scope(scored_many(index, questions, question), scope or Scope(), members)
+    found = best_many(index, questions, top_k, scope, members, question)
     place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id"))
     hits = found.withColumn("rank", place).where(F.col("rank") <= top_k)
     if not texts:

@@ -1,12 +1,15 @@
 """An index that follows edits against one that is built anew, and its layout."""
 
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.text import search_tokens
 from millrace.operators import chunking
 from millrace.operators.scopes import Scope
+from millrace.plans import batch
 from millrace.plans import search as plans
 from millrace.plans.index import Index
 from millrace.session import shared_dir
@@ -100,3 +103,31 @@ def test_layout(spark, where, capsys):
     assert "PartitionFilters: [shard" in plan or "PartitionFilters: [isnotnull(shard" in plan
     assert "(chunk_id,chunk-f001-000001)" in plan.replace(" ", "") or "In(chunk_id" in plan
     assert Index(spark, where, 8).by_ids([]).count() == 0
+
+
+def test_postings_hold_numbers_alone(spark, where):
+    """What a build writes grows with the texts: postings don't repeat what is known of their chunks, and nothing is shuffled."""
+    own = chunks_of(spark, [(f"{i:02d}" * 40, " ".join(f"{w}{(i * j) % 97}" for j in range(40) for w in WORDS)) for i in range(60)])
+    index = plans.build(own, where)
+    assert set(index.postings().columns) == {"term", "_seq", "_num", "tf", "dl"}
+    size = lambda what: sum(p.stat().st_size for p in Path(where.removeprefix("file:").replace("//", "/")).rglob("*.parquet") if f"/{what}/" in str(p))
+    assert 0 < size("postings") < 2 * own.agg(F.sum(F.length("text"))).first()[0]
+    counted = own.select("chunk_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    named = index.postings().join(index.numbered(), ["_seq", "_num", "dl"]).select("term", "chunk_id", "tf")
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_many_questions_by_block(spark, where):
+    """More questions than a task takes, over several parts with dead chunks: those of a search for each by itself."""
+    own = chunks_of(spark, [(f"f{i:02d}", text_of(i)) for i in range(30)])
+    index = plans.build(own, where)
+    some = chunks_of(spark, [("f03", text_of(3, 1)), ("new", text_of(99, 1))])
+    index.update(some.select("file_id"), some)
+    before, batch.TOGETHER = batch.TOGETHER, 2
+    try:
+        asked = {i: q for i, q in enumerate(("alpha only3", "v1 beta beta", "kappa iota", "nothing", ""))}
+        got = batch.search_many(index, spark.createDataFrame(list(asked.items()), "question_id bigint, text string"), 7).orderBy("question_id", "rank").collect()
+    finally:
+        batch.TOGETHER = before
+    for i, q in asked.items():
+        assert [(r["chunk_id"], round(r["score"], 9)) for r in got if r["question_id"] == i] == [h[:2] for h in found(index, q, top_k=7)]
