@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.text import search_tokens
-from millrace.operators import chunking
+from millrace.operators import chunking, enrich
 from millrace.operators.scopes import Scope
 from millrace.plans import batch
 from millrace.plans import search as plans
@@ -131,3 +131,25 @@ def test_many_questions_by_block(spark, where):
         batch.TOGETHER = before
     for i, q in asked.items():
         assert [(r["chunk_id"], round(r["score"], 9)) for r in got if r["question_id"] == i] == [h[:2] for h in found(index, q, top_k=7)]
+
+
+def test_an_update_notes_what_dies_alone(spark, where):
+    """Files that no part holds need no note, so an index filled by updates is read without a join."""
+    own = chunks_of(spark, [("a", text_of(1)), ("b", text_of(2))])
+    index = plans.build(own.limit(0), where).update(own, own)
+    assert index.dead().isEmpty() and not index.has_dead()
+    index.update(own.select("file_id").where("file_id = 'a'"), chunks_of(spark, [("a", text_of(1, 1))]))
+    assert [r["file_id"] for r in index.dead().collect()] == ["a"]
+
+
+def test_segments_and_edited_texts_shuffle_texts_once_at_most(spark, capsys):
+    texts = spark.createDataFrame([("a", "x" * 25), ("b", "y" * 10), ("c", " ")], "file_id string, text string")
+    segments = enrich.segments(texts, 10)
+    assert [tuple(r) for r in segments.select("segment_id", "char_start", "char_end").where("file_id = 'a'").orderBy("ord").collect()] == [("seg-000001", 0, 10), ("seg-000002", 12, 22), ("seg-000003", 24, 29)]
+    segments.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    edits = spark.createDataFrame([("a", "seg-000002", "new"), ("b", "seg-000001", None), ("b", "seg-000009", "unknown"), ("d", "seg-000001", "other")], "file_id string, segment_id string, new_text string")
+    edited = enrich.edited_texts(segments, edits)
+    edited.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert sorted(map(tuple, edited.collect())) == [("a", "x" * 10 + "\n\nnew\n\n" + "x" * 5), ("b", "y" * 10)]
