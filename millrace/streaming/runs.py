@@ -21,6 +21,9 @@ LOG = "run_id string, n bigint, at timestamp, event string, accepted boolean, st
 STATE = "n bigint, status string, completed bigint, created bigint, started bigint, finished bigint, message string, deadline bigint, waiting bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOST = "no sign of its worker"
+DAY_US = 86_400_000_000
+#: events of a run that are held before they are put with those that wait
+AT_ONCE = 10_000
 
 
 def after(state: dict[str, Any], event: str, at: int, message: str | None) -> tuple[dict[str, Any], bool]:
@@ -45,7 +48,10 @@ NEW = {"n": 0, "status": None, "completed": 0, "created": None, "started": None,
 
 
 class RunMachine(StatefulProcessor):
-    """Events wait in a map from their millisecond; a timer at each of these takes them out in order."""
+    """Events wait in a map from the day of their time; a timer at the first of each takes out, in order, what the watermark has passed.
+
+    Reads and writes of state are counted by days, not by events, and no more than a day of a run is held at once.
+    """
 
     def __init__(self, lease_ms: int | None):
         self.lease = lease_ms
@@ -62,17 +68,26 @@ class RunMachine(StatefulProcessor):
         self.run.update(tuple(state[c] for c in NEW))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state = self._state()
+        state, new, n = self._state(), {}, 0
         for r in rows:
-            at = r.us // 1000
-            before = self.waiting.getValue((at,))[0] if self.waiting.containsKey((at,)) else []
-            if not before:
-                self.handle.registerTimer(at)
-                state["waiting"] += 1
-            self.waiting.updateValue((at,), ([*before, (r.us, r.seq, r.event, r.message)],))
+            new.setdefault(r.us // DAY_US, []).append((r.us, r.seq, r.event, r.message))
+            n += 1
+            if n % AT_ONCE == 0:
+                self._wait(state, new)
+        self._wait(state, new)
         self._keep(state)
         return iter(())
 
+    def _wait(self, state: dict[str, Any], new: dict[int, list]) -> None:
+        for day, events in new.items():
+            before = [tuple(e) for e in self.waiting.getValue((day,))[0]] if self.waiting.containsKey((day,)) else []
+            first = min(e[0] for e in events) // 1000
+            state["waiting"] += not before
+            if not before or first < min(e[0] for e in before) // 1000:
+                self.handle.registerTimer(first)
+            self.waiting.updateValue((day,), ([*before, *events],))
+        new.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at, state, out = expiredTimerInfo.getExpiryTimeInMs(), self._state(), []
 
@@ -81,22 +96,29 @@ class RunMachine(StatefulProcessor):
             state.update(after(state, "error", when, LOST)[0], deadline=None, n=state["n"] + 1)
             out.append(self._row(key, state, when, "lost", True, LOST))
 
-        if self.waiting.containsKey((at,)):
-            events = sorted((tuple(e) for e in self.waiting.getValue((at,))[0]), key=lambda e: (e[0], e[1]))
-            self.waiting.removeKey((at,))
-            state["waiting"] -= 1
-            # timers that are set while others fire come later, so a lease that ended before is seen here
-            if state["deadline"] is not None and state["deadline"] < at:
-                lost()
-            for us, _, event, message in events:
+        day, passed = at * 1000 // DAY_US, timerValues.getCurrentWatermarkInMs()
+        events = sorted((tuple(e) for e in self.waiting.getValue((day,))[0]), key=lambda e: (e[0], e[1])) if self.waiting.containsKey((day,)) else []
+        due = [e for e in events if e[0] // 1000 <= passed]
+        # timers of a lease may come before the first event of the day: then no event is taken out
+        if due and due[0][0] // 1000 <= at:
+            if len(due) < len(events):
+                self.waiting.updateValue((day,), (events[len(due) :],))
+                self.handle.registerTimer(events[len(due)][0] // 1000)
+            else:
+                self.waiting.removeKey((day,))
+                state["waiting"] -= 1
+            for us, _, event, message in due:
+                # a lease that ended before an event is seen at it
+                if state["deadline"] is not None and state["deadline"] < us // 1000:
+                    lost()
                 new, accepted = after(state, event, us, message)
                 state.update(new, n=state["n"] + 1)
                 out.append(self._row(key, state, us, event, accepted, message))
                 if accepted:
-                    state["deadline"] = at + self.lease if self.lease is not None and state["status"] == "running" else None
+                    state["deadline"] = us // 1000 + self.lease if self.lease is not None and state["status"] == "running" else None
             if state["deadline"] is not None:
                 # with nothing left to come before it, a lease that is over already ends now
-                if not state["waiting"] and state["deadline"] <= timerValues.getCurrentWatermarkInMs():
+                if not state["waiting"] and state["deadline"] <= passed:
                     lost()
                 else:
                     self.handle.registerTimer(state["deadline"])

@@ -102,3 +102,11 @@ def test_arrivals_out_of_order(spark):
     want = plain(events, datetime.timedelta(days=9999), events[-1][1] - datetime.timedelta(minutes=15))
     assert rows(log) == want
     assert log.where(F.col("event") == "lost").isEmpty()
+
+
+def test_events_of_one_time_in_two_batches(spark):
+    """Events that wait at a time meet others of that time that arrive later."""
+    at = START + datetime.timedelta(minutes=5)
+    events = [("a", at, 2, "claimed", "m2"), ("a", at, 1, "queued", "m1"), ("a", at, 3, "item", "m3"), ("a", at + datetime.timedelta(hours=2), 4, "item", "m4")]
+    log = published(spark, [utc_events(events[:1]), utc_events(events[1:3]), utc_events(events[3:])], None, late="10 minutes")
+    assert rows(log) == plain(events[:3], datetime.timedelta(days=9999), at)
