@@ -64,6 +64,23 @@ def test_needles(spark):
     assert got == want
 
 
+def test_lists_of_grams_hold_numbers_alone(spark):
+    """What a task holds is bounded: lists name segments by numbers, block by block, and every row is found, of equal keys too."""
+    texts = [f"common {'abc' if i % 3 else 'ABD'} only{i}" for i in range(50)] + [None, "ab", "common abc"]
+    segments = spark.createDataFrame([("same", "s", t) for t in texts], "file_id string, segment_id string, text string").repartition(3)
+    path = f"{shared_dir(spark)}/grams-test-{uuid.uuid4().hex}"
+    grams.write_grams(segments, path, block=4)
+    lists = spark.read.parquet(f"{path}/postings")
+    assert lists.columns == ["gram", "block", "places"]
+    assert lists.agg(F.max(F.size("places"))).first()[0] <= 4
+    assert lists.where("gram = 'com'").agg(F.sum(F.size("places"))).first()[0] == 51
+    assert lists.groupBy("gram", "block").count().where("count > 1").isEmpty()
+    asked = spark.createDataFrame(list(enumerate(("common abc", "abd", "only7", "ab", "none"))), "needle_id int, needle string")
+    got = {r.needle_id: r["count"] for r in grams.find(spark, path, asked).groupBy("needle_id").count().collect()}
+    low = [(t or "").lower() for t in texts]
+    assert got == {i: n for i, q in enumerate(("common abc", "abd", "only7", "ab", "none")) if (n := sum(q in t for t in low))}
+
+
 @pytest.fixture(scope="module")
 def index(spark):
     return plans.build(chunks_of(spark, [(f"f{i:02d}", text_of(i)) for i in range(30)]), f"{shared_dir(spark)}/many-{uuid.uuid4().hex}", shards=4)
