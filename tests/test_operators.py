@@ -239,3 +239,12 @@ def test_embedding_retries_shortens_and_resumes(spark):
     rows = {r["chunk_id"]: r for r in embedding.embed(chunks, client, chunks.where("chunk_id = 'e'"), wait=0.0).collect()}
     assert set(rows) == {"a", "b", "c"} and rows["c"]["status"] == "no" and rows["c"]["embedding"] is None
     assert rows["a"]["embedding"] == embedding.toy_client(["fine"])[0] and rows["b"]["embedding"] == embedding.toy_client(["x" * 512])[0]
+
+
+def test_first_n_of_texts_that_are_cleaned_in_part(spark):
+    """Cuts inside runs of white space, of any kind of line end, and texts that shrink below the cut."""
+    odd = [" \r" * 70 + "a\r\n" * 90, "x" * 119 + "\r\n" * 9 + "tail", "y" * 119 + " " * 300 + "z", "\u00a0" * 200 + "b " * 99, "w" * 9 + "\n" * 500 + "end", "é\t😀 " * 80, "short", "", None, " " * 400]
+    odd += ["q" * k + " \r\n\n \n" * 3 + "r" * 200 for k in range(5, 14)]
+    texts = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    want = texts.withColumn("text", text.strip(F.left(text.light_clean(F.col("text")), F.lit(10))))
+    assert sorted(map(tuple, enrich.first_n(texts, 10).collect())) == sorted(map(tuple, want.collect()))

@@ -111,3 +111,20 @@ def test_names_that_repeat_and_empty_changes(spark, store):
     assert held(store) == []
     with pytest.raises(ValueError):
         SnapshotTable(spark, "x", scope=("a",), name=("b",))
+
+
+def test_rows_of_a_put_are_made_once(spark, store):
+    """What rows hold is made once, whether they are the first or meet others; names alone are looked at before."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def payload(scope_id):
+        made.add(1)
+        return f"payload of {scope_id}"
+
+    given = rows(spark, *[("object", f"f{i}", "synthesis", "firstN", i, None) for i in range(10)]).withColumn("payload", payload("scope_id"))
+    store.put(given, order="written")
+    assert made.value == 10
+    store.put(given.unionByName(rows(spark, ("object", "f3", "synthesis", "firstN", 99, "latest"))), order="written")
+    assert made.value == 20
+    assert {r[1]: r[5] for r in held(store)} == {f"f{i}": "latest" if i == 3 else f"payload of f{i}" for i in range(10)}
