@@ -142,6 +142,27 @@ def test_an_update_notes_what_dies_alone(spark, where):
     assert [r["file_id"] for r in index.dead().collect()] == ["a"]
 
 
+def test_a_whole_part_is_not_written_again(spark, where):
+    """A merge of one part with all rows alive writes no texts; one of several parts, or with dead rows, writes them as one."""
+    own = chunks_of(spark, [(f"f{i}", text_of(i)) for i in range(12)])
+    index = plans.build(own.limit(0), where).update(own, own)
+    before, parts = found(index, "alpha only3"), lambda: {p.name for p in Path(where.removeprefix("file:").replace("//", "/"), "parts").iterdir()}
+    had = parts()
+    assert [p[3] for p in index.merge().parts()] == [own.count()]
+    assert parts() == had and found(index, "alpha only3") == before and index.stats()[0] == own.count()
+    index.delete(own.select("file_id").where("file_id = 'f5'"))
+    left = found(index, "alpha only3")
+    merged = index.merge()
+    assert len(parts()) == len(had) + 1 and len(merged.parts()) == 1 and merged.dead().isEmpty()
+    assert found(merged, "alpha only3") == left == [h for h in found(merged, "alpha only3") if "f5" not in h[0]]
+
+
+def test_texts_of_an_index_are_packed(spark, where):
+    index = plans.build(chunks_of(spark, [("a", text_of(1))]), where)
+    names = [p.name for p in Path(where.removeprefix("file:").replace("//", "/")).rglob("*.parquet") if "/chunks/" in str(p) or "/about/" in str(p)]
+    assert index.stats()[0] and names and all(".zstd." in x for x in names)
+
+
 def test_segments_and_edited_texts_shuffle_texts_once_at_most(spark, capsys):
     texts = spark.createDataFrame([("a", "x" * 25), ("b", "y" * 10), ("c", " ")], "file_id string, text string")
     segments = enrich.segments(texts, 10)
