@@ -105,6 +105,19 @@ def test_layout(spark, where, capsys):
     assert Index(spark, where, 8).by_ids([]).count() == 0
 
 
+def test_chunks_of_a_file_lie_together(spark, where):
+    """Overlapping chunks are neighbours in one folder, so what they repeat is packed away; hits are found with their files or without."""
+    own = chunks_of(spark, [(f"f{i:02d}", "\n\n".join(text_of(i) + f" p{j}" for j in range(5))) for i in range(20)])
+    index = plans.build(own, where, shards=8)
+    folders = index.chunks().groupBy("file_id").agg(F.countDistinct("shard").alias("n"))
+    assert folders.where("n > 1").count() == 0 and index.chunks().select("shard").distinct().count() > 1
+    numbers = index.numbered().groupBy("file_id").agg((F.max("_num") - F.min("_num") + 1 - F.count(F.lit(1))).alias("gaps"))
+    assert numbers.where("gaps <> 0").count() == 0
+    hits = own.select("chunk_id", "file_id").limit(7).collect()
+    ids, files = [r[0] for r in hits], [r[1] for r in hits]
+    assert sorted(map(tuple, index.by_ids(ids).collect())) == sorted(map(tuple, index.by_ids(ids, files).collect())) == sorted(map(tuple, own.where(F.col("chunk_id").isin(*ids)).select(*index.by_ids(ids).columns).collect()))
+
+
 def test_postings_hold_numbers_alone(spark, where):
     """What a build writes grows with the texts: postings don't repeat what is known of their chunks, and nothing is shuffled."""
     own = chunks_of(spark, [(f"{i:02d}" * 40, " ".join(f"{w}{(i * j) % 97}" for j in range(40) for w in WORDS)) for i in range(60)])
