@@ -118,6 +118,31 @@ def test_chunks_of_a_file_lie_together(spark, where):
     assert sorted(map(tuple, index.by_ids(ids).collect())) == sorted(map(tuple, index.by_ids(ids, files).collect())) == sorted(map(tuple, own.where(F.col("chunk_id").isin(*ids)).select(*index.by_ids(ids).columns).collect()))
 
 
+def test_hits_are_cut_by_number(spark, where, monkeypatch):
+    """What is known of chunks is met by the few that may be hits and isn't shuffled for them, nor written again with vectors; ties and scopes lose nothing."""
+    own = chunks_of(spark, [(f"f{i:02d}", text_of(i // 4)) for i in range(32)])
+    index = plans.build(own, where, vectors_of(own), shards=4)
+    assert set(index._live("vectors").columns) == {"_num", "embedding", "_seq"}
+    few = index.scored("alpha only3", 5)
+    assert few.count() < index.scored("alpha only3").count()
+    plan = few._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    some = chunks_of(spark, [("f03", text_of(0, 1))])
+    for changed in (None, some):
+        if changed is not None:
+            index.update(changed.select("file_id"), changed, vectors_of(changed))
+        pinned = index.pinned()
+        live = pinned.scored("alpha only0 beta")
+        near = pinned.vectors().withColumn("score", F.element_at("embedding", 1).cast("double")).drop("embedding")
+        for scope, most in ((Scope(), 1), (Scope("object", "f03"), 100_000)):
+            monkeypatch.setattr("millrace.operators.lexical.FEW", most)
+            inside = F.lit(True) if scope.kind == "root" else F.col("file_id") == scope.id
+            for all_, mode, vector in ((live, "lexical", None), (near, "semantic", [1.0, 0.0, 0.0])):
+                best = all_.where(inside).orderBy(F.desc(F.round("score", 9)), "source_relpath", "chunk_id").limit(6).select("chunk_id", F.round("score", 9)).collect()
+                got = plans.search(index, "alpha only0 beta", mode, 6, scope, query_vector=vector).select("chunk_id", F.round("score", 9)).collect()
+                assert list(map(tuple, got)) == list(map(tuple, best)), (scope, mode)
+
+
 def test_postings_hold_numbers_alone(spark, where):
     """What a build writes grows with the texts: postings don't repeat what is known of their chunks, and nothing is shuffled."""
     own = chunks_of(spark, [(f"{i:02d}" * 40, " ".join(f"{w}{(i * j) % 97}" for j in range(40) for w in WORDS)) for i in range(60)])
