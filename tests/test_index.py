@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.catalogue import queries
 from millrace.functions.text import search_tokens
 from millrace.operators import chunking, enrich
 from millrace.operators.scopes import Scope
@@ -201,6 +202,16 @@ def test_texts_of_an_index_are_packed(spark, where):
     assert index.stats()[0] and names and all(".zstd." in x for x in names)
 
 
+def test_evidence_of_hits_shuffles_no_documents(spark, sf_dir, capsys):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries()["evidence_backfill"](spark, sf_dir).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in capsys.readouterr().out
+
+
 def test_segments_and_edited_texts_shuffle_texts_once_at_most(spark, capsys):
     texts = spark.createDataFrame([("a", "x" * 25), ("b", "y" * 10), ("c", " ")], "file_id string, text string")
     segments = enrich.segments(texts, 10)
