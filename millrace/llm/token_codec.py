@@ -42,6 +42,8 @@ RECOUNT, EAGER = 8, 4
 FLOOR = 64
 _WORD = np.uint64(32)
 _SPAN = np.uint64(1 << 32)
+#: what an entry of order 2 gains for each certainty if it was wrong (it loses), then if it was right
+_SURER = np.array([-(c + 1 >> 1) for c in range(8)] + [1] * 7 + [0], np.int32)
 
 
 class BlockError(ValueError):
@@ -59,6 +61,7 @@ class _Model:
         self.counts = np.zeros(vocabulary, np.int64)
         self.floor = FLOOR * np.arange(1, vocabulary + 1)
         self.cum = np.zeros(vocabulary + 1, np.int64)
+        self.own, self.room = np.zeros(vocabulary, np.float32), np.zeros(vocabulary, np.int64)
         self.seen = np.tile(np.array([8, 1, 1, 1], np.int64), 64)
         self.recount()
         self.share()
@@ -66,12 +69,19 @@ class _Model:
     def recount(self) -> None:
         room = TOTAL - FLOOR * self.v
         total = int(self.counts.sum())
-        # rounded down twice; what that leaves goes to the last id
-        sums = np.cumsum(self.counts) * ((room << 20) // total) >> 20 if total else np.arange(1, self.v + 1) * (room // self.v)
+        # rounded down twice; what that leaves goes to the last id; in place, as arrays of the vocabulary's size are dear to make
+        sums = self.room
+        if total:
+            np.cumsum(self.counts, out=sums)
+            sums *= (room << 20) // total
+            sums >>= 20
+        else:
+            sums[:] = np.arange(1, self.v + 1) * (room // self.v)
         np.add(self.floor, sums, out=self.cum[1:])
         self.cum[-1] = TOTAL
         # up to an eighth: what all ids that aren't named share can't get too small for the rarest
-        self.own = np.minimum(np.diff(self.cum), TOTAL // 8).astype(np.float32)
+        np.subtract(self.cum[1:], self.cum[:-1], out=sums)
+        self.own[:] = np.minimum(sums, TOTAL // 8, out=sums)
 
     def share(self) -> None:
         """Code space of the orders for each pair of order 2's and order 1's certainties."""
@@ -80,7 +90,8 @@ class _Model:
         part = np.stack([2 * none, 2 * one + both, 2 * two + both])
         part = (part * (TOTAL - TOTAL // 32) // part.sum(0)).astype(np.int32)
         self.zero = ((TOTAL // 32 + part[0]) / TOTAL).astype(np.float32)
-        self.one, self.sure = part[1], part[2]
+        # as floats, whose quotients are exact here once rounded down, and faster than those of whole numbers
+        self.one, self.sure = part[1].astype(np.float64), part[2]
 
     def look(self, before: np.ndarray, before2: np.ndarray) -> None:
         """The named ids of each strip with their code space, and what is left for all others."""
@@ -89,51 +100,46 @@ class _Model:
         slot &= 0xFFFFFFFF
         slot >>= 32 - TABLE_BITS
         self.before, self.slot = before, slot
-        self.two_now, self.serves_now = self.two[slot], self.serves[before]
-        self.next_now = [row[before] for row in self.next]
+        self.two_now, self.serves_now = self.two.take(slot), self.serves.take(before)
+        self.next_now = [row.take(before) for row in self.next]
         self.context = context = ((self.two_now & 7) * 8 + (self.serves_now >> 5)).astype(np.intp)
-        zero = self.zero[context]
+        zero = self.zero.take(context)
         counts = [e & 255 for e in self.next_now]
-        unit = self.one[context] // np.maximum(sum(counts[1:], counts[0]), 1)
-        two, told = self.two_now >> 3, self.sure[context]
+        unit = (self.one.take(context) / np.maximum(sum(counts[1:], counts[0]), 1)).astype(np.int32)
+        two, told = self.two_now >> 3, self.sure.take(context)
         self.ids = [e >> 8 for e in self.next_now] + [two]
         self.space = []
         # an id has the sum of what orders 0, 1 and 2 give it; what both name has its space once
-        once = None
+        twice = None
         for named, count in zip(self.ids, counts, strict=False):
-            other = named != two
-            once = other if once is None else once & other
-            self.space.append((self.own[named] * zero).astype(np.int32) + count * unit + np.where(other, 0, told))
-        self.space.append(((self.own[two] * zero).astype(np.int32) + told) * once)
+            same = named == two
+            twice = same if twice is None else twice | same
+            self.space.append((self.own.take(named) * zero).astype(np.int32) + count * unit + told * same)
+        self.space.append(((self.own.take(two) * zero).astype(np.int32) + told) * ~twice)
         self.rest = TOTAL - sum(self.space[1:], self.space[0])
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of each id in its strip's code space; and remembers who named it."""
-        start, length = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         self.hits = [ids == x for ids in self.ids]
-        unnamed, at = ~self.hits[-1], TOTAL
+        # as if nobody named an id, then in place of that where somebody did
+        rest, at = self.rest.astype(np.int64), np.int64(TOTAL)
+        start = self.cum.take(x) * rest >> BITS
+        length = (self.cum[1:].take(x) * rest >> BITS) - start
         for hit, space in zip(reversed(self.hits), reversed(self.space), strict=True):
             at = at - space
-            k = np.flatnonzero(hit)
-            start[k], length[k] = at[k], space[k]
-            unnamed &= ~hit
-        k = np.flatnonzero(unnamed)
-        rest, own = self.rest[k].astype(np.int64), x[k]
-        low = (self.cum[own] * rest) >> BITS
-        start[k], length[k] = low, ((self.cum[own + 1] * rest) >> BITS) - low
+            start, length = np.where(hit, at, start), np.where(hit, space, length)
         return start, length
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the given places of code space."""
-        low = self.rest
-        found = self.ids[0].copy()
-        rest = np.flatnonzero(at < low)
+        low, found = self.rest, self.ids[0]
+        rest = (at < low).nonzero()[0]
         for ids, space in zip(self.ids[1:], self.space, strict=False):
             low = low + space
-            np.copyto(found, ids, where=at >= low)
+            found = np.where(at >= low, ids, found)
         # in order of their places, which makes the search several times as fast
-        place = np.sort((((at[rest] + 1) << BITS) - 1) // self.rest[rest] << 13 | np.arange(len(rest)))
-        found[rest[place & 8191]] = np.searchsorted(self.cum, place >> 13, "right") - 1
+        place = np.sort((((at.take(rest) + 1) << BITS) - 1) // self.rest.take(rest) << 13 | np.arange(len(rest)))
+        found[rest.take(place & 8191)] = np.searchsorted(self.cum, place >> 13, "right") - 1
         return found
 
     def learn(self, x: np.ndarray, step: int, done) -> None:
@@ -143,17 +149,17 @@ class _Model:
             known = known | hit
         self.seen += np.bincount(self.context * 4 + (known.view(np.int8) + told.view(np.int8) * 2), minlength=len(self.seen))
         sure = two & 7
-        self.two[self.slot] = np.where(told, two + (sure < 7), np.where(sure > 1, two - (sure + 1 >> 1), x * 8 + 1))
+        self.two[self.slot] = np.where(told | (sure > 1), two + _SURER.take(sure + told * np.int32(8)), x * 8 + 1)
         for row, now, hit in zip(self.next, self.next_now, self.hits[:-1], strict=True):
-            k = np.flatnonzero(hit)
-            more = now[k]
-            row[before[k]] = more + np.where((more & 255) < MOST, GAIN, 0).astype(np.int32)
-        self.serves[before] = self.serves_now + (np.where(known, np.int32(MOST), 0) - self.serves_now >> 4)
+            k = hit.nonzero()[0]
+            more = now.take(k)
+            row[before.take(k)] = more + np.where((more & 255) < MOST, GAIN, 0).astype(np.int32)
+        self.serves[before] = self.serves_now + (known * np.int32(MOST) - self.serves_now >> 4)
         # an id that order 1 doesn't name takes the place of one that is rare, or makes it rarer
-        k = np.flatnonzero(~known)
+        k = (~known).nonzero()[0]
         turn = step % NEXT
-        now = self.next_now[turn][k]
-        self.next[turn][before[k]] = np.where((now & 255) <= LOSE, x[k] * 256 + GAIN, now - LOSE)
+        now = self.next_now[turn].take(k)
+        self.next[turn][before.take(k)] = np.where((now & 255) <= LOSE, x.take(k) * 256 + GAIN, now - LOSE)
         if step < EAGER or step % RECOUNT == RECOUNT - 1:
             self.counts += np.bincount(done(1 if step < EAGER else RECOUNT - EAGER if step == RECOUNT - 1 else RECOUNT), minlength=self.v)
             self.recount()
@@ -197,10 +203,10 @@ def encode(ids: np.ndarray, vocabulary: int | None = None) -> bytes:
         unit = span[:a] >> np.uint64(BITS)
         lo = low[:a] + unit * start.view(np.uint64)
         sp = unit * length.view(np.uint64)
-        over = np.flatnonzero(lo < low[:a])
+        over = (lo < low[:a]).nonzero()[0]
         if len(over):
             _carry(code, used, over)
-        out = np.flatnonzero(sp < _SPAN)
+        out = (sp < _SPAN).nonzero()[0]
         word = lo[out]
         code[out, used[out]] = word >> _WORD
         used[out] += 1
@@ -262,7 +268,7 @@ def decode(block: bytes) -> np.ndarray:
         start, length = model.interval(x)
         up = above[:a] - unit * start.view(np.uint64)
         sp = unit * length.view(np.uint64)
-        out = np.flatnonzero(sp < _SPAN)
+        out = (sp < _SPAN).nonzero()[0]
         up[out] = (up[out] << _WORD) | words[np.where((own := place[out]) < stop[out], own, end)]
         place[out] = own + 1
         sp[out] <<= _WORD

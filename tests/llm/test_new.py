@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import mixing, queries, runs, simhash, whitening
+from millrace.llm import mixing, queries, runs, simhash, token_codec, whitening
 from tests.llm.test_llm import KIND, ROWS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -270,3 +270,18 @@ def test_mixing_many_equal_rows(spark):
     for source in "ab":
         taken, target = sum(r[4] for r in a if r[1] == source), next(r[3] for r in a if r[1] == source)
         assert abs(taken - target) <= 7
+
+
+def test_token_code_is_the_same_and_counted_in_place():
+    """Blocks have the bytes they had, and a recount makes no arrays of the vocabulary's size."""
+    rng = np.random.default_rng(6)
+    ids = (3000 * rng.random(60_000) ** 4).astype(np.uint32)
+    ids[30_000:45_000] = ids[:15_000]
+    for n, crc in ((1, 3262942160), (63, 2241630747), (5_000, 3140849378), (60_000, 14816374)):
+        block = token_codec.encode(ids[:n], 3000)
+        assert zlib.crc32(block) == crc and (token_codec.decode(block) == ids[:n]).all()
+    model = token_codec._Model(3000)
+    own, cum = model.own, model.cum
+    model.counts[7] = 5
+    model.recount()
+    assert model.own is own and model.cum is cum and own[7] > own[8]
