@@ -3,12 +3,13 @@
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.catalogue import queries
 from millrace.functions.text import search_tokens
-from millrace.operators import chunking, enrich
+from millrace.operators import chunking, enrich, lexical
 from millrace.operators.scopes import Scope
 from millrace.plans import batch
 from millrace.plans import search as plans
@@ -202,6 +203,14 @@ def test_texts_of_an_index_are_packed(spark, where):
     assert index.stats()[0] and names and all(".zstd." in x for x in names)
 
 
+def test_lists_are_sorted_in_their_batch():
+    """Lists leave a batch in order of their terms, so a build sorts nothing but texts and a task doesn't hold all its lists."""
+    tokens = [["pear", "fig", "pear"], [], ["apple", "fig"], None]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, lexical.BLOCK, lexical.BLOCK + 1]), pa.array(tokens, pa.list_(pa.string()))], ["_num", "_t"])
+    (lists,) = lexical._inverted(iter([batch]))
+    assert [tuple(r.values()) for r in lists.to_pylist()] == [("apple", 1, [0], [1], [2]), ("fig", 0, [4], [1], [3]), ("fig", 1, [0], [1], [2]), ("pear", 0, [4], [2], [3])]
+
+
 def test_evidence_of_hits_shuffles_no_documents(spark, sf_dir, capsys):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
