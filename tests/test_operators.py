@@ -248,3 +248,18 @@ def test_first_n_of_texts_that_are_cleaned_in_part(spark):
     texts = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
     want = texts.withColumn("text", text.strip(F.left(text.light_clean(F.col("text")), F.lit(10))))
     assert sorted(map(tuple, enrich.first_n(texts, 10).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_snippet_equals_its_sql_on_odd_texts(spark, tmp_path):
+    """Empty texts, missing ones, and white space of any kind where the texts are cut."""
+    import duckdb
+
+    from millrace import catalogue
+
+    odd = ["", None, " \t\n\r\x0b\x0c", "\u00a0", "\u3000x\u2003 ", "\n\x85y\x1c\t", "a" * 239 + "\u00a0" + "b" * 159 + "\u2028" + "c", "d" * 238 + " \n" + "e" * 158 + "\t ", "\U0001f600" * 401, " " * 400 + "f", "\ufeffg\u200b", "\x00h\x00"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"SELECT doc_id, snippet, preview FROM ({catalogue.oracle_sql()['snippet']})").fetchall()
+    got = catalogue.queries()["snippet"](spark, str(tmp_path)).select("doc_id", "snippet", "preview").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
